@@ -169,3 +169,86 @@ def q_evaluate_macro(spark, sf):
 def q_compare_runs(spark, sf):
     runs = scoring.two_runs(_scored(spark, sf))
     return scoring.compare_runs(runs).select("run_id", "n_queries", "n_undefined", r6("mean_eer"), r6("mean_ap"))
+
+
+# --------------------------------------------------------------------------
+# Step 2: topic-diversity author filter (C1 on given vectors)
+# --------------------------------------------------------------------------
+
+from quire.plans import diversity  # noqa: E402
+
+SQL_VECTORS = """
+v AS (SELECT CAST(FLOOR(vec_id / 4.0) AS BIGINT) AS author_id, vec_id AS doc_id, vec_id AS seq,
+             label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+"""
+
+SQL_PAIRS = """
+p AS (
+  SELECT a.author_id, a.doc_id AS doc_i, b.doc_id AS doc_j,
+         CASE WHEN list_dot_product(a.v, a.v) > 0 AND list_dot_product(b.v, b.v) > 0
+              THEN list_dot_product(a.v, b.v)
+                   / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))
+              ELSE 0.0 END AS sim
+  FROM v a JOIN v b
+    ON a.author_id = b.author_id
+   AND (a.seq < b.seq OR (a.seq = b.seq AND a.doc_id < b.doc_id))),
+m AS (SELECT author_id, MAX(sim) AS max_sim FROM p GROUP BY author_id),
+keep AS (SELECT author_id, max_sim FROM m WHERE max_sim < 0.2)
+"""
+
+
+@register(
+    "author_pair_similarity",
+    f"WITH {SQL_VECTORS}, {SQL_PAIRS} SELECT author_id, doc_i, doc_j, round(sim, 6) AS sim FROM p",
+)
+def q_author_pair_similarity(spark, sf):
+    return diversity.author_pair_similarity(fx.fx_vectors(spark, sf)).select(
+        "author_id", "doc_i", "doc_j", r6("sim")
+    )
+
+
+@register(
+    "author_max_similarity",
+    f"WITH {SQL_VECTORS}, {SQL_PAIRS} SELECT author_id, round(max_sim, 6) AS max_sim FROM m",
+)
+def q_author_max_similarity(spark, sf):
+    return diversity.author_max_similarity(fx.fx_vectors(spark, sf)).select("author_id", r6("max_sim"))
+
+
+@register(
+    "filter_diverse_authors",
+    f"""WITH {SQL_VECTORS}, {SQL_PAIRS}
+    SELECT v.author_id, v.doc_id, v.label FROM v WHERE v.author_id IN (SELECT author_id FROM keep)""",
+)
+def q_filter_diverse_authors(spark, sf):
+    docs = fx.fx_vectors(spark, sf)
+    _, keep = diversity.diverse_authors(docs, threshold=0.2)
+    return diversity.filter_diverse_authors(docs, keep).select("author_id", "doc_id", "label")
+
+
+@register(
+    "author_cap_sample",
+    f"""WITH {SQL_VECTORS}, {SQL_PAIRS},
+    ranked AS (SELECT author_id, max_sim,
+                      ROW_NUMBER() OVER (ORDER BY md5(concat_ws('|', '0', 'cap', CAST(author_id AS VARCHAR))),
+                                         author_id) AS r
+               FROM keep)
+    SELECT author_id, round(max_sim, 6) AS max_sim FROM ranked WHERE r <= 50""",
+)
+def q_author_cap_sample(spark, sf):
+    docs = fx.fx_vectors(spark, sf)
+    info, keep = diversity.diverse_authors(docs, threshold=0.2, cap=50, seed=0)
+    return info.join(keep, "author_id", "left_semi").select("author_id", r6("max_sim"))
+
+
+@register(
+    "retention_report",
+    f"""WITH {SQL_VECTORS}, {SQL_PAIRS}
+    SELECT label, COUNT(*) AS rows_before,
+           COUNT(*) FILTER (WHERE author_id IN (SELECT author_id FROM keep)) AS rows_after
+    FROM v GROUP BY label""",
+)
+def q_retention_report(spark, sf):
+    docs = fx.fx_vectors(spark, sf)
+    _, keep = diversity.diverse_authors(docs, threshold=0.2)
+    return diversity.retention_report(docs, keep, by="label")
