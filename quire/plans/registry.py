@@ -252,3 +252,109 @@ def q_retention_report(spark, sf):
     docs = fx.fx_vectors(spark, sf)
     _, keep = diversity.diverse_authors(docs, threshold=0.2)
     return diversity.retention_report(docs, keep, by="label")
+
+
+# --------------------------------------------------------------------------
+# Step 3: author identity, role counts, labels, prefix split
+# --------------------------------------------------------------------------
+
+from quire.operators import authors  # noqa: E402
+
+SQL_DOCS = """
+d AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS cid, conv_id * 1000 + turn AS doc_id, turn AS seq,
+             text AS full_text,
+             CASE WHEN role = 'user' AND conv_id % 2 = 0 THEN 'query' ELSE 'candidate' END AS side
+      FROM conversations WHERE role IN ('user', 'assistant')),
+rd AS (SELECT 'a' || cid AS author_id, doc_id, seq, full_text, side,
+              CASE WHEN side = 'query' THEN 'a' || cid ELSE 's' || cid END AS alias, conv_id
+       FROM d)
+"""
+
+
+def _id_map(spark, sf, drop_mod10=None, dialect="mixed"):
+    return authors.build_id_map(fx.fx_id_map(spark, sf, drop_mod10), dialect)
+
+
+def _resolved(spark, sf):
+    return authors.resolve_authors(fx.fx_aliased_docs(spark, sf), _id_map(spark, sf))
+
+
+@register(
+    "resolve_authors",
+    f"WITH {SQL_DOCS} SELECT doc_id, side, alias, author_id FROM rd",
+)
+def q_resolve_authors(spark, sf):
+    return _resolved(spark, sf).select("doc_id", "side", "alias", "author_id")
+
+
+@register(
+    "unresolved_aliases",
+    f"WITH {SQL_DOCS} SELECT doc_id, side, alias FROM rd WHERE conv_id % 10 = 7",
+)
+def q_unresolved_aliases(spark, sf):
+    m = _id_map(spark, sf, drop_mod10=7)
+    return authors.unresolved_aliases(fx.fx_aliased_docs(spark, sf), m).select("doc_id", "side", "alias")
+
+
+@register(
+    "author_role_counts",
+    f"""WITH {SQL_DOCS}
+    SELECT author_id,
+           CAST(COUNT(*) FILTER (WHERE side = 'query') AS BIGINT) AS n_query,
+           CAST(COUNT(*) FILTER (WHERE side = 'candidate') AS BIGINT) AS n_candidate,
+           COUNT(*) AS n_docs
+    FROM rd GROUP BY author_id""",
+)
+def q_author_role_counts(spark, sf):
+    return authors.role_counts(_resolved(spark, sf))
+
+
+@register(
+    "dataset_stats",
+    f"""WITH {SQL_DOCS},
+    rc AS (SELECT author_id,
+                  COUNT(*) FILTER (WHERE side = 'query') AS n_query,
+                  COUNT(*) FILTER (WHERE side = 'candidate') AS n_candidate,
+                  COUNT(*) AS n_docs
+           FROM rd GROUP BY author_id)
+    SELECT CAST(COUNT(*) FILTER (WHERE n_query > 0) AS BIGINT) AS n_query_authors,
+           CAST(COUNT(*) FILTER (WHERE n_candidate > 0) AS BIGINT) AS n_candidate_authors,
+           COUNT(*) AS n_authors,
+           CAST(SUM(n_docs) AS BIGINT) AS n_docs,
+           CAST(COUNT(*) FILTER (WHERE n_docs > 5) AS BIGINT) AS n_authors_labelled,
+           CAST(COALESCE(SUM(n_docs) FILTER (WHERE n_docs > 5), 0) AS BIGINT) AS n_labelled_rows,
+           CAST(COUNT(*) FILTER (WHERE n_query > 0 AND n_candidate = 0) AS BIGINT) AS n_query_only
+    FROM rc""",
+)
+def q_dataset_stats(spark, sf):
+    return authors.dataset_stats(_resolved(spark, sf))
+
+
+SQL_LABELS = """
+ids AS (SELECT DISTINCT 'a' || CAST(conv_id AS VARCHAR) AS id FROM conversations
+        UNION SELECT DISTINCT 's' || CAST(conv_id AS VARCHAR) AS id FROM conversations),
+lab AS (SELECT id, ROW_NUMBER() OVER (ORDER BY id) - 1 AS label FROM ids)
+"""
+
+
+@register("label_ids", f"WITH {SQL_LABELS} SELECT id, CAST(label AS BIGINT) AS label FROM lab")
+def q_label_ids(spark, sf):
+    expanded = authors.expand_id_map(fx.fx_id_map(spark, sf), "mixed")
+    return authors.label_ids(expanded).select("id", "label")
+
+
+@register(
+    "prefix_split",
+    f"""WITH {SQL_DOCS},
+    ids AS (SELECT DISTINCT side, author_id FROM rd),
+    r AS (SELECT side, author_id,
+                 ROW_NUMBER() OVER (PARTITION BY side ORDER BY author_id) - 1 AS pos,
+                 COUNT(*) OVER (PARTITION BY side) AS n
+          FROM ids)
+    SELECT side, author_id, CAST(pos AS BIGINT) AS pos,
+           CASE WHEN pos < CAST(FLOOR(n * 0.8) AS BIGINT) THEN 'head' ELSE 'tail' END AS part,
+           CAST(pos < CAST(FLOOR(n * 0.8) AS BIGINT) AS INTEGER) AS selected
+    FROM r""",
+)
+def q_prefix_split(spark, sf):
+    return authors.prefix_split(_resolved(spark, sf), 0.8)
