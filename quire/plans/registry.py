@@ -358,3 +358,137 @@ def q_label_ids(spark, sf):
 )
 def q_prefix_split(spark, sf):
     return authors.prefix_split(_resolved(spark, sf), 0.8)
+
+
+# --------------------------------------------------------------------------
+# Steps 4-5: training-set construction
+# --------------------------------------------------------------------------
+
+from quire.functions.hashing import hash_int_sql, hash_key_sql  # noqa: E402
+from quire.plans import pairs as P  # noqa: E402
+
+EPOCH_SPLIT, EPOCH = "train", 1  # train split, epoch 1 -> seed 1
+SEED = 1
+
+
+def _pairset(spark, sf):
+    return P.build_cross_role_pairs(_resolved(spark, sf), EPOCH_SPLIT, EPOCH, strict=False)
+
+
+def _h(tag: str, col: str) -> str:
+    return hash_int_sql(SEED, tag, col)
+
+
+SQL_PAIRS_QC = f"""
+qa AS (SELECT DISTINCT author_id FROM rd WHERE side = 'query'),
+qpick AS (SELECT author_id, arg_min(doc_id, {_h('query', 'doc_id')}) AS anchor_doc_id
+          FROM rd WHERE side = 'query' GROUP BY author_id),
+cpick AS (SELECT author_id, arg_min(doc_id, {_h('candidate', 'doc_id')}) AS positive_doc_id
+          FROM rd WHERE side = 'candidate' AND author_id IN (SELECT author_id FROM qa) GROUP BY author_id),
+qc AS (SELECT author_id, anchor_doc_id, positive_doc_id FROM qpick JOIN cpick USING (author_id)),
+cnt AS (SELECT author_id, COUNT(*) AS n FROM rd WHERE side = 'candidate' GROUP BY author_id),
+el AS (SELECT author_id, n AS n_candidate_docs, ROW_NUMBER() OVER (ORDER BY author_id) - 1 AS e_idx
+       FROM cnt WHERE n >= 2 AND author_id NOT IN (SELECT author_id FROM qa)),
+ne AS (SELECT COUNT(*) AS ne FROM el),
+dr AS (SELECT ROW_NUMBER() OVER (ORDER BY author_id) - 1 AS draw FROM qa),
+drawn AS (SELECT dr.draw, el.author_id, el.n_candidate_docs AS n
+          FROM dr CROSS JOIN ne JOIN el ON el.e_idx = {_h('draw', 'dr.draw')} % ne.ne),
+ix AS (SELECT draw, author_id, {_h('first', 'draw')} % n AS i1, {_h('second', 'draw')} % (n - 1) AS r2
+       FROM drawn),
+ix2 AS (SELECT draw, author_id, i1, CASE WHEN r2 >= i1 THEN r2 + 1 ELSE r2 END AS i2 FROM ix),
+cpos AS (SELECT author_id, doc_id,
+                ROW_NUMBER() OVER (PARTITION BY author_id ORDER BY seq, doc_id) - 1 AS pos
+         FROM rd WHERE side = 'candidate'),
+cc AS (SELECT ix2.draw, ix2.author_id, a.doc_id AS anchor_doc_id, b.doc_id AS positive_doc_id
+       FROM ix2 JOIN cpos a ON a.author_id = ix2.author_id AND a.pos = ix2.i1
+                JOIN cpos b ON b.author_id = ix2.author_id AND b.pos = ix2.i2),
+u AS (SELECT 'qc' AS pair_kind, 'qc|' || author_id AS row_id, author_id, anchor_doc_id, positive_doc_id FROM qc
+      UNION ALL
+      SELECT 'cc' AS pair_kind, 'cc|' || CAST(draw AS VARCHAR) AS row_id, author_id, anchor_doc_id,
+             positive_doc_id FROM cc),
+ep AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {hash_key_sql(SEED, 'shuffle', 'row_id')}, row_id) - 1 AS row_pos
+       FROM u)
+"""
+
+
+@register(
+    "query_candidate_pairs",
+    f"""WITH {SQL_DOCS}, {SQL_PAIRS_QC}
+    SELECT qc.author_id, anchor_doc_id, positive_doc_id, a.full_text AS anchors, b.full_text AS positives
+    FROM qc JOIN rd a ON a.doc_id = qc.anchor_doc_id JOIN rd b ON b.doc_id = qc.positive_doc_id""",
+)
+def q_query_candidate_pairs(spark, sf):
+    ps = _pairset(spark, sf)
+    return P._texts(ps.qc, fx.fx_docs(spark, sf)).select(
+        "author_id", "anchor_doc_id", "positive_doc_id", "anchors", "positives"
+    )
+
+
+@register(
+    "eligible_augment_authors",
+    f"""WITH {SQL_DOCS}, {SQL_PAIRS_QC}
+    SELECT author_id, n_candidate_docs, CAST(e_idx AS BIGINT) AS e_idx FROM el""",
+)
+def q_eligible_augment_authors(spark, sf):
+    return _pairset(spark, sf).eligible.select("author_id", "n_candidate_docs", "e_idx")
+
+
+@register(
+    "candidate_candidate_pairs",
+    f"""WITH {SQL_DOCS}, {SQL_PAIRS_QC}
+    SELECT CAST(draw AS BIGINT) AS draw, cc.author_id, anchor_doc_id, positive_doc_id,
+           a.full_text AS anchors, b.full_text AS positives
+    FROM cc JOIN rd a ON a.doc_id = cc.anchor_doc_id JOIN rd b ON b.doc_id = cc.positive_doc_id""",
+)
+def q_candidate_candidate_pairs(spark, sf):
+    ps = _pairset(spark, sf)
+    return P._texts(ps.cc, fx.fx_docs(spark, sf)).select(
+        "draw", "author_id", "anchor_doc_id", "positive_doc_id", "anchors", "positives"
+    )
+
+
+@register(
+    "epoch_pairs",
+    f"""WITH {SQL_DOCS}, {SQL_PAIRS_QC}
+    SELECT pair_kind, row_id, author_id, anchor_doc_id, positive_doc_id, CAST(row_pos AS BIGINT) AS row_pos,
+           CAST(FLOOR(row_pos / 64) AS BIGINT) AS batch_id
+    FROM ep""",
+)
+def q_epoch_pairs(spark, sf):
+    return _pairset(spark, sf).rows.select(
+        "pair_kind", "row_id", "author_id", "anchor_doc_id", "positive_doc_id", "row_pos", "batch_id"
+    )
+
+
+@register(
+    "first_two_pairs",
+    f"""WITH {SQL_DOCS},
+    t AS (SELECT cid AS author_id, doc_id,
+                 ROW_NUMBER() OVER (PARTITION BY cid
+                                    ORDER BY CASE WHEN side = 'query' THEN 0 ELSE 1 END, seq, doc_id) AS rn
+          FROM d),
+    p AS (SELECT author_id, MAX(doc_id) FILTER (WHERE rn = 1) AS anchor_doc_id,
+                 MAX(doc_id) FILTER (WHERE rn = 2) AS positive_doc_id
+          FROM t GROUP BY author_id HAVING MAX(doc_id) FILTER (WHERE rn = 2) IS NOT NULL),
+    r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {hash_key_sql(SEED, 'shuffle', 'author_id')}, author_id) - 1 AS row_pos
+          FROM p)
+    SELECT r.author_id, anchor_doc_id, positive_doc_id, CAST(row_pos AS BIGINT) AS row_pos,
+           a.full_text AS anchors, b.full_text AS positives
+    FROM r JOIN d a ON a.doc_id = r.anchor_doc_id JOIN d b ON b.doc_id = r.positive_doc_id""",
+)
+def q_first_two_pairs(spark, sf):
+    out = P.build_first_two_pairs(fx.fx_docs(spark, sf), EPOCH_SPLIT, EPOCH)
+    return out.select("author_id", "anchor_doc_id", "positive_doc_id", "row_pos", "anchors", "positives")
+
+
+@register(
+    "labelled_rows",
+    f"""WITH {SQL_DOCS}, {SQL_LABELS},
+    big AS (SELECT author_id FROM rd GROUP BY author_id HAVING COUNT(*) > 5)
+    SELECT rd.author_id, doc_id, full_text AS anchors, '' AS others, CAST(lab.label AS BIGINT) AS labels
+    FROM rd JOIN big USING (author_id) JOIN lab ON lab.id = rd.author_id""",
+)
+def q_labelled_rows(spark, sf):
+    expanded = authors.expand_id_map(fx.fx_id_map(spark, sf), "mixed")
+    out = P.build_labelled_rows(_resolved(spark, sf), expanded)
+    return out.select("author_id", "doc_id", "anchors", "others", "labels")
