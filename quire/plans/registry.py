@@ -492,3 +492,68 @@ def q_labelled_rows(spark, sf):
     expanded = authors.expand_id_map(fx.fx_id_map(spark, sf), "mixed")
     out = P.build_labelled_rows(_resolved(spark, sf), expanded)
     return out.select("author_id", "doc_id", "anchors", "others", "labels")
+
+
+# --------------------------------------------------------------------------
+# Step 6: losses
+# --------------------------------------------------------------------------
+
+from quire.operators import losses  # noqa: E402
+
+SQL_COS = """CASE WHEN list_dot_product({a}, {a}) > 0 AND list_dot_product({b}, {b}) > 0
+     THEN list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))
+     ELSE 0.0 END"""
+
+
+@register(
+    "symmetric_ranking_loss",
+    f"""WITH {SQL_VECTORS},
+    t AS (SELECT author_id, v, ROW_NUMBER() OVER (PARTITION BY author_id ORDER BY seq, doc_id) AS rn FROM v),
+    lp AS (SELECT a.author_id, CAST(FLOOR(a.author_id / 16.0) AS BIGINT) AS batch_id, a.v AS av, b.v AS pv
+           FROM t a JOIN t b ON a.author_id = b.author_id AND a.rn = 1 AND b.rn = 2),
+    s AS (SELECT a.batch_id, a.author_id AS i, b.author_id AS j,
+                 20.0 * ({SQL_COS.format(a='a.av', b='b.pv')}) AS s
+          FROM lp a JOIN lp b ON a.batch_id = b.batch_id),
+    fm AS (SELECT batch_id, i, MAX(s) AS m FROM s GROUP BY batch_id, i),
+    fw AS (SELECT s.batch_id, s.i, fm.m + ln(SUM(exp(s.s - fm.m))) AS lse
+           FROM s JOIN fm ON s.batch_id = fm.batch_id AND s.i = fm.i GROUP BY s.batch_id, s.i, fm.m),
+    bm AS (SELECT batch_id, j, MAX(s) AS m FROM s GROUP BY batch_id, j),
+    bw AS (SELECT s.batch_id, s.j, bm.m + ln(SUM(exp(s.s - bm.m))) AS lse
+           FROM s JOIN bm ON s.batch_id = bm.batch_id AND s.j = bm.j GROUP BY s.batch_id, s.j, bm.m),
+    dg AS (SELECT batch_id, i, s FROM s WHERE i = j),
+    f AS (SELECT fw.batch_id, AVG(fw.lse - dg.s) AS fwd, COUNT(*) AS n
+          FROM fw JOIN dg ON fw.batch_id = dg.batch_id AND fw.i = dg.i GROUP BY fw.batch_id),
+    b AS (SELECT bw.batch_id, AVG(bw.lse - dg.s) AS bwd
+          FROM bw JOIN dg ON bw.batch_id = dg.batch_id AND bw.j = dg.i GROUP BY bw.batch_id)
+    SELECT f.batch_id, f.n, round((fwd + bwd) / 2, 6) AS loss FROM f JOIN b USING (batch_id)""",
+)
+def q_symmetric_ranking_loss(spark, sf):
+    out = losses.symmetric_ranking_loss(fx.fx_loss_pairs(spark, sf))
+    return out.select("batch_id", "n", r6("loss"))
+
+
+@register(
+    "multi_positive_loss",
+    f"""WITH {SQL_VECTORS},
+    b AS (SELECT doc_id, label, v, CAST(FLOOR(doc_id / 64.0) AS BIGINT) AS batch_id FROM v),
+    s AS (SELECT x.batch_id, x.doc_id AS i, y.doc_id AS j, CAST(x.label = y.label AS INTEGER) AS pos,
+                 list_dot_product(x.v, y.v)
+                 / (greatest(sqrt(list_dot_product(x.v, x.v)), 1e-12)
+                    * greatest(sqrt(list_dot_product(y.v, y.v)), 1e-12)) / 0.1 AS s
+          FROM b x JOIN b y ON x.batch_id = y.batch_id AND x.doc_id <> y.doc_id),
+    m AS (SELECT batch_id, i, MAX(s) AS m, SUM(pos) AS npos FROM s GROUP BY batch_id, i),
+    r AS (SELECT s.batch_id, s.i,
+                 -SUM(CASE WHEN pos = 1 THEN (s.s - m.m) - ln(z.z) ELSE 0 END) / greatest(m.npos, 1) AS li
+          FROM s JOIN m ON s.batch_id = m.batch_id AND s.i = m.i
+                 JOIN (SELECT s.batch_id, s.i, SUM(exp(s.s - m.m)) AS z
+                       FROM s JOIN m ON s.batch_id = m.batch_id AND s.i = m.i GROUP BY s.batch_id, s.i) z
+                   ON z.batch_id = s.batch_id AND z.i = s.i
+          GROUP BY s.batch_id, s.i, m.npos),
+    allrows AS (SELECT b.batch_id, b.doc_id, COALESCE(r.li, 0.0) AS li
+                FROM b LEFT JOIN r ON r.batch_id = b.batch_id AND r.i = b.doc_id)
+    SELECT batch_id, COUNT(*) AS n, round(AVG(li), 6) AS loss FROM allrows GROUP BY batch_id""",
+)
+def q_multi_positive_loss(spark, sf):
+    v = fx.fx_vectors(spark, sf)
+    rows = v.select((F.floor(F.col("doc_id") / 64.0)).cast("bigint").alias("batch_id"), "label", "vec")
+    return losses.multi_positive_loss(rows).select("batch_id", "n", r6("loss"))
