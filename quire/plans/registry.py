@@ -557,3 +557,100 @@ def q_multi_positive_loss(spark, sf):
     v = fx.fx_vectors(spark, sf)
     rows = v.select((F.floor(F.col("doc_id") / 64.0)).cast("bigint").alias("batch_id"), "label", "vec")
     return losses.multi_positive_loss(rows).select("batch_id", "n", r6("loss"))
+
+
+# --------------------------------------------------------------------------
+# Step 7: text encoder, diversity on raw text, JSONL round trip
+# --------------------------------------------------------------------------
+
+from functools import partial  # noqa: E402
+
+from quire.functions import text as TX  # noqa: E402
+from quire.operators.similarity import author_pairs  # noqa: E402
+
+SQL_TEXT = f"""
+tok AS (SELECT doc_id, source AS author_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS t
+        FROM documents),
+bk AS (SELECT doc_id, author_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {TX.DEFAULT_DIM} AS b, COUNT(*) AS c
+       FROM tok WHERE t <> '' GROUP BY doc_id, author_id, b),
+nrm AS (SELECT doc_id, SUM(c) AS n_tokens, COUNT(*) AS n_buckets, sqrt(SUM(c * c)) AS nrm
+        FROM bk GROUP BY doc_id)
+"""
+
+
+@register(
+    "embed_documents",
+    f"""WITH {SQL_TEXT}
+    SELECT d.doc_id, CAST(COALESCE(n_tokens, 0) AS BIGINT) AS n_tokens,
+           CAST(COALESCE(n_buckets, 0) AS BIGINT) AS n_buckets, round(COALESCE(nrm, 0.0), 6) AS norm
+    FROM documents d LEFT JOIN nrm USING (doc_id)""",
+)
+def q_embed_documents(spark, sf):
+    e = TX.embed_documents(fx.fx_text_docs(spark, sf))
+    return e.select("doc_id", *TX.bucket_stats()).select("doc_id", "n_tokens", "n_buckets", r6("norm"))
+
+
+@register(
+    "diverse_authors_from_text",
+    f"""WITH {SQL_TEXT},
+    dp AS (SELECT x.doc_id AS doc_i, y.doc_id AS doc_j, SUM(x.c * y.c) AS dot
+           FROM bk x JOIN bk y ON x.author_id = y.author_id AND x.b = y.b AND x.doc_id < y.doc_id
+           GROUP BY x.doc_id, y.doc_id),
+    docs AS (SELECT doc_id, source AS author_id FROM documents),
+    allp AS (SELECT a.author_id, a.doc_id AS doc_i, b.doc_id AS doc_j
+             FROM docs a JOIN docs b ON a.author_id = b.author_id AND a.doc_id < b.doc_id),
+    sims AS (SELECT allp.author_id,
+                    CASE WHEN ni.nrm > 0 AND nj.nrm > 0 THEN COALESCE(dp.dot, 0) / (ni.nrm * nj.nrm)
+                         ELSE 0.0 END AS sim
+             FROM allp LEFT JOIN dp USING (doc_i, doc_j)
+                       LEFT JOIN nrm ni ON ni.doc_id = allp.doc_i
+                       LEFT JOIN nrm nj ON nj.doc_id = allp.doc_j),
+    m AS (SELECT author_id, MAX(sim) AS max_sim FROM sims GROUP BY author_id),
+    n AS (SELECT author_id, COUNT(*) AS n_docs FROM docs GROUP BY author_id)
+    SELECT author_id, n_docs, round(max_sim, 6) AS max_sim, CAST(max_sim < 0.2 AS INTEGER) AS kept
+    FROM m JOIN n USING (author_id)""",
+)
+def q_diverse_authors_from_text(spark, sf):
+    docs = TX.embed_documents(fx.fx_text_docs(spark, sf), out="vec")
+    mx = author_pairs(docs, emit="max", featurize=partial(TX.bucket_matrix, dim=TX.DEFAULT_DIM))
+    n = docs.groupBy("author_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return mx.join(n, "author_id").select(
+        "author_id", "n_docs", r6("max_sim"), (F.col("max_sim") < 0.2).cast("int").alias("kept")
+    )
+
+
+@register("jsonl_round_trip", f"WITH {SQL_DOCS} SELECT doc_id, side, alias, author_id FROM rd")
+def q_jsonl_round_trip(spark, sf):
+    """Write the aliased documents as JSON lines (K1 layout, one folder per
+    role) and the id map as JSON lines, read both back with explicit schemas
+    (S1/S6) and resolve authors (J1)."""
+    from pyspark.sql import types as T
+
+    from quire.session import scratch_path
+    from quire.sources import idmap, writers
+
+    base = scratch_path(spark, "jsonl_round_trip")
+    d = fx.fx_aliased_docs(spark, sf).select(
+        F.col("doc_id").cast("string").alias("documentID"),
+        F.col("full_text").alias("fullText"),
+        F.array("alias").alias("authorIDs"),
+        "side",
+    )
+    writers.write_filtered_corpus(d, f"{base}/docs", by=("side",))
+    fx.fx_id_map(spark, sf).orderBy("pos").select(
+        F.col("map_key").alias("key"), F.col("map_value").alias("value")
+    ).write.mode("overwrite").json(f"{base}/idmap")
+
+    schema = T.StructType(
+        [
+            T.StructField("documentID", T.StringType()),
+            T.StructField("fullText", T.StringType()),
+            T.StructField("authorIDs", T.ArrayType(T.StringType())),
+            T.StructField("side", T.StringType()),
+        ]
+    )
+    back = spark.read.schema(schema).json(f"{base}/docs").select(
+        F.col("documentID").cast("bigint").alias("doc_id"), "side", F.element_at("authorIDs", 1).alias("alias")
+    )
+    m = authors.build_id_map(idmap.read_id_map_lines(spark, f"{base}/idmap"), "mixed")
+    return authors.resolve_authors(back, m).select("doc_id", "side", "alias", "author_id")
