@@ -167,7 +167,7 @@ def build_cross_role_pairs(
     return PairSet(qc, eligible, cc, rows, nq, nmiss)
 
 
-def build_first_two_pairs(docs: DataFrame, split: str, epoch: int) -> DataFrame:
+def build_first_two_pairs(docs: DataFrame, split: str, epoch: int, with_text: bool = True) -> DataFrame:
     """C5 (W2, P3, R5): per author with more than one document, the first two
     documents in arrival order (all query documents, then candidates; by
     ``seq`` inside a role) as anchor and positive, in a seeded shuffle.
@@ -182,7 +182,8 @@ def build_first_two_pairs(docs: DataFrame, split: str, epoch: int) -> DataFrame:
         F.max(F.when(F.col("rn") == 2, F.col("doc_id"))).alias("positive_doc_id"),
     ).where(F.col("positive_doc_id").isNotNull())
     rows = dense_index(pairs.withColumn("_key", shuffle_key(seed, "author_id")), ["_key", "author_id"], out="row_pos")
-    return _texts(rows.drop("_key"), docs)
+    rows = rows.drop("_key")
+    return _texts(rows, docs) if with_text else rows
 
 
 def build_labelled_rows(docs: DataFrame, expanded_map: DataFrame, min_docs: int = 5) -> DataFrame:

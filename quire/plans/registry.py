@@ -654,3 +654,63 @@ def q_jsonl_round_trip(spark, sf):
     )
     m = authors.build_id_map(idmap.read_id_map_lines(spark, f"{base}/idmap"), "mixed")
     return authors.resolve_authors(back, m).select("doc_id", "side", "alias", "author_id")
+
+
+# --------------------------------------------------------------------------
+# Step 8: the larger author table (orders) for scale checks
+# --------------------------------------------------------------------------
+
+SQL_ORDERS_DOCS = """
+rd AS (SELECT CAST(o_custkey AS VARCHAR) AS author_id, o_orderkey AS doc_id, o_orderkey AS seq,
+              CASE WHEN o_orderkey % 3 = 0 THEN 'query' ELSE 'candidate' END AS side
+       FROM orders)
+"""
+
+
+def _orders_docs(spark, sf):
+    return fx.fx_orders_docs(spark, sf)
+
+
+@register(
+    "orders_epoch_pairs",
+    f"""WITH {SQL_ORDERS_DOCS}, {SQL_PAIRS_QC}
+    SELECT pair_kind, row_id, author_id, anchor_doc_id, positive_doc_id, CAST(row_pos AS BIGINT) AS row_pos,
+           CAST(FLOOR(row_pos / 64) AS BIGINT) AS batch_id
+    FROM ep""",
+)
+def q_orders_epoch_pairs(spark, sf):
+    ps = P.build_cross_role_pairs(_orders_docs(spark, sf), EPOCH_SPLIT, EPOCH, strict=False)
+    return ps.rows.select("pair_kind", "row_id", "author_id", "anchor_doc_id", "positive_doc_id", "row_pos", "batch_id")
+
+
+@register(
+    "orders_first_two_pairs",
+    f"""WITH {SQL_ORDERS_DOCS},
+    t AS (SELECT author_id, doc_id,
+                 ROW_NUMBER() OVER (PARTITION BY author_id
+                                    ORDER BY CASE WHEN side = 'query' THEN 0 ELSE 1 END, seq, doc_id) AS rn
+          FROM rd),
+    p AS (SELECT author_id, MAX(doc_id) FILTER (WHERE rn = 1) AS anchor_doc_id,
+                 MAX(doc_id) FILTER (WHERE rn = 2) AS positive_doc_id
+          FROM t GROUP BY author_id HAVING MAX(doc_id) FILTER (WHERE rn = 2) IS NOT NULL)
+    SELECT author_id, anchor_doc_id, positive_doc_id,
+           CAST(ROW_NUMBER() OVER (ORDER BY {hash_key_sql(SEED, 'shuffle', 'author_id')}, author_id) - 1 AS BIGINT)
+             AS row_pos
+    FROM p""",
+)
+def q_orders_first_two_pairs(spark, sf):
+    out = P.build_first_two_pairs(_orders_docs(spark, sf), EPOCH_SPLIT, EPOCH, with_text=False)
+    return out.select("author_id", "anchor_doc_id", "positive_doc_id", "row_pos")
+
+
+@register(
+    "orders_role_counts",
+    f"""WITH {SQL_ORDERS_DOCS}
+    SELECT author_id,
+           CAST(COUNT(*) FILTER (WHERE side = 'query') AS BIGINT) AS n_query,
+           CAST(COUNT(*) FILTER (WHERE side = 'candidate') AS BIGINT) AS n_candidate,
+           COUNT(*) AS n_docs
+    FROM rd GROUP BY author_id""",
+)
+def q_orders_role_counts(spark, sf):
+    return authors.role_counts(_orders_docs(spark, sf))
