@@ -68,12 +68,14 @@ def dense_index(
     )
 
 
-def _local_scan_schema(df: DataFrame, sums: Sequence[str]) -> T.StructType:
+def _local_scan_schema(df: DataFrame, sums: Sequence[str], leads: Sequence[str]) -> T.StructType:
     fields = list(df.schema.fields)
     fields.append(T.StructField("_pid", T.IntegerType(), False))
     fields.append(T.StructField("_gpos", T.LongType(), False))
     for s in sums:
         fields.append(T.StructField(f"_cum_{s}", T.DoubleType(), True))
+    for c in leads:
+        fields.append(T.StructField(f"_lead_{c}", df.schema[c].dataType, True))
     return T.StructType(fields)
 
 
@@ -84,19 +86,27 @@ def grouped_running_sums(
     sums: Sequence[str],
     num_partitions: int | None = None,
     pos_col: str = "gpos",
+    leads: Sequence[str] = (),
+    totals: bool = False,
 ) -> DataFrame:
     """Per group, in ``order``: 0-based position ``pos_col`` and the running
     (inclusive) sum ``cum_<c>`` of each column in ``sums``.
 
+    ``leads`` adds ``next_<c>``, the value of ``c`` on the next row of the
+    same group (NULL on its last row); ``totals`` adds ``group_rows`` and
+    ``total_<c>`` for the whole group. All of it comes from one local scan
+    and one join with the per-segment summary.
+
     Skew-proof: a group may span any number of range partitions. Input should
     be narrow (keys and numbers); join payload back by key afterwards.
     """
     group = list(group)
     sums = list(sums)
+    leads = list(leads)
     n = _parts(df, num_partitions)
     exprs = [F.col(g) for g in group] + _order_exprs(order)
     ranged = df.repartitionByRange(n, *exprs).sortWithinPartitions(*exprs)
-    schema = _local_scan_schema(ranged, sums)
+    schema = _local_scan_schema(ranged, sums, leads)
 
     def scan(batches):
         from pyspark import TaskContext
@@ -105,11 +115,15 @@ def grouped_running_sums(
         prev_key = None
         carry_pos = 0
         carry = {s: 0.0 for s in sums}
+        held = None  # previous batch, waiting for its last row's lead
+
+        def keys_of(pdf):
+            return pd.MultiIndex.from_frame(pdf[group]) if len(group) > 1 else pd.Index(pdf[group[0]])
+
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            keys = pd.MultiIndex.from_frame(pdf[group]) if len(group) > 1 else pd.Index(pdf[group[0]])
-            # new-group flags, continuing the previous batch's last group
+            keys = keys_of(pdf)
             change = np.ones(len(pdf), dtype=bool)
             if len(pdf) > 1:
                 change[1:] = np.asarray(keys[1:] != keys[:-1])
@@ -129,21 +143,46 @@ def grouped_running_sums(
                     cs[seg == 0] += carry[s]
                 out[f"_cum_{s}"] = cs
                 carry[s] = float(cs[-1])
+            same_next = np.zeros(len(pdf), dtype=bool)
+            if len(pdf) > 1:
+                same_next[:-1] = ~change[1:]
+            for c in leads:
+                lead = pdf[c].shift(-1).astype(object)
+                lead[~same_next] = None
+                out[f"_lead_{c}"] = lead
+            if held is not None:
+                if continues:
+                    for c in leads:
+                        col = held[f"_lead_{c}"].astype(object)
+                        col.iloc[-1] = pdf[c].iloc[0]
+                        held[f"_lead_{c}"] = col
+                yield held
             carry_pos = int(pos[-1]) + 1
             prev_key = keys[-1]
-            yield out
+            held = out
+        if held is not None:
+            yield held
 
     local = stable(ranged.mapInPandas(scan, schema))
     agg = [F.count(F.lit(1)).alias("_seg_n")] + [F.sum(s).cast("double").alias(f"_seg_{s}") for s in sums]
+    agg += [F.min_by(F.col(c), F.col("_gpos")).alias(f"_first_{c}") for c in leads]
     segs = local.groupBy("_pid", *group).agg(*agg)
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    by_group = Window.partitionBy(*group)
+    before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = [F.coalesce(F.sum("_seg_n").over(before), F.lit(0)).alias("_c_n")] + [
         F.coalesce(F.sum(f"_seg_{s}").over(before), F.lit(0.0)).alias(f"_c_{s}") for s in sums
     ]
+    carry_cols += [F.lead(f"_first_{c}").over(by_group.orderBy("_pid")).alias(f"_nf_{c}") for c in leads]
+    if totals:
+        carry_cols += [F.sum("_seg_n").over(by_group).alias("group_rows")]
+        carry_cols += [F.sum(f"_seg_{s}").over(by_group).alias(f"total_{s}") for s in sums]
     carries = segs.select("_pid", *group, *carry_cols)
     out = local.join(carries, ["_pid", *group])
     out = out.withColumn(pos_col, (F.col("_gpos") + F.col("_c_n")).cast("bigint"))
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.col(f"_cum_{s}") + F.col(f"_c_{s}"))
+    for c in leads:
+        out = out.withColumn(f"next_{c}", F.coalesce(F.col(f"_lead_{c}"), F.col(f"_nf_{c}")))
     drop = ["_pid", "_gpos", "_c_n"] + [f"_cum_{s}" for s in sums] + [f"_c_{s}" for s in sums]
+    drop += [f"_lead_{c}" for c in leads] + [f"_nf_{c}" for c in leads]
     return out.drop(*drop)
