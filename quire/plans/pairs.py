@@ -20,6 +20,7 @@ from quire.functions.hashing import hash_int
 from quire.operators import authors as A
 from quire.operators.indexing import dense_index, grouped_running_sums
 from quire.operators.sampling import epoch_seed, pick_one, shuffle_key
+from quire.session import stable
 
 def side_rank():
     """Arrival order of roles: query files before candidate files."""
@@ -87,6 +88,9 @@ def build_cross_role_pairs(
     of the same split part from augmentation, as the reference did (D5).
     """
     seed = epoch_seed(split, epoch)
+    # Every step below needs only these four columns; writing them once
+    # spares each later stage a re-read and re-resolution of the documents.
+    docs = stable(docs.select("author_id", "doc_id", "seq", "side"))
     q_ids, c_ids = split_authors(docs, split_percent)
     qdocs = docs.where(F.col("side") == "query").join(q_ids, "author_id", "left_semi")
     cdocs = docs.where(F.col("side") == "candidate").join(c_ids, "author_id", "left_semi")

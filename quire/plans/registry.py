@@ -714,3 +714,77 @@ def q_orders_first_two_pairs(spark, sf):
 )
 def q_orders_role_counts(spark, sf):
     return authors.role_counts(_orders_docs(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# Alignment of a separate truth table (J7), id-map validation, epoch feed
+# --------------------------------------------------------------------------
+
+
+@register(
+    "evaluate_aligned",
+    f"WITH {SQL_SCORES}, {sql_metrics('s', 'query_id')} SELECT {SQL_MACRO_SELECT} FROM pq",
+)
+def q_evaluate_aligned(spark, sf):
+    """Scores and ground truth arrive as two long tables (as the reference's
+    two matrices); J7 aligns them on the pair key before evaluation."""
+    from quire.operators.metrics import attach_truth
+
+    q, c = fx.fx_queries(spark, sf), fx.fx_candidates(spark, sf)
+    scores = scoring.score_query_candidates(q, c)
+    truth = scoring.scored_with_truth(q, c).select("query_id", "candidate_id", "label")
+    _, macro = scoring.evaluate_attribution(attach_truth(scores, truth))
+    return macro.select("n_queries", "n_undefined", r6("mean_eer"), r6("mean_ap"))
+
+
+@register(
+    "id_map_unparsed_nested",
+    """SELECT '(''a' || CAST(conv_id AS VARCHAR) || ''', ''HRS2.0'')' AS map_key,
+              's' || CAST(conv_id AS VARCHAR) AS map_value
+       FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 3 <> 0""",
+)
+def q_id_map_unparsed_nested(spark, sf):
+    """Entries that the nested dialect cannot read (the reference would fail
+    on them); the mixed dialect reads all."""
+    return authors.id_map_unparsed(fx.fx_id_map(spark, sf), "nested").select("map_key", "map_value")
+
+
+def _sql_first_two(seed: int) -> str:
+    return f"""
+    SELECT {seed} AS epoch, author_id, anchor_doc_id, positive_doc_id,
+           CAST(ROW_NUMBER() OVER (ORDER BY {hash_key_sql(seed, 'shuffle', 'author_id')}, author_id) - 1 AS BIGINT)
+             AS row_pos
+    FROM p"""
+
+
+@register(
+    "epoch_feed",
+    f"""WITH {SQL_DOCS},
+    t AS (SELECT cid AS author_id, doc_id,
+                 ROW_NUMBER() OVER (PARTITION BY cid
+                                    ORDER BY CASE WHEN side = 'query' THEN 0 ELSE 1 END, seq, doc_id) AS rn
+          FROM d),
+    p AS (SELECT author_id, MAX(doc_id) FILTER (WHERE rn = 1) AS anchor_doc_id,
+                 MAX(doc_id) FILTER (WHERE rn = 2) AS positive_doc_id
+          FROM t GROUP BY author_id HAVING MAX(doc_id) FILTER (WHERE rn = 2) IS NOT NULL)
+    {_sql_first_two(0)}
+    UNION ALL
+    {_sql_first_two(1)}""",
+)
+def q_epoch_feed(spark, sf):
+    """Two train epochs of first-two pairs written by the epoch feed (one
+    folder per epoch) and read back."""
+    from quire.session import scratch_path
+    from quire.streaming.epochs import write_epochs
+
+    docs = fx.fx_docs(spark, sf)
+    base = scratch_path(spark, "epoch_feed")
+
+    def build(e):
+        return P.build_first_two_pairs(docs, "train", e, with_text=False)
+
+    write_epochs(build, [0, 1], base)
+    back = spark.read.parquet(base)
+    return back.select(
+        F.col("epoch").cast("int").alias("epoch"), "author_id", "anchor_doc_id", "positive_doc_id", "row_pos"
+    )

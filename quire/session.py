@@ -57,10 +57,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint so that values computed from
-    partition layout (partition id, monotonic ids) stay fixed on recompute."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write ``df`` as a table under the shared checkpoint folder
+    and read it back. Values that depend on partition layout (partition id,
+    monotonic ids) are stored as columns, so they stay fixed however the
+    table is later split, and a lost executor cannot change them. One job,
+    unlike ``checkpoint()`` which computes the plan twice unless cached."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "stable")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
