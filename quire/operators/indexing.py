@@ -68,6 +68,26 @@ def dense_index(
     )
 
 
+def _differs(pdf: pd.DataFrame, group: Sequence[str], a: slice, b: slice) -> np.ndarray:
+    """Row-wise "group key differs" between two aligned slices; NULLs equal."""
+    out = None
+    for g in group:
+        x = pdf[g].to_numpy()[a]
+        y = pdf[g].to_numpy()[b]
+        nx, ny = pd.isna(x), pd.isna(y)
+        d = (nx != ny) | (~nx & ~ny & (x != y))
+        out = d if out is None else (out | d)
+    return np.asarray(out, dtype=bool)
+
+
+def _same_key(k1: tuple, k2: tuple) -> bool:
+    for x, y in zip(k1, k2):
+        nx, ny = pd.isna(x), pd.isna(y)
+        if nx != ny or (not nx and x != y):
+            return False
+    return True
+
+
 def _local_scan_schema(df: DataFrame, sums: Sequence[str], leads: Sequence[str]) -> T.StructType:
     fields = list(df.schema.fields)
     fields.append(T.StructField("_pid", T.IntegerType(), False))
@@ -117,18 +137,14 @@ def grouped_running_sums(
         carry = {s: 0.0 for s in sums}
         held = None  # previous batch, waiting for its last row's lead
 
-        def keys_of(pdf):
-            return pd.MultiIndex.from_frame(pdf[group]) if len(group) > 1 else pd.Index(pdf[group[0]])
-
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            keys = keys_of(pdf)
             change = np.ones(len(pdf), dtype=bool)
             if len(pdf) > 1:
-                change[1:] = np.asarray(keys[1:] != keys[:-1])
-            first_key = keys[0]
-            continues = prev_key is not None and first_key == prev_key
+                change[1:] = _differs(pdf, group, slice(1, None), slice(None, -1))
+            first_key = tuple(pdf[g].iloc[0] for g in group)
+            continues = prev_key is not None and _same_key(first_key, prev_key)
             seg = np.cumsum(change) - 1
             pos = pdf.groupby(seg, sort=False).cumcount().to_numpy().astype(np.int64)
             if continues:
@@ -158,7 +174,7 @@ def grouped_running_sums(
                         held[f"_lead_{c}"] = col
                 yield held
             carry_pos = int(pos[-1]) + 1
-            prev_key = keys[-1]
+            prev_key = tuple(pdf[g].iloc[-1] for g in group)
             held = out
         if held is not None:
             yield held
@@ -176,8 +192,10 @@ def grouped_running_sums(
     if totals:
         carry_cols += [F.sum("_seg_n").over(by_group).alias("group_rows")]
         carry_cols += [F.sum(f"_seg_{s}").over(by_group).alias(f"total_{s}") for s in sums]
-    carries = segs.select("_pid", *group, *carry_cols)
-    out = local.join(carries, ["_pid", *group])
+    carries = segs.select("_pid", *[F.col(g).alias(f"_k_{g}") for g in group], *carry_cols)
+    # null-safe on the group key: a NULL key is one group, as in groupBy
+    cond = [local["_pid"] == carries["_pid"]] + [local[g].eqNullSafe(carries[f"_k_{g}"]) for g in group]
+    out = local.join(carries, cond).drop(carries["_pid"]).drop(*[f"_k_{g}" for g in group])
     out = out.withColumn(pos_col, (F.col("_gpos") + F.col("_c_n")).cast("bigint"))
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.col(f"_cum_{s}") + F.col(f"_c_{s}"))

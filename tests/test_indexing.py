@@ -51,3 +51,12 @@ def test_grouped_running_sums_hot_group(spark, parts):
     assert (m["group_rows_r"] == m["group_rows_s"]).all()
     both_null = m["next_x_r"].isna() & m["next_x_s"].isna()
     assert (both_null | (m["next_x_r"] == m["next_x_s"])).all()
+
+
+def test_grouped_running_sums_null_group_is_one_group(spark):
+    pdf = pd.DataFrame({"g": [None, None, "a", "a", None], "o": [1, 2, 3, 4, 5], "x": [1, 1, 1, 1, 1]})
+    df = spark.createDataFrame(pdf, "g string, o bigint, x bigint")
+    out = grouped_running_sums(df, ["g"], ["o"], ["x"], num_partitions=3, totals=True).toPandas()
+    assert len(out) == 5
+    nulls = out[out.g.isna()].sort_values("o")
+    assert nulls["gpos"].tolist() == [0, 1, 2] and nulls["total_x"].tolist() == [3.0] * 3
