@@ -14,15 +14,19 @@ from quire.operators.sampling import cap_ids
 from quire.operators.similarity import author_pairs
 
 
-def author_pair_similarity(docs: DataFrame, author: str = "author_id", block_rows: int = 256) -> DataFrame:
+def author_pair_similarity(
+    docs: DataFrame, author: str = "author_id", block_rows: int = 256, featurize=None
+) -> DataFrame:
     """A3 in long form: ``(author, doc_i, doc_j, sim)``; repeated document ids
     are kept as separate pairs (no collapse)."""
-    return author_pairs(docs, author=author, block_rows=block_rows, emit="pairs")
+    return author_pairs(docs, author=author, block_rows=block_rows, emit="pairs", featurize=featurize)
 
 
-def author_max_similarity(docs: DataFrame, author: str = "author_id", block_rows: int = 256) -> DataFrame:
+def author_max_similarity(
+    docs: DataFrame, author: str = "author_id", block_rows: int = 256, featurize=None
+) -> DataFrame:
     """A2: ``(author, max_sim)`` for every author with more than one document."""
-    return author_pairs(docs, author=author, block_rows=block_rows, emit="max")
+    return author_pairs(docs, author=author, block_rows=block_rows, emit="max", featurize=featurize)
 
 
 def diverse_authors(
@@ -32,11 +36,12 @@ def diverse_authors(
     seed: int = 0,
     author: str = "author_id",
     block_rows: int = 256,
+    featurize=None,
 ) -> tuple[DataFrame, DataFrame]:
     """Returns ``(info, keep)``: the max similarity of every author under the
     threshold (before the cap, as the reference's info file), and the kept
     author ids after the cap."""
-    info = author_max_similarity(docs, author, block_rows).where(F.col("max_sim") < float(threshold))
+    info = author_max_similarity(docs, author, block_rows, featurize).where(F.col("max_sim") < float(threshold))
     keep = cap_ids(info.select(author), cap, seed, id_col=author)
     return info, keep
 
