@@ -38,23 +38,33 @@ def symmetric_ranking_loss(
     positive: str = "positive_vec",
     scale: float = 20.0,
     similarity: str = "cosine",
+    negatives: tuple[str, ...] = (),
 ) -> DataFrame:
     """``s_ij = scale * sim(anchor_i, positive_j)`` inside a batch;
     forward ``lse_j s_ij - s_ii``, backward ``lse_i s_ij - s_jj``; the loss is
-    half the sum of their means. ``similarity`` is ``cosine`` or ``dot``."""
+    half the sum of their means. ``similarity`` is ``cosine`` or ``dot``.
+
+    ``negatives`` names extra vector columns (hard negatives). As in the
+    reference, they widen the forward term only: each anchor is scored
+    against every positive and every negative of the batch; the backward
+    term uses the positives alone."""
+
+    def sim(x: np.ndarray) -> np.ndarray:
+        return np_normalize(x) if similarity == "cosine" else x
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np_stack(pdf[anchor])
-        p = np_stack(pdf[positive])
-        if similarity == "cosine":
-            a, p = np_normalize(a), np_normalize(p)
+        a = sim(np_stack(pdf[anchor]))
+        p = sim(np_stack(pdf[positive]))
         s = scale * (a @ p.T)
         d = np.diag(s)
-        fwd = np.mean(_lse(s, 1) - d)
+        wide = s
+        for col in negatives:
+            wide = np.hstack([wide, scale * (a @ sim(np_stack(pdf[col])).T)])
+        fwd = np.mean(_lse(wide, 1) - d)
         bwd = np.mean(_lse(s, 0) - d)
         return pd.DataFrame({"batch_id": [int(pdf[batch].iloc[0])], "n": [len(pdf)], "loss": [(fwd + bwd) / 2.0]})
 
-    return pairs.select(batch, anchor, positive).groupBy(batch).applyInPandas(per_batch, _OUT)
+    return pairs.select(batch, anchor, positive, *negatives).groupBy(batch).applyInPandas(per_batch, _OUT)
 
 
 def multi_positive_loss(

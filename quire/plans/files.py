@@ -99,7 +99,7 @@ def pairs_from_official(
     root = jsonl.expand_path(path_template, fold, split)
     docs = A.resolve_authors(_official_docs(spark, root, layout), _official_map(spark, root, dialect), strict=strict)
     ps = pairs.build_cross_role_pairs(docs, split, epoch, split_percent, strict=strict, batch_size=batch_size)
-    return pairs._texts(ps.rows, docs)
+    return pairs.attach_texts(ps.rows, docs, ("row_id",))
 
 
 def labelled_from_official(

@@ -37,17 +37,22 @@ class PairSet:
     n_query_without_candidates: int
 
 
-def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Attach anchor and positive texts by document key (equi joins on a
-    unique key, so no key is hot)."""
-    t = docs.select("doc_id", "full_text")
-    return (
-        pairs.join(t.withColumnRenamed("doc_id", "anchor_doc_id").withColumnRenamed("full_text", "anchors"), "anchor_doc_id")
-        .join(
-            t.withColumnRenamed("doc_id", "positive_doc_id").withColumnRenamed("full_text", "positives"),
-            "positive_doc_id",
-        )
+def attach_texts(pairs: DataFrame, docs: DataFrame, key: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """Attach anchor and positive texts. Both document ids of every pair go
+    through a single join with the documents (the large side is shuffled or
+    streamed once, not once per role), then fold back to one row per pair."""
+    key = list(key)
+    roles = F.array(
+        F.struct(F.lit(0).alias("r"), F.col("anchor_doc_id").alias("d")),
+        F.struct(F.lit(1).alias("r"), F.col("positive_doc_id").alias("d")),
+    )
+    refs = pairs.select(*key, F.explode(roles).alias("x")).select(*key, "x.r", "x.d")
+    found = refs.join(docs.select(F.col("doc_id").alias("d"), "full_text"), "d")
+    texts = found.groupBy(*key).agg(
+        F.max(F.when(F.col("r") == 0, F.col("full_text"))).alias("anchors"),
+        F.max(F.when(F.col("r") == 1, F.col("full_text"))).alias("positives"),
     )
+    return pairs.join(texts, key)
 
 
 def split_authors(docs: DataFrame, split_percent: float | None) -> tuple[DataFrame, DataFrame]:
@@ -187,7 +192,7 @@ def build_first_two_pairs(docs: DataFrame, split: str, epoch: int, with_text: bo
     ).where(F.col("positive_doc_id").isNotNull())
     rows = dense_index(pairs.withColumn("_key", shuffle_key(seed, "author_id")), ["_key", "author_id"], out="row_pos")
     rows = rows.drop("_key")
-    return _texts(rows, docs) if with_text else rows
+    return attach_texts(rows, docs, ("author_id",)) if with_text else rows
 
 
 def build_labelled_rows(docs: DataFrame, expanded_map: DataFrame, min_docs: int = 5) -> DataFrame:

@@ -419,7 +419,7 @@ ep AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {hash_key_sql(SEED, 'shuffle', 'row
 )
 def q_query_candidate_pairs(spark, sf):
     ps = _pairset(spark, sf)
-    return P._texts(ps.qc, fx.fx_docs(spark, sf)).select(
+    return P.attach_texts(ps.qc, fx.fx_docs(spark, sf), ("author_id",)).select(
         "author_id", "anchor_doc_id", "positive_doc_id", "anchors", "positives"
     )
 
@@ -442,7 +442,7 @@ def q_eligible_augment_authors(spark, sf):
 )
 def q_candidate_candidate_pairs(spark, sf):
     ps = _pairset(spark, sf)
-    return P._texts(ps.cc, fx.fx_docs(spark, sf)).select(
+    return P.attach_texts(ps.cc, fx.fx_docs(spark, sf), ("draw",)).select(
         "draw", "author_id", "anchor_doc_id", "positive_doc_id", "anchors", "positives"
     )
 

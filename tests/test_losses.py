@@ -55,3 +55,16 @@ def test_multi_positive_loss_matches_numpy(spark):
                 loss[i] = -(pos / pos.sum() * logq).sum()
         assert out.loc[b, "loss"] == pytest.approx(loss.mean(), abs=1e-9)
     assert out.loc[2, "loss"] == 0.0
+
+
+def test_ranking_loss_negatives_widen_forward_only(spark):
+    rng = np.random.default_rng(2)
+    a, p, n = (rng.normal(size=(10, 4)) for _ in range(3))
+    rows = [(0, x.tolist(), y.tolist(), z.tolist()) for x, y, z in zip(a, p, n)]
+    df = spark.createDataFrame(rows, "batch_id bigint, anchor_vec array<double>, positive_vec array<double>, neg array<double>")
+    got = symmetric_ranking_loss(df, negatives=("neg",)).first()["loss"]
+    s = 20 * _norm(a) @ _norm(p).T
+    w = np.hstack([s, 20 * _norm(a) @ _norm(n).T])
+    d = np.diag(s)
+    ref = (np.mean(_lse(w, 1) - d) + np.mean(_lse(s, 0) - d)) / 2
+    assert got == pytest.approx(ref, rel=1e-12)
