@@ -31,7 +31,13 @@ def register(name: str, oracle: str | None = None):
 
 
 def r6(c: str):
-    return F.round(F.col(c), 6).alias(c)
+    """Round to 6 places; a rounded zero is +0.0 (never -0.0) in both engines."""
+    r = F.round(F.col(c), 6)
+    return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(c)
+
+
+def r6sql(expr: str) -> str:
+    return f"(CASE WHEN round({expr}, 6) = 0 THEN CAST(0 AS DOUBLE) ELSE round({expr}, 6) END)"
 
 
 # --------------------------------------------------------------------------
@@ -101,7 +107,7 @@ def _scored(spark, sf):
 
 @register(
     "score_query_candidates",
-    f"WITH {SQL_SCORES} SELECT query_id, candidate_id, round(score, 6) AS score, label FROM s",
+    f"WITH {SQL_SCORES} SELECT query_id, candidate_id, {r6sql('score')} AS score, label FROM s",
 )
 def q_score_query_candidates(spark, sf):
     return _scored(spark, sf).select("query_id", "candidate_id", r6("score"), "label")
@@ -113,7 +119,7 @@ def q_score_query_candidates(spark, sf):
     t AS (SELECT query_id, candidate_id, score,
                  ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank
           FROM s)
-    SELECT query_id, candidate_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank
+    SELECT query_id, candidate_id, {r6sql('score')} AS score, CAST(rank AS BIGINT) AS rank
     FROM t WHERE rank <= 10""",
 )
 def q_rank_top_k(spark, sf):
@@ -199,7 +205,7 @@ keep AS (SELECT author_id, max_sim FROM m WHERE max_sim < 0.2)
 
 @register(
     "author_pair_similarity",
-    f"WITH {SQL_VECTORS}, {SQL_PAIRS} SELECT author_id, doc_i, doc_j, round(sim, 6) AS sim FROM p",
+    f"WITH {SQL_VECTORS}, {SQL_PAIRS} SELECT author_id, doc_i, doc_j, {r6sql('sim')} AS sim FROM p",
 )
 def q_author_pair_similarity(spark, sf):
     return diversity.author_pair_similarity(fx.fx_vectors(spark, sf)).select(
@@ -209,7 +215,7 @@ def q_author_pair_similarity(spark, sf):
 
 @register(
     "author_max_similarity",
-    f"WITH {SQL_VECTORS}, {SQL_PAIRS} SELECT author_id, round(max_sim, 6) AS max_sim FROM m",
+    f"WITH {SQL_VECTORS}, {SQL_PAIRS} SELECT author_id, {r6sql('max_sim')} AS max_sim FROM m",
 )
 def q_author_max_similarity(spark, sf):
     return diversity.author_max_similarity(fx.fx_vectors(spark, sf)).select("author_id", r6("max_sim"))
@@ -233,7 +239,7 @@ def q_filter_diverse_authors(spark, sf):
                       ROW_NUMBER() OVER (ORDER BY md5(concat_ws('|', '0', 'cap', CAST(author_id AS VARCHAR))),
                                          author_id) AS r
                FROM keep)
-    SELECT author_id, round(max_sim, 6) AS max_sim FROM ranked WHERE r <= 50""",
+    SELECT author_id, {r6sql('max_sim')} AS max_sim FROM ranked WHERE r <= 50""",
 )
 def q_author_cap_sample(spark, sf):
     docs = fx.fx_vectors(spark, sf)
@@ -607,7 +613,7 @@ def q_embed_documents(spark, sf):
                        LEFT JOIN nrm nj ON nj.doc_id = allp.doc_j),
     m AS (SELECT author_id, MAX(sim) AS max_sim FROM sims GROUP BY author_id),
     n AS (SELECT author_id, COUNT(*) AS n_docs FROM docs GROUP BY author_id)
-    SELECT author_id, n_docs, round(max_sim, 6) AS max_sim, CAST(max_sim < 0.2 AS INTEGER) AS kept
+    SELECT author_id, n_docs, {r6sql('max_sim')} AS max_sim, CAST(max_sim < 0.2 AS INTEGER) AS kept
     FROM m JOIN n USING (author_id)""",
 )
 def q_diverse_authors_from_text(spark, sf):
