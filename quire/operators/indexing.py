@@ -27,10 +27,16 @@ from pyspark.sql import types as T
 from quire.session import stable
 
 
-def _parts(df: DataFrame, num_partitions: int | None) -> int:
+def _range(df: DataFrame, exprs: list, num_partitions: int | None) -> DataFrame:
+    """Range-partition and sort. Without an explicit count the exchange is
+    planned like a ``repartition(col)``: AQE may merge neighbouring ranges to
+    its advisory partition size, which keeps the order and fits the count to
+    the data (a handful for a small table, thousands for a large one)."""
     if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = df.repartitionByRange(int(num_partitions), *exprs)
+    else:
+        ranged = df.repartitionByRange(*exprs)
+    return ranged.sortWithinPartitions(*exprs)
 
 
 def _order_exprs(order: Sequence) -> list:
@@ -45,9 +51,8 @@ def dense_index(
     ``order`` must be a total order (unique keys), otherwise ties are numbered
     in an arbitrary but checkpoint-fixed way.
     """
-    n = _parts(df, num_partitions)
     exprs = _order_exprs(order)
-    ranged = df.repartitionByRange(n, *exprs).sortWithinPartitions(*exprs)
+    ranged = _range(df, exprs, num_partitions)
     local = ranged.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_lidx",
         F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33),
@@ -123,9 +128,8 @@ def grouped_running_sums(
     group = list(group)
     sums = list(sums)
     leads = list(leads)
-    n = _parts(df, num_partitions)
     exprs = [F.col(g) for g in group] + _order_exprs(order)
-    ranged = df.repartitionByRange(n, *exprs).sortWithinPartitions(*exprs)
+    ranged = _range(df, exprs, num_partitions)
     schema = _local_scan_schema(ranged, sums, leads)
 
     def scan(batches):

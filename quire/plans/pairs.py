@@ -55,16 +55,15 @@ def attach_texts(pairs: DataFrame, docs: DataFrame, key: tuple[str, ...] = ("row
     return pairs.join(texts, key)
 
 
-def split_authors(docs: DataFrame, split_percent: float | None) -> tuple[DataFrame, DataFrame]:
-    """R6 per role: the query and candidate author ids that the split keeps."""
-    if split_percent is None:
-        q = docs.where(F.col("side") == "query").select("author_id").distinct()
-        c = docs.where(F.col("side") == "candidate").select("author_id").distinct()
-        return q, c
-    s = A.prefix_split(docs.select("side", "author_id"), split_percent).where(F.col("selected") == 1)
+def split_authors(per_side: DataFrame, split_percent: float | None) -> tuple[DataFrame, DataFrame]:
+    """R6 per role: the query and candidate author ids that the split keeps.
+    ``per_side`` has one row per (author_id, side)."""
+    ids = per_side.select("side", "author_id")
+    if split_percent is not None:
+        ids = A.prefix_split(ids, split_percent).where(F.col("selected") == 1).select("side", "author_id")
     return (
-        s.where(F.col("side") == "query").select("author_id"),
-        s.where(F.col("side") == "candidate").select("author_id"),
+        ids.where(F.col("side") == "query").select("author_id"),
+        ids.where(F.col("side") == "candidate").select("author_id"),
     )
 
 
@@ -87,33 +86,57 @@ def build_cross_role_pairs(
       R3, R4);
     * rows: both, in a seeded shuffle (R5), numbered, with ``batch_id`` (R8).
 
-    ``strict`` fails when a query author has no candidate document (D3) or
-    nothing is eligible for augmentation (D4); otherwise such authors are
-    dropped and reported. ``compat_split`` excludes only the query authors
-    of the same split part from augmentation, as the reference did (D5).
+    The split (R6) restricts which authors are used, never which of their
+    documents. ``strict`` fails when a query author has no candidate
+    document (D3) or nothing is eligible for augmentation (D4); otherwise
+    such authors are dropped and counted. ``compat_split`` excludes only the
+    query authors of the same split part from augmentation, as the reference
+    did (D5).
+
+    The documents are aggregated once per (author, role) — size and the
+    seeded pick, both partial aggregates — and every author-level decision
+    is taken on that small table.
     """
     seed = epoch_seed(split, epoch)
-    # Every step below needs only these four columns; writing them once
-    # spares each later stage a re-read and re-resolution of the documents.
+    # Only these four columns are needed; writing them once spares each later
+    # stage a re-read and re-resolution of the documents.
     docs = stable(docs.select("author_id", "doc_id", "seq", "side"))
-    q_ids, c_ids = split_authors(docs, split_percent)
-    qdocs = docs.where(F.col("side") == "query").join(q_ids, "author_id", "left_semi")
-    cdocs = docs.where(F.col("side") == "candidate").join(c_ids, "author_id", "left_semi")
+    pick_hash = F.conv(
+        F.substring(F.md5(F.concat_ws("|", F.lit(str(int(seed))), F.col("side"), F.col("doc_id").cast("string"))), 1, 15),
+        16,
+        10,
+    ).cast("bigint")
+    per_side = stable(
+        docs.groupBy("author_id", "side").agg(
+            F.count(F.lit(1)).alias("n"), F.min_by(F.col("doc_id"), pick_hash).alias("pick")
+        )
+    )
+    q_ids, c_ids = split_authors(per_side, split_percent)
+    q_rows = per_side.where(F.col("side") == "query").join(q_ids, "author_id", "left_semi")
+    c_all = per_side.where(F.col("side") == "candidate")
 
-    qpick = pick_one(qdocs, ["author_id"], seed, "side", out="anchor_doc_id")
-    cpick = pick_one(cdocs.join(q_ids, "author_id", "left_semi"), ["author_id"], seed, "side", out="positive_doc_id")
-    qc = qpick.join(cpick, "author_id", "inner")
+    qc = q_rows.select("author_id", F.col("pick").alias("anchor_doc_id")).join(
+        c_all.select("author_id", F.col("pick").alias("positive_doc_id")), "author_id", "inner"
+    )
 
-    all_q = docs.where(F.col("side") == "query").select("author_id").distinct()
+    all_q = per_side.where(F.col("side") == "query").select("author_id")
     blocked = q_ids if compat_split else all_q
-    cand_counts = cdocs.groupBy("author_id").agg(F.count(F.lit(1)).alias("n_candidate_docs"))
-    eligible = cand_counts.where(F.col("n_candidate_docs") >= 2).join(blocked, "author_id", "left_anti")
+    eligible = (
+        c_all.join(c_ids, "author_id", "left_semi")
+        .where(F.col("n") >= 2)
+        .join(blocked, "author_id", "left_anti")
+        .select("author_id", F.col("n").alias("n_candidate_docs"))
+    )
     eligible = dense_index(eligible, ["author_id"], out="e_idx")
 
     sizes = (
-        q_ids.select(F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))
+        q_rows.select(F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))
         .unionByName(eligible.select(F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(0).alias("c")))
-        .unionByName(qpick.join(cpick, "author_id", "left_anti").select(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("c")))
+        .unionByName(
+            q_rows.join(c_all, "author_id", "left_anti").select(
+                F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("c")
+            )
+        )
         .agg(F.sum("a").alias("nq"), F.sum("b").alias("ne"), F.sum("c").alias("nmiss"))
         .first()
     )
@@ -122,6 +145,7 @@ def build_cross_role_pairs(
         raise ValueError(f"{nmiss} query authors have no candidate document")
     if strict and nq and not ne:
         raise ValueError("no candidate-only author has two candidate documents")
+    cdocs = docs.where(F.col("side") == "candidate")
 
     spark = docs.sparkSession
     if ne:
