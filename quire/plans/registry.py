@@ -794,3 +794,101 @@ def q_epoch_feed(spark, sf):
     return back.select(
         F.col("epoch").cast("int").alias("epoch"), "author_id", "anchor_doc_id", "positive_doc_id", "row_pos"
     )
+
+
+# --------------------------------------------------------------------------
+# Sinks read back: score tables (K5, S7), author info (K2), filtered
+# corpora (K1, S5) feeding the first-two builder
+# --------------------------------------------------------------------------
+
+
+@register(
+    "scores_sink_round_trip",
+    f"""WITH {SQL_SCORES},
+    runs AS (SELECT 'exact' AS run_id, query_id, score, label FROM s
+             UNION ALL
+             SELECT 'rounded' AS run_id, query_id, round(score, 1) AS score, label FROM s),
+    {sql_metrics('runs', 'run_id, query_id')}
+    SELECT run_id, {SQL_MACRO_SELECT} FROM pq GROUP BY run_id""",
+)
+def q_scores_sink_round_trip(spark, sf):
+    """Scores of two runs written under ``run_id=<id>`` (K5), ground truth as
+    its own long table, both read back (S7 long form), aligned (J7) and
+    compared (C10)."""
+    from quire.operators.metrics import attach_truth
+    from quire.session import scratch_path
+    from quire.sources import writers
+
+    scored = _scored(spark, sf)
+    base = scratch_path(spark, "scores")
+    runs = scoring.two_runs(scored)
+    for run in ("exact", "rounded"):
+        writers.write_scores(
+            runs.where(F.col("run_id") == run).select("query_id", "candidate_id", "score"), f"{base}/scores", run
+        )
+    scored.select("query_id", "candidate_id", "label").write.mode("overwrite").parquet(f"{base}/truth")
+    back = spark.read.parquet(f"{base}/scores")
+    truth = spark.read.parquet(f"{base}/truth")
+    aligned = attach_truth(back, truth)
+    return scoring.compare_runs(aligned).select("run_id", "n_queries", "n_undefined", r6("mean_eer"), r6("mean_ap"))
+
+
+@register(
+    "author_info_round_trip",
+    f"""WITH {SQL_VECTORS}, {SQL_PAIRS}
+    SELECT author_id, doc_i, doc_j, {r6sql('sim')} AS sim FROM p
+    WHERE author_id IN (SELECT author_id FROM keep)""",
+)
+def q_author_info_round_trip(spark, sf):
+    """The author info of the diversity filter (K2) written and read back:
+    the pair similarities of every author under the threshold."""
+    from quire.session import scratch_path
+    from quire.sources import writers
+
+    docs = fx.fx_vectors(spark, sf)
+    info, _ = diversity.diverse_authors(docs, threshold=0.2)
+    base = scratch_path(spark, "author_info")
+    writers.write_author_info(info, diversity.author_pair_similarity(docs), base)
+    return spark.read.parquet(f"{base}/pairs").select("author_id", "doc_i", "doc_j", r6("sim"))
+
+
+@register(
+    "filtered_corpora_first_two",
+    f"""WITH {SQL_DOCS},
+    t AS (SELECT cid AS author_id, doc_id,
+                 ROW_NUMBER() OVER (PARTITION BY cid
+                                    ORDER BY CASE WHEN side = 'query' THEN 0 ELSE 1 END, seq, doc_id) AS rn
+          FROM d),
+    p AS (SELECT author_id, MAX(doc_id) FILTER (WHERE rn = 1) AS anchor_doc_id,
+                 MAX(doc_id) FILTER (WHERE rn = 2) AS positive_doc_id
+          FROM t GROUP BY author_id HAVING MAX(doc_id) FILTER (WHERE rn = 2) IS NOT NULL),
+    r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {hash_key_sql(SEED, 'shuffle', 'author_id')}, author_id) - 1 AS row_pos
+          FROM p)
+    SELECT r.author_id, CAST(row_pos AS BIGINT) AS row_pos, a.full_text AS anchors, b.full_text AS positives
+    FROM r JOIN d a ON a.doc_id = r.anchor_doc_id JOIN d b ON b.doc_id = r.positive_doc_id""",
+)
+def q_filtered_corpora_first_two(spark, sf):
+    """Documents written as two filtered corpora (K1 layout: one folder per
+    ``<split>_<role>_filtered.jsonl``, rows in arrival order), read back with
+    the multi-corpus scan (S5) and arrival order, then C5."""
+    from quire.plans.files import first_two_from_filtered
+    from quire.session import scratch_path
+
+    base = scratch_path(spark, "filtered_corpora")
+    d = fx.fx_docs(spark, sf)
+    for parity in (0, 1):
+        part = d.where(F.col("author_id").cast("bigint") % 2 == parity)
+        for role, name in (("query", "queries"), ("candidate", "candidates")):
+            (
+                part.where(F.col("side") == role)
+                .orderBy("seq", "doc_id")
+                .select(
+                    F.col("doc_id").cast("string").alias("documentID"),
+                    F.col("full_text").alias("fullText"),
+                    F.array("author_id").alias("authorIDs"),
+                )
+                .write.mode("overwrite")
+                .json(f"{base}/corpus{parity}/{EPOCH_SPLIT}_{name}_filtered.jsonl")
+            )
+    out = first_two_from_filtered(spark, f"{base}/*/{{split}}", EPOCH_SPLIT, EPOCH)
+    return out.select("author_id", "row_pos", "anchors", "positives")
