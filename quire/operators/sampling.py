@@ -6,10 +6,10 @@ result is a pure function of the data and ``(seed, tag)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.hashing import hash_int, hash_key
+from quire.functions.hashing import hash_key
 from quire.operators.indexing import dense_index
 
 
@@ -41,14 +41,6 @@ def pick_one(
     return docs.groupBy(*group).agg(F.min_by(F.col(doc), h.cast("bigint")).alias(out))
 
 
-def top_two_by_hash(rows: DataFrame, group: list[str], seed: int, tag: str, doc: str = "doc_id") -> DataFrame:
-    """Two distinct rows per group in random order (``rn`` 1 and 2).
-    ``row_number() <= 2`` runs as a partial WindowGroupLimit before the
-    shuffle, so each map task sends at most two rows per group."""
-    w = Window.partitionBy(*group).orderBy(hash_int(seed, tag, *group, doc), F.col(doc))
-    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 2)
-
-
 def shuffle_key(seed: int, row_id) -> "F.Column":
     """Sort key of the seeded epoch shuffle."""
     return hash_key(seed, "shuffle", row_id)

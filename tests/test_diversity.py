@@ -45,15 +45,15 @@ def test_blocked_pairs_equal_plain(spark):
         for j in range(int(rng.integers(1, 5))):
             rows.append((f"a{a}", 1000 + a * 10 + j, j, rng.normal(size=8).tolist()))
     d = _docs(spark, rows)
-    plain = author_pairs(d, block_rows=10_000).toPandas()
-    blocked = author_pairs(d, block_rows=7).toPandas()
+    plain = author_pairs(d, block_rows=10_000).toPandas()  # every author packed
+    blocked = author_pairs(d, block_rows=7, pack_rows=5).toPandas()  # cells, and many small packs
     key = ["author_id", "doc_i", "doc_j"]
     m = plain.merge(blocked, on=key, suffixes=("_p", "_b"))
     assert len(plain) == len(blocked) == len(m)
     assert np.allclose(m["sim_p"], m["sim_b"])
     assert len(plain[plain.author_id == "hot"]) == 60 * 59 // 2
     mx_plain = author_pairs(d, block_rows=10_000, emit="max").toPandas().set_index("author_id")
-    mx_blocked = author_pairs(d, block_rows=7, emit="max").toPandas().set_index("author_id")
+    mx_blocked = author_pairs(d, block_rows=7, emit="max", pack_rows=5).toPandas().set_index("author_id")
     assert np.allclose(mx_plain.sort_index()["max_sim"], mx_blocked.sort_index()["max_sim"])
 
 
