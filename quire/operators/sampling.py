@@ -30,15 +30,20 @@ def cap_ids(ids: DataFrame, cap: int | None, seed: int, id_col: str = "author_id
     return ranked.where(F.col("_r") < int(cap)).drop("_h", "_r")
 
 
+def pick_hash(seed: int, tag_col: str | None, doc: str = "doc_id"):
+    """The R2 draw key of a row: ``hash_int(seed, <tag column>, doc)``."""
+    tag = F.col(tag_col) if tag_col else F.lit("one")
+    key = F.md5(F.concat_ws("|", F.lit(str(int(seed))), tag, F.col(doc).cast("string")))
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")
+
+
 def pick_one(
     docs: DataFrame, group: list[str], seed: int, tag_col: str | None, doc: str = "doc_id", out: str = "pick"
 ) -> DataFrame:
     """R2: one uniformly chosen ``doc`` per group: the smallest
-    ``hash_int(seed, tag, doc)``. ``min_by`` aggregates partially before the
-    shuffle, so a hot group costs no more than any other."""
-    tag = F.col(tag_col) if tag_col else F.lit("one")
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(int(seed))), tag, F.col(doc).cast("string"))), 1, 15), 16, 10)
-    return docs.groupBy(*group).agg(F.min_by(F.col(doc), h.cast("bigint")).alias(out))
+    :func:`pick_hash`. ``min_by`` aggregates partially before the shuffle,
+    so a hot group costs no more than any other."""
+    return docs.groupBy(*group).agg(F.min_by(F.col(doc), pick_hash(seed, tag_col, doc)).alias(out))
 
 
 def shuffle_key(seed: int, row_id) -> "F.Column":

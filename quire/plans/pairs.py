@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quire.functions.hashing import hash_int
 from quire.operators import authors as A
 from quire.operators.indexing import dense_index, grouped_running_sums
-from quire.operators.sampling import epoch_seed, pick_one, shuffle_key
+from quire.operators.sampling import epoch_seed, pick_hash, shuffle_key
 from quire.session import stable
 
 def side_rank():
@@ -101,14 +101,9 @@ def build_cross_role_pairs(
     # Only these four columns are needed; writing them once spares each later
     # stage a re-read and re-resolution of the documents.
     docs = stable(docs.select("author_id", "doc_id", "seq", "side"))
-    pick_hash = F.conv(
-        F.substring(F.md5(F.concat_ws("|", F.lit(str(int(seed))), F.col("side"), F.col("doc_id").cast("string"))), 1, 15),
-        16,
-        10,
-    ).cast("bigint")
     per_side = stable(
         docs.groupBy("author_id", "side").agg(
-            F.count(F.lit(1)).alias("n"), F.min_by(F.col("doc_id"), pick_hash).alias("pick")
+            F.count(F.lit(1)).alias("n"), F.min_by(F.col("doc_id"), pick_hash(seed, "side")).alias("pick")
         )
     )
     q_ids, c_ids = split_authors(per_side, split_percent)
