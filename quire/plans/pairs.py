@@ -36,6 +36,11 @@ class PairSet:
     n_query_authors: int
     n_query_without_candidates: int
 
+    @property
+    def expected_rows(self) -> int:
+        """Rows per epoch, two per query author that has candidates."""
+        return 2 * self.n_query_authors - self.n_query_without_candidates
+
 
 def attach_texts(pairs: DataFrame, docs: DataFrame, key: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """Attach anchor and positive texts. Both document ids of every pair go

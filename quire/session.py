@@ -75,13 +75,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the written tables under the checkpoint folder (call when a
-    job's results are saved; a rerun recreates what it needs)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/") + "/tables"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        fs.delete(path, True)

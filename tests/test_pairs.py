@@ -51,7 +51,7 @@ def test_invariants(spark):
         assert r["author_id"] not in q_authors
         assert d[r["anchor_doc_id"]][1] == d[r["positive_doc_id"]][1] == "candidate"
     # 2 rows per query author, less those without candidates (D3)
-    assert ps.rows.count() == 2 * ps.n_query_authors - ps.n_query_without_candidates
+    assert ps.rows.count() == ps.expected_rows == 2 * ps.n_query_authors - ps.n_query_without_candidates
     pos = sorted(r["row_pos"] for r in ps.rows.collect())
     assert pos == list(range(len(pos)))
 
@@ -107,3 +107,22 @@ def test_pick_one_is_seeded_and_partition_free(spark):
     assert p1 == p2 and set(p1) == {"a", "b"}
     assert p1["a"] in range(50) and p1["b"] in range(100, 103)
     assert p3["a"] in range(50)
+
+
+def test_hot_candidate_author(spark):
+    """One candidate-only author holds a third of all documents: draws of it
+    pick two distinct documents by position lookup, never a scan of all."""
+    rows = []
+    for a in range(30):  # query authors with one query and one candidate document
+        rows += [(f"q{a:02d}", a * 10, 0, "query"), (f"q{a:02d}", a * 10 + 1, 1, "candidate")]
+    rows += [(f"c{a:02d}", 1000 + a * 10 + j, j, "candidate") for a in range(10) for j in range(2)]
+    rows += [("hot", 5000 + j, j, "candidate") for j in range(50)]
+    docs = spark.createDataFrame(rows, "author_id string, doc_id bigint, seq bigint, side string")
+    ps = P.build_cross_role_pairs(docs, "train", 3)
+    cc = ps.cc.collect()
+    assert len(cc) == 30
+    for r in cc:
+        assert r["anchor_doc_id"] != r["positive_doc_id"]
+        if r["author_id"] == "hot":
+            assert 5000 <= r["anchor_doc_id"] < 5050 and 5000 <= r["positive_doc_id"] < 5050
+    assert ps.rows.count() == ps.expected_rows == 60
