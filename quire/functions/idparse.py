@@ -7,7 +7,7 @@ A key is the text of a Python tuple. Two shapes occur::
 
 Dialect ``nested``: the canonical id is the first element of the tuple written
 inside the first element. Dialect ``mixed``: when the second element starts
-with ``HRS1`` the key is nested, otherwise the first element is the id.
+with :data:`NESTED_SOURCE_PREFIX` the key is nested, otherwise the first element is the id.
 A key that does not parse gives NULL; callers count those rows.
 """
 
@@ -16,6 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value (must equal the input format): the source tag prefix that marks
+# a nested key in the mixed dialect.
+NESTED_SOURCE_PREFIX = "HRS1"
+
 # A single- or double-quoted Python string literal (no escaped quotes inside).
 _SQ = r"'([^'\\]*)'"
 _DQ = r'"([^"\\]*)"'
@@ -51,5 +55,5 @@ def parse_author_key(key, dialect: str = "nested") -> Column:
         return inner_first(first)
     if dialect == "mixed":
         second = outer_second(key)
-        return F.when(second.startswith("HRS1"), inner_first(first)).otherwise(first)
+        return F.when(second.startswith(NESTED_SOURCE_PREFIX), inner_first(first)).otherwise(first)
     raise ValueError(f"unknown id-map dialect {dialect!r}")

@@ -69,16 +69,16 @@ def author_filter_from_jsonl(
 
 
 def _official_docs(spark: SparkSession, root: str, layout: str) -> DataFrame:
-    sub = "TA2/hrs_*/data" if layout == "A" else "data"
-    q = jsonl.read_official_queries(spark, f"{root}/{sub}/*_input_queries.jsonl")
-    c = jsonl.read_official_candidates(spark, f"{root}/{sub}/*_input_candidates.jsonl")
+    sub = jsonl.OFFICIAL_DATA_DIR[layout]
+    q = jsonl.read_official_queries(spark, f"{root}/{sub}/{jsonl.OFFICIAL_QUERIES}")
+    c = jsonl.read_official_candidates(spark, f"{root}/{sub}/{jsonl.OFFICIAL_CANDIDATES}")
     cols = ["fullText", "alias", "side", "file", "_block", "_row"]
     docs = jsonl.with_arrival_seq(q.select(*cols).unionByName(c.select(*cols)))
     return docs.select(F.col("seq").alias("doc_id"), "seq", "side", "alias", F.col("fullText").alias("full_text"))
 
 
 def _official_map(spark: SparkSession, root: str, dialect: str) -> DataFrame:
-    return A.build_id_map(idmap.read_id_map_object(spark, f"{root}/author-set-ids-map.json"), dialect)
+    return A.build_id_map(idmap.read_id_map_object(spark, f"{root}/{jsonl.ID_MAP_FILE}"), dialect)
 
 
 def pairs_from_official(
@@ -93,8 +93,8 @@ def pairs_from_official(
     strict: bool = True,
     batch_size: int = 64,
 ) -> DataFrame:
-    """C2 (``dialect='nested'``, layout A: ``TA2/hrs_*/data``) and C3
-    (``dialect='mixed'``, layout B: ``data``): one epoch of
+    """C2 (``dialect='nested'``, layout A) and C3 (``dialect='mixed'``,
+    layout B), see :data:`quire.sources.jsonl.OFFICIAL_DATA_DIR`: one epoch of
     ``(anchors, positives)`` rows in their shuffled order."""
     root = jsonl.expand_path(path_template, fold, split)
     docs = A.resolve_authors(_official_docs(spark, root, layout), _official_map(spark, root, dialect), strict=strict)
@@ -108,7 +108,7 @@ def labelled_from_official(
     """C4: labelled rows ``(anchors, others, labels)`` in writer order."""
     root = jsonl.expand_path(path_template, fold, split)
     docs = A.resolve_authors(_official_docs(spark, root, layout), _official_map(spark, root, dialect))
-    expanded = A.expand_id_map(idmap.read_id_map_object(spark, f"{root}/author-set-ids-map.json"), dialect)
+    expanded = A.expand_id_map(idmap.read_id_map_object(spark, f"{root}/{jsonl.ID_MAP_FILE}"), dialect)
     return pairs.build_labelled_rows(docs, expanded, min_docs)
 
 

@@ -15,6 +15,16 @@ from pyspark.sql import types as T
 
 from quire.operators.indexing import dense_index
 
+# Fixed values (must equal the input layout): file names and folders of the
+# official query/candidate release and of the filtered corpora.
+OFFICIAL_DATA_DIR = {"A": "TA2/hrs_*/data", "B": "data"}
+OFFICIAL_QUERIES = "*_input_queries.jsonl"
+OFFICIAL_CANDIDATES = "*_input_candidates.jsonl"
+ID_MAP_FILE = "author-set-ids-map.json"
+FILTERED_QUERIES_SUFFIX = "_queries_filtered.jsonl"
+FILTERED_CANDIDATES_SUFFIX = "_candidates_filtered.jsonl"
+FILTERED_MARK = "filtered"
+
 CORPUS_SCHEMA = T.StructType(
     [
         T.StructField("documentID", T.StringType()),
@@ -62,7 +72,7 @@ def read_corpus(
     schema = CORPUS_SCHEMA if extra is None else T.StructType(CORPUS_SCHEMA.fields + extra.fields)
     df = _scan(spark, directory, schema, f"{split}*.jsonl")
     name = F.element_at(F.split(F.col("file"), "/"), -1)
-    return df.where(~name.contains("filtered")).withColumn("authorID", F.element_at("authorIDs", 1))
+    return df.where(~name.contains(FILTERED_MARK)).withColumn("authorID", F.element_at("authorIDs", 1))
 
 
 def _single_file(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
@@ -89,8 +99,8 @@ def read_filtered_corpora(spark: SparkSession, prefix_glob: str) -> DataFrame:
     """S5 + U2: all ``<prefix>_queries_filtered.jsonl`` then all
     ``<prefix>_candidates_filtered.jsonl`` (the prefix may glob over corpora);
     ``author_id`` = authorIDs[0], ``side`` from the file."""
-    q = _scan(spark, prefix_glob + "_queries_filtered.jsonl", CORPUS_SCHEMA).withColumn("side", F.lit("query"))
-    c = _scan(spark, prefix_glob + "_candidates_filtered.jsonl", CORPUS_SCHEMA).withColumn("side", F.lit("candidate"))
+    q = _scan(spark, prefix_glob + FILTERED_QUERIES_SUFFIX, CORPUS_SCHEMA).withColumn("side", F.lit("query"))
+    c = _scan(spark, prefix_glob + FILTERED_CANDIDATES_SUFFIX, CORPUS_SCHEMA).withColumn("side", F.lit("candidate"))
     return q.unionByName(c).withColumn("author_id", F.element_at("authorIDs", 1))
 
 
