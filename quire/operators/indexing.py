@@ -5,7 +5,8 @@
 
 1. range-partition on the sort key and sort inside each partition;
 2. number / sum rows locally per partition (JVM ids, or Arrow batches);
-3. cut lineage with a reliable checkpoint so the layout is fixed;
+3. write that result once as a table under ``spark.checkpoint.dir``, so
+   the layout-dependent numbers are fixed columns from then on;
 4. add offsets from a per-partition (or per partition-and-group) summary.
 
 The summary has at most one row per partition (plus one per group that a
@@ -49,7 +50,7 @@ def dense_index(
     """Add ``out`` = 0-based position of each row in the total order ``order``.
 
     ``order`` must be a total order (unique keys), otherwise ties are numbered
-    in an arbitrary but checkpoint-fixed way.
+    in an arbitrary order, fixed once the numbered table is written.
     """
     exprs = _order_exprs(order)
     ranged = _range(df, exprs, num_partitions)
