@@ -4,10 +4,12 @@
 (or the whole table) into one task. These helpers instead:
 
 1. range-partition on the sort key and sort inside each partition;
-2. number / sum rows locally per partition (JVM ids, or Arrow batches);
+2. number rows locally per partition (partition id and monotonic id);
 3. write that result once as a table under ``spark.checkpoint.dir``, so
    the layout-dependent numbers are fixed columns from then on;
-4. add offsets from a per-partition (or per partition-and-group) summary.
+4. add offsets from a per-partition (or per partition-and-group) summary;
+   running sums use windows over (partition, group) segments, each bounded
+   by one range partition.
 
 The summary has at most one row per partition (plus one per group that a
 partition holds), so the broadcast of offsets is bounded by the partition
@@ -19,11 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.session import stable
 
@@ -74,37 +73,6 @@ def dense_index(
     )
 
 
-def _differs(pdf: pd.DataFrame, group: Sequence[str], a: slice, b: slice) -> np.ndarray:
-    """Row-wise "group key differs" between two aligned slices; NULLs equal."""
-    out = None
-    for g in group:
-        x = pdf[g].to_numpy()[a]
-        y = pdf[g].to_numpy()[b]
-        nx, ny = pd.isna(x), pd.isna(y)
-        d = (nx != ny) | (~nx & ~ny & (x != y))
-        out = d if out is None else (out | d)
-    return np.asarray(out, dtype=bool)
-
-
-def _same_key(k1: tuple, k2: tuple) -> bool:
-    for x, y in zip(k1, k2):
-        nx, ny = pd.isna(x), pd.isna(y)
-        if nx != ny or (not nx and x != y):
-            return False
-    return True
-
-
-def _local_scan_schema(df: DataFrame, sums: Sequence[str], leads: Sequence[str]) -> T.StructType:
-    fields = list(df.schema.fields)
-    fields.append(T.StructField("_pid", T.IntegerType(), False))
-    fields.append(T.StructField("_gpos", T.LongType(), False))
-    for s in sums:
-        fields.append(T.StructField(f"_cum_{s}", T.DoubleType(), True))
-    for c in leads:
-        fields.append(T.StructField(f"_lead_{c}", df.schema[c].dataType, True))
-    return T.StructType(fields)
-
-
 def grouped_running_sums(
     df: DataFrame,
     group: Sequence[str],
@@ -120,78 +88,42 @@ def grouped_running_sums(
 
     ``leads`` adds ``next_<c>``, the value of ``c`` on the next row of the
     same group (NULL on its last row); ``totals`` adds ``group_rows`` and
-    ``total_<c>`` for the whole group. All of it comes from one local scan
-    and one join with the per-segment summary.
-
-    Skew-proof: a group may span any number of range partitions. Input should
-    be narrow (keys and numbers); join payload back by key afterwards.
+    ``total_<c>`` for the whole group.
+
+    Skew-proof: rows are range-partitioned on (group, order) and numbered
+    inside each range partition; the windows then run per (partition, group)
+    segment, which is never larger than one range partition, and a small
+    per-segment summary carries counts, sums and the next row across
+    partition borders. A group may span any number of partitions. All of it
+    is built-in window and aggregate functions. Input should be narrow (keys
+    and numbers); join payload back by key afterwards.
     """
     group = list(group)
     sums = list(sums)
     leads = list(leads)
     exprs = [F.col(g) for g in group] + _order_exprs(order)
     ranged = _range(df, exprs, num_partitions)
-    schema = _local_scan_schema(ranged, sums, leads)
-
-    def scan(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        prev_key = None
-        carry_pos = 0
-        carry = {s: 0.0 for s in sums}
-        held = None  # previous batch, waiting for its last row's lead
-
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            change = np.ones(len(pdf), dtype=bool)
-            if len(pdf) > 1:
-                change[1:] = _differs(pdf, group, slice(1, None), slice(None, -1))
-            first_key = tuple(pdf[g].iloc[0] for g in group)
-            continues = prev_key is not None and _same_key(first_key, prev_key)
-            seg = np.cumsum(change) - 1
-            pos = pdf.groupby(seg, sort=False).cumcount().to_numpy().astype(np.int64)
-            if continues:
-                pos[seg == 0] += carry_pos
-            out = pdf.copy()
-            out["_pid"] = np.int32(pid)
-            out["_gpos"] = pos
-            for s in sums:
-                vals = pdf[s].astype("float64").fillna(0.0)
-                cs = vals.groupby(seg, sort=False).cumsum().to_numpy()
-                if continues:
-                    cs[seg == 0] += carry[s]
-                out[f"_cum_{s}"] = cs
-                carry[s] = float(cs[-1])
-            same_next = np.zeros(len(pdf), dtype=bool)
-            if len(pdf) > 1:
-                same_next[:-1] = ~change[1:]
-            for c in leads:
-                lead = pdf[c].shift(-1).astype(object)
-                lead[~same_next] = None
-                out[f"_lead_{c}"] = lead
-            if held is not None:
-                if continues:
-                    for c in leads:
-                        col = held[f"_lead_{c}"].astype(object)
-                        col.iloc[-1] = pdf[c].iloc[0]
-                        held[f"_lead_{c}"] = col
-                yield held
-            carry_pos = int(pos[-1]) + 1
-            prev_key = tuple(pdf[g].iloc[-1] for g in group)
-            held = out
-        if held is not None:
-            yield held
-
-    local = stable(ranged.mapInPandas(scan, schema))
-    agg = [F.count(F.lit(1)).alias("_seg_n")] + [F.sum(s).cast("double").alias(f"_seg_{s}") for s in sums]
-    agg += [F.min_by(F.col(c), F.col("_gpos")).alias(f"_first_{c}") for c in leads]
+    local = stable(
+        ranged.withColumn("_pid", F.spark_partition_id()).withColumn(
+            "_lidx", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+        )
+    )
+    seg_w = Window.partitionBy("_pid", *group).orderBy("_lidx")
+    seg_run = seg_w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = local.select(
+        "*",
+        (F.row_number().over(seg_w) - 1).cast("bigint").alias("_gpos"),
+        *[F.sum(s).over(seg_run).alias(f"_cum_{s}") for s in sums],
+        *[F.lead(c).over(seg_w).alias(f"_lead_{c}") for c in leads],
+    )
+
+    agg = [F.count(F.lit(1)).alias("_seg_n")] + [F.sum(s).alias(f"_seg_{s}") for s in sums]
+    agg += [F.min_by(F.col(c), F.col("_lidx")).alias(f"_first_{c}") for c in leads]
     segs = local.groupBy("_pid", *group).agg(*agg)
     by_group = Window.partitionBy(*group)
     before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = [F.coalesce(F.sum("_seg_n").over(before), F.lit(0)).alias("_c_n")] + [
-        F.coalesce(F.sum(f"_seg_{s}").over(before), F.lit(0.0)).alias(f"_c_{s}") for s in sums
+        F.coalesce(F.sum(f"_seg_{s}").over(before), F.lit(0)).alias(f"_c_{s}") for s in sums
     ]
     carry_cols += [F.lead(f"_first_{c}").over(by_group.orderBy("_pid")).alias(f"_nf_{c}") for c in leads]
     if totals:
@@ -199,13 +131,13 @@ def grouped_running_sums(
         carry_cols += [F.sum(f"_seg_{s}").over(by_group).alias(f"total_{s}") for s in sums]
     carries = segs.select("_pid", *[F.col(g).alias(f"_k_{g}") for g in group], *carry_cols)
     # null-safe on the group key: a NULL key is one group, as in groupBy
-    cond = [local["_pid"] == carries["_pid"]] + [local[g].eqNullSafe(carries[f"_k_{g}"]) for g in group]
-    out = local.join(carries, cond).drop(carries["_pid"]).drop(*[f"_k_{g}" for g in group])
+    cond = [scanned["_pid"] == carries["_pid"]] + [scanned[g].eqNullSafe(carries[f"_k_{g}"]) for g in group]
+    out = scanned.join(carries, cond).drop(carries["_pid"]).drop(*[f"_k_{g}" for g in group])
     out = out.withColumn(pos_col, (F.col("_gpos") + F.col("_c_n")).cast("bigint"))
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.col(f"_cum_{s}") + F.col(f"_c_{s}"))
     for c in leads:
         out = out.withColumn(f"next_{c}", F.coalesce(F.col(f"_lead_{c}"), F.col(f"_nf_{c}")))
-    drop = ["_pid", "_gpos", "_c_n"] + [f"_cum_{s}" for s in sums] + [f"_c_{s}" for s in sums]
+    drop = ["_pid", "_lidx", "_gpos", "_c_n"] + [f"_cum_{s}" for s in sums] + [f"_c_{s}" for s in sums]
     drop += [f"_lead_{c}" for c in leads] + [f"_nf_{c}" for c in leads]
     return out.drop(*drop)
