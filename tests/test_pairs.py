@@ -126,3 +126,24 @@ def test_hot_candidate_author(spark):
         if r["author_id"] == "hot":
             assert 5000 <= r["anchor_doc_id"] < 5050 and 5000 <= r["positive_doc_id"] < 5050
     assert ps.rows.count() == ps.expected_rows == 60
+
+
+def test_split_restricts_authors_not_documents(spark):
+    """R6 cuts the sorted query and candidate id lists separately."""
+    rows = []
+    for a in range(10):  # authors a00..a09 with 1 query and 3 candidate documents each
+        rows.append((f"a{a:02d}", a * 10, 0, "query"))
+        rows += [(f"a{a:02d}", a * 10 + j, j, "candidate") for j in range(1, 4)]
+    # candidate-only authors that sort first: candidates are _c0.._c2, a00..a09
+    rows += [(f"_c{a}", 500 + a * 10 + j, j, "candidate") for a in range(3) for j in range(2)]
+    docs = spark.createDataFrame(rows, "author_id string, doc_id bigint, seq bigint, side string")
+    head = P.build_cross_role_pairs(docs, "train", 0, split_percent=0.8)
+    assert sorted(r["author_id"] for r in head.qc.collect()) == [f"a{i:02d}" for i in range(8)]
+    assert {r["author_id"] for r in head.eligible.collect()} == {"_c0", "_c1", "_c2"}
+    # the tail part: queries a08, a09; candidates a07, a08, a09
+    tail = P.build_cross_role_pairs(docs, "train", 0, split_percent=0.2, strict=False)
+    assert sorted(r["author_id"] for r in tail.qc.collect()) == ["a08", "a09"]
+    assert tail.eligible.count() == 0  # default: no query author is ever drawn
+    compat = P.build_cross_role_pairs(docs, "train", 0, split_percent=0.2, compat_split=True)
+    assert {r["author_id"] for r in compat.eligible.collect()} == {"a07"}  # as the reference did
+    assert {r["author_id"] for r in compat.cc.collect()} == {"a07"}
