@@ -4,7 +4,6 @@ import json
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from quire.plans import files
