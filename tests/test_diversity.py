@@ -77,3 +77,20 @@ def test_cap_is_seeded_and_bounded(spark):
     _, k3 = diversity.diverse_authors(docs, cap=10, seed=6)
     a, b, c = (sorted(r[0] for r in k.collect()) for k in (k1, k2, k3))
     assert len(a) == 10 and a == b and a != c
+
+
+def test_similarity_exactly_at_threshold_is_dropped(spark):
+    # cos((1,0,0,0), (1,4,2,2)) = 1 / 5 exactly
+    d = _docs(spark, [("eq", 1, 1, [1.0, 0.0, 0.0, 0.0]), ("eq", 2, 2, [1.0, 4.0, 2.0, 2.0]),
+                      ("lo", 3, 1, [1.0, 0.0, 0.0, 0.0]), ("lo", 4, 2, [0.0, 1.0, 0.0, 0.0])])
+    mx = {r["author_id"]: r["max_sim"] for r in diversity.author_max_similarity(d).collect()}
+    assert mx["eq"] == 0.2
+    _, keep = diversity.diverse_authors(d, threshold=0.2)
+    assert [r[0] for r in keep.collect()] == ["lo"]
+
+
+def test_repeated_document_ids_are_not_collapsed(spark):
+    d = _docs(spark, [("r", 7, 1, [1.0, 0.0]), ("r", 7, 2, [0.0, 1.0]), ("r", 8, 3, [1.0, 1.0])])
+    pairs = diversity.author_pair_similarity(d).collect()
+    assert len(pairs) == 3
+    assert sorted((p["doc_i"], p["doc_j"]) for p in pairs) == [(7, 7), (7, 8), (7, 8)]
