@@ -170,12 +170,25 @@ def build_cross_role_pairs(
             ["_one"],
             pos_col="_pos",
         ).select("author_id", "_pos", "doc_id")
+        # both positions of every draw go through one join with the position
+        # table, then fold back to one row per draw
+        refs = drawn.select(
+            "draw",
+            "author_id",
+            F.explode(
+                F.array(
+                    F.struct(F.lit(0).alias("r"), F.col("_i1").alias("_pos")),
+                    F.struct(F.lit(1).alias("r"), F.col("_i2").alias("_pos")),
+                )
+            ).alias("x"),
+        ).select("draw", "author_id", "x.r", "x._pos")
         cc = (
-            drawn.join(
-                pos.withColumnRenamed("_pos", "_i1").withColumnRenamed("doc_id", "anchor_doc_id"), ["author_id", "_i1"]
+            refs.join(pos, ["author_id", "_pos"])
+            .groupBy("draw", "author_id")
+            .agg(
+                F.max(F.when(F.col("r") == 0, F.col("doc_id"))).alias("anchor_doc_id"),
+                F.max(F.when(F.col("r") == 1, F.col("doc_id"))).alias("positive_doc_id"),
             )
-            .join(pos.withColumnRenamed("_pos", "_i2").withColumnRenamed("doc_id", "positive_doc_id"), ["author_id", "_i2"])
-            .select("draw", "author_id", "anchor_doc_id", "positive_doc_id")
         )
     else:
         cc = spark.createDataFrame([], "draw bigint, author_id string, anchor_doc_id bigint, positive_doc_id bigint")
@@ -227,9 +240,10 @@ def build_labelled_rows(docs: DataFrame, expanded_map: DataFrame, min_docs: int
     counts = docs.groupBy("author_id").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct(side_rank().alias("r"), F.col("seq"), F.col("doc_id"))).alias("_first")
     )
-    big = counts.where(F.col("_n") > min_docs)
     labels = A.label_ids(expanded_map).withColumnRenamed("id", "author_id")
-    out = docs.join(big, "author_id").join(labels, "author_id")
+    # author-level tables meet first; the documents are joined once
+    big = counts.where(F.col("_n") > min_docs).join(labels, "author_id")
+    out = docs.join(big, "author_id")
     return out.select(
         "author_id",
         "doc_id",
