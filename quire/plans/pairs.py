@@ -35,6 +35,7 @@ class PairSet:
     rows: DataFrame  # the epoch: qc + cc, shuffled, with position and batch
     n_query_authors: int
     n_query_without_candidates: int
+    n_candidate_authors: int  # A6: candidate ids after the split
 
     @property
     def expected_rows(self) -> int:
@@ -129,18 +130,20 @@ def build_cross_role_pairs(
     )
     eligible = dense_index(eligible, ["author_id"], out="e_idx")
 
-    sizes = (
-        q_rows.select(F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))
-        .unionByName(eligible.select(F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(0).alias("c")))
-        .unionByName(
-            q_rows.join(c_all, "author_id", "left_anti").select(
-                F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("c")
-            )
-        )
-        .agg(F.sum("a").alias("nq"), F.sum("b").alias("ne"), F.sum("c").alias("nmiss"))
-        .first()
-    )
-    nq, ne, nmiss = int(sizes["nq"] or 0), int(sizes["ne"] or 0), int(sizes["nmiss"] or 0)
+    def tag(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.lit(name).alias("what"))
+
+    sizes = {
+        r["what"]: int(r["n"])
+        for r in tag(q_rows, "nq")
+        .unionByName(tag(eligible, "ne"))
+        .unionByName(tag(q_rows.join(c_all, "author_id", "left_anti"), "nmiss"))
+        .unionByName(tag(c_ids, "nc"))
+        .groupBy("what")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    }  # at most four rows: scalar counts
+    nq, ne, nmiss, nc = (sizes.get(k, 0) for k in ("nq", "ne", "nmiss", "nc"))
     if strict and nmiss:
         raise ValueError(f"{nmiss} query authors have no candidate document")
     if strict and nq and not ne:
@@ -210,7 +213,7 @@ def build_cross_role_pairs(
     )
     rows = dense_index(union.withColumn("_key", shuffle_key(seed, "row_id")), ["_key", "row_id"], out="row_pos")
     rows = rows.drop("_key").withColumn("batch_id", F.floor(F.col("row_pos") / F.lit(batch_size)).cast("bigint"))
-    return PairSet(qc, eligible, cc, rows, nq, nmiss)
+    return PairSet(qc, eligible, cc, rows, nq, nmiss, nc)
 
 
 def build_first_two_pairs(docs: DataFrame, split: str, epoch: int, with_text: bool = True) -> DataFrame:
