@@ -45,6 +45,7 @@ def author_filter_from_jsonl(
     encoder_factory=None,
     dim: int = TX.DEFAULT_DIM,
     block_rows: int = 256,
+    hash_fn: str = "md5",
 ) -> FilterResult:
     """Read ``{split}*.jsonl`` (not ``*filtered*``), embed each document
     once, keep authors whose every document pair is below ``threshold``,
@@ -52,7 +53,9 @@ def author_filter_from_jsonl(
     docs = jsonl.with_arrival_seq(jsonl.read_corpus(spark, directory, split))
     docs = docs.withColumn("author_id", F.col("authorID")).withColumn("doc_id", F.col("seq"))
     if encoder_factory is None:
-        vecs = TX.embed_documents(docs.select("author_id", "doc_id", "seq", "fullText"), text="fullText", dim=dim, out="vec")
+        vecs = TX.embed_documents(
+            docs.select("author_id", "doc_id", "seq", "fullText"), text="fullText", dim=dim, out="vec", hash_fn=hash_fn
+        )
         featurize = partial(TX.bucket_matrix, dim=dim)
     else:
         vecs = TX.encode_with(docs.select("author_id", "doc_id", "seq", "fullText"), encoder_factory, text="fullText")
