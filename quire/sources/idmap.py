@@ -17,7 +17,11 @@ from quire.sources.jsonl import with_arrival_seq
 
 
 def read_id_map_object(spark: SparkSession, path: str) -> DataFrame:
-    """``(map_key, map_value, pos)`` from a single JSON object file."""
+    """``(map_key, map_value, pos)`` from a single JSON object file.
+
+    A key repeated inside the object fails under Spark's default
+    ``spark.sql.mapKeyDedupPolicy=EXCEPTION``; set it to ``LAST_WIN`` to keep
+    the last one, as Python's ``json`` module does."""
     raw = spark.read.text(path, wholetext=True)
     m = raw.select(F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"))
     return m.select(F.posexplode("m").alias("pos", "map_key", "map_value")).select(
