@@ -33,6 +33,8 @@ def read_npy_matrix(
     if len(shape) != 2:
         raise ValueError(f"expected a 2-D matrix, got shape {shape}")
     n_rows, n_cols = int(shape[0]), int(shape[1])
+    # a task reads at most about ten million cells, however wide the matrix
+    rows_per_task = max(1, min(int(rows_per_task), 10_000_000 // max(1, n_cols)))
     n_tasks = max(1, math.ceil(n_rows / rows_per_task))
     vtype = T.LongType() if as_int else T.DoubleType()
     schema = T.StructType(
