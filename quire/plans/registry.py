@@ -892,3 +892,36 @@ def q_filtered_corpora_first_two(spark, sf):
             )
     out = first_two_from_filtered(spark, f"{base}/*/{{split}}", EPOCH_SPLIT, EPOCH)
     return out.select("author_id", "row_pos", "anchors", "positives")
+
+
+@register(
+    "labelled_rows_ordered",
+    f"""WITH {SQL_DOCS}, {SQL_LABELS},
+    rr AS (SELECT *, CASE WHEN side = 'query' THEN 0 ELSE 1 END AS r FROM rd),
+    big AS (SELECT author_id, arg_min(r, (r, seq, doc_id)) AS f_r, arg_min(seq, (r, seq, doc_id)) AS f_seq,
+                   arg_min(doc_id, (r, seq, doc_id)) AS f_doc
+            FROM rr GROUP BY author_id HAVING COUNT(*) > 5)
+    SELECT rr.author_id, doc_id, CAST(lab.label AS BIGINT) AS labels,
+           CAST(ROW_NUMBER() OVER (ORDER BY f_r, f_seq, f_doc, rr.r, rr.seq, rr.doc_id) - 1 AS BIGINT) AS row_pos
+    FROM rr JOIN big USING (author_id) JOIN lab ON lab.id = rr.author_id""",
+)
+def q_labelled_rows_ordered(spark, sf):
+    """K4: labelled rows numbered in writer order — authors by first
+    appearance, then each author's documents in arrival order."""
+    from quire.operators.indexing import dense_index
+
+    expanded = authors.expand_id_map(fx.fx_id_map(spark, sf), "mixed")
+    out = P.build_labelled_rows(_resolved(spark, sf), expanded)
+    flat = out.select(
+        "author_id",
+        "doc_id",
+        "labels",
+        F.col("order_key._first.r").alias("_k1"),
+        F.col("order_key._first.seq").alias("_k2"),
+        F.col("order_key._first.doc_id").alias("_k3"),
+        F.col("order_key.r").alias("_k4"),
+        F.col("order_key.seq").alias("_k5"),
+        F.col("order_key.doc_id").alias("_k6"),
+    )
+    ranked = dense_index(flat, ["_k1", "_k2", "_k3", "_k4", "_k5", "_k6"], out="row_pos")
+    return ranked.select("author_id", "doc_id", "labels", "row_pos")
