@@ -925,3 +925,28 @@ def q_labelled_rows_ordered(spark, sf):
     )
     ranked = dense_index(flat, ["_k1", "_k2", "_k3", "_k4", "_k5", "_k6"], out="row_pos")
     return ranked.select("author_id", "doc_id", "labels", "row_pos")
+
+
+@register(
+    "split_stats",
+    f"""WITH {SQL_DOCS},
+    ids AS (SELECT DISTINCT side, author_id FROM rd),
+    r AS (SELECT side, author_id,
+                 ROW_NUMBER() OVER (PARTITION BY side ORDER BY author_id) - 1 AS pos,
+                 COUNT(*) OVER (PARTITION BY side) AS n
+          FROM ids),
+    kept AS (SELECT side FROM r WHERE pos < CAST(FLOOR(n * 0.8) AS BIGINT))
+    SELECT CAST(COUNT(*) FILTER (WHERE side = 'query') AS BIGINT) AS n_query_authors,
+           CAST(COUNT(*) FILTER (WHERE side = 'candidate') AS BIGINT) AS n_candidate_authors,
+           CAST(2 * COUNT(*) FILTER (WHERE side = 'query') AS BIGINT) AS rows_per_epoch
+    FROM kept""",
+)
+def q_split_stats(spark, sf):
+    """A6 / A8 after the split: authors per role in the kept part and the
+    expected rows per epoch (two per query author)."""
+    s = authors.prefix_split(_resolved(spark, sf), 0.8).where(F.col("selected") == 1)
+    return s.agg(
+        F.count_if(F.col("side") == "query").cast("bigint").alias("n_query_authors"),
+        F.count_if(F.col("side") == "candidate").cast("bigint").alias("n_candidate_authors"),
+        (F.count_if(F.col("side") == "query") * 2).cast("bigint").alias("rows_per_epoch"),
+    )
