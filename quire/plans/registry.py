@@ -9,11 +9,17 @@ to the same name on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.plans import scoring
+from quire.functions import text as TX
+from quire.functions.hashing import hash_int_sql, hash_key_sql
+from quire.operators import authors, losses
+from quire.operators.similarity import author_pairs
+from quire.plans import diversity, scoring
+from quire.plans import pairs as P
 from quire.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,7 +187,6 @@ def q_compare_runs(spark, sf):
 # Step 2: topic-diversity author filter (C1 on given vectors)
 # --------------------------------------------------------------------------
 
-from quire.plans import diversity  # noqa: E402
 
 SQL_VECTORS = """
 v AS (SELECT CAST(FLOOR(vec_id / 4.0) AS BIGINT) AS author_id, vec_id AS doc_id, vec_id AS seq,
@@ -264,7 +269,6 @@ def q_retention_report(spark, sf):
 # Step 3: author identity, role counts, labels, prefix split
 # --------------------------------------------------------------------------
 
-from quire.operators import authors  # noqa: E402
 
 SQL_DOCS = """
 d AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS cid, conv_id * 1000 + turn AS doc_id, turn AS seq,
@@ -370,8 +374,6 @@ def q_prefix_split(spark, sf):
 # Steps 4-5: training-set construction
 # --------------------------------------------------------------------------
 
-from quire.functions.hashing import hash_int_sql, hash_key_sql  # noqa: E402
-from quire.plans import pairs as P  # noqa: E402
 
 EPOCH_SPLIT, EPOCH = "train", 1  # train split, epoch 1 -> seed 1
 SEED = 1
@@ -504,7 +506,6 @@ def q_labelled_rows(spark, sf):
 # Step 6: losses
 # --------------------------------------------------------------------------
 
-from quire.operators import losses  # noqa: E402
 
 SQL_COS = """CASE WHEN list_dot_product({a}, {a}) > 0 AND list_dot_product({b}, {b}) > 0
      THEN list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))
@@ -569,10 +570,6 @@ def q_multi_positive_loss(spark, sf):
 # Step 7: text encoder, diversity on raw text, JSONL round trip
 # --------------------------------------------------------------------------
 
-from functools import partial  # noqa: E402
-
-from quire.functions import text as TX  # noqa: E402
-from quire.operators.similarity import author_pairs  # noqa: E402
 
 SQL_TEXT = f"""
 tok AS (SELECT doc_id, source AS author_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS t
