@@ -947,3 +947,29 @@ def q_split_stats(spark, sf):
         F.count_if(F.col("side") == "candidate").cast("bigint").alias("n_candidate_authors"),
         (F.count_if(F.col("side") == "query") * 2).cast("bigint").alias("rows_per_epoch"),
     )
+
+
+@register(
+    "id_map_conflicts",
+    """WITH m AS (
+      SELECT CASE WHEN conv_id % 3 = 0
+                  THEN '("(''a' || CAST(conv_id AS VARCHAR) || ''',)", ''HRS1.1'')'
+                  ELSE '(''a' || CAST(conv_id AS VARCHAR) || ''', ''HRS2.0'')' END AS map_key,
+             's' || CAST(conv_id // 2 AS VARCHAR) AS map_value,
+             conv_id AS pos
+      FROM (SELECT DISTINCT conv_id FROM conversations)),
+    e AS (SELECT 'a' || CAST(pos AS VARCHAR) AS alias, 'a' || CAST(pos AS VARCHAR) AS author_id, pos * 2 AS ord FROM m
+          UNION ALL
+          SELECT map_value AS alias, 'a' || CAST(pos AS VARCHAR) AS author_id, pos * 2 + 1 AS ord FROM m)
+    SELECT alias, arg_max(author_id, ord) AS author_id, COUNT(DISTINCT author_id) AS n_targets
+    FROM e GROUP BY alias HAVING COUNT(DISTINCT author_id) > 1""",
+)
+def q_id_map_conflicts(spark, sf):
+    """S6 last-entry-wins on a map where two consecutive conversations share
+    one candidate alias ('s' || conv_id / 2): each shared alias resolves to
+    the later entry and is reported with its number of targets."""
+    m = fx.fx_id_map(spark, sf).withColumn(
+        "map_value", F.concat(F.lit("s"), F.floor(F.col("pos") / 2).cast("bigint").cast("string"))
+    )
+    resolved = authors.build_id_map(m, "mixed")
+    return resolved.where(F.col("n_targets") > 1).select("alias", "author_id", "n_targets")
