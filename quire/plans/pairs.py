@@ -36,6 +36,7 @@ class PairSet:
     n_query_authors: int
     n_query_without_candidates: int
     n_candidate_authors: int  # A6: candidate ids after the split
+    unmatched: DataFrame | None = None  # D3: query authors with no candidate document
 
     @property
     def expected_rows(self) -> int:
@@ -213,7 +214,8 @@ def build_cross_role_pairs(
     )
     rows = dense_index(union.withColumn("_key", shuffle_key(seed, "row_id")), ["_key", "row_id"], out="row_pos")
     rows = rows.drop("_key").withColumn("batch_id", F.floor(F.col("row_pos") / F.lit(batch_size)).cast("bigint"))
-    return PairSet(qc, eligible, cc, rows, nq, nmiss, nc)
+    unmatched = q_rows.join(c_all, "author_id", "left_anti").select("author_id", F.col("n").alias("n_query_docs"))
+    return PairSet(qc, eligible, cc, rows, nq, nmiss, nc, unmatched)
 
 
 def build_first_two_pairs(docs: DataFrame, split: str, epoch: int, with_text: bool = True) -> DataFrame:

@@ -973,3 +973,16 @@ def q_id_map_conflicts(spark, sf):
     )
     resolved = authors.build_id_map(m, "mixed")
     return resolved.where(F.col("n_targets") > 1).select("alias", "author_id", "n_targets")
+
+
+@register(
+    "query_authors_without_candidates",
+    f"""WITH {SQL_DOCS}
+    SELECT author_id, COUNT(*) AS n_query_docs FROM rd
+    WHERE side = 'query' AND author_id NOT IN (SELECT author_id FROM rd WHERE side = 'candidate')
+    GROUP BY author_id""",
+)
+def q_query_authors_without_candidates(spark, sf):
+    """D3: query authors that have no candidate document. The reference
+    fails on them; the builder drops them (strict=False) and lists them."""
+    return _pairset(spark, sf).unmatched.select("author_id", "n_query_docs")
