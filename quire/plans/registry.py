@@ -986,3 +986,28 @@ def q_query_authors_without_candidates(spark, sf):
     """D3: query authors that have no candidate document. The reference
     fails on them; the builder drops them (strict=False) and lists them."""
     return _pairset(spark, sf).unmatched.select("author_id", "n_query_docs")
+
+
+@register(
+    "text_pair_similarity",
+    f"""WITH {SQL_TEXT},
+    dp AS (SELECT x.doc_id AS doc_i, y.doc_id AS doc_j, SUM(x.c * y.c) AS dot
+           FROM bk x JOIN bk y ON x.author_id = y.author_id AND x.b = y.b AND x.doc_id < y.doc_id
+           GROUP BY x.doc_id, y.doc_id),
+    docs AS (SELECT doc_id, source AS author_id FROM documents),
+    allp AS (SELECT a.author_id, a.doc_id AS doc_i, b.doc_id AS doc_j
+             FROM docs a JOIN docs b ON a.author_id = b.author_id AND a.doc_id < b.doc_id),
+    sims AS (SELECT allp.author_id, allp.doc_i, allp.doc_j,
+                    CASE WHEN ni.nrm > 0 AND nj.nrm > 0 THEN COALESCE(dp.dot, 0) / (ni.nrm * nj.nrm)
+                         ELSE 0.0 END AS sim
+             FROM allp LEFT JOIN dp USING (doc_i, doc_j)
+                       LEFT JOIN nrm ni ON ni.doc_id = allp.doc_i
+                       LEFT JOIN nrm nj ON nj.doc_id = allp.doc_j)
+    SELECT author_id, doc_i, doc_j, {r6sql('sim')} AS sim FROM sims""",
+)
+def q_text_pair_similarity(spark, sf):
+    """A3 on raw text: every document pair of every source with its cosine
+    over hashed term counts (the long form of the pairwise-similarity map)."""
+    docs = TX.embed_documents(fx.fx_text_docs(spark, sf), out="vec")
+    pairs = author_pairs(docs, emit="pairs", featurize=partial(TX.bucket_matrix, dim=TX.DEFAULT_DIM))
+    return pairs.select("author_id", "doc_i", "doc_j", r6("sim"))
