@@ -15,7 +15,7 @@ from quire.operators.indexing import dense_index, grouped_running_sums
 
 
 def expand_id_map(id_map: DataFrame, dialect: str = "nested") -> DataFrame:
-    """Map rows ``(map_key, map_value, pos)`` -> ``(alias, author_id, _ord, parsed)``.
+    """Map rows ``(map_key, map_value, pos)`` -> ``(alias, author_id, _ord)``.
 
     For each entry the canonical id ``k`` maps to itself and the value maps
     to ``k``. ``_ord`` keeps file order (key before value) for last-wins.
