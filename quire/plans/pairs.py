@@ -11,7 +11,7 @@ Documents are long rows ``(author_id, doc_id, seq, full_text, side)`` where
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,16 +27,32 @@ def side_rank():
     return F.when(F.col("side") == "query", F.lit(0)).otherwise(F.lit(1))
 
 
-@dataclass
 class PairSet:
-    qc: DataFrame  # query-candidate pairs, one per query author
-    eligible: DataFrame  # candidate-only authors with >= 2 candidate documents
-    cc: DataFrame  # candidate-candidate pairs, one per draw
-    rows: DataFrame  # the epoch: qc + cc, shuffled, with position and batch
-    n_query_authors: int
-    n_query_without_candidates: int
-    n_candidate_authors: int  # A6: candidate ids after the split
-    unmatched: DataFrame | None = None  # D3: query authors with no candidate document
+    """One epoch of cross-role pairs. ``qc``, ``eligible`` and the counts are
+    ready on construction; ``cc`` and ``rows`` are built on first use, so a
+    caller that needs only the query-candidate pairs does not pay for the
+    draws or the shuffle."""
+
+    def __init__(self, qc, eligible, make_cc, make_rows, n_query_authors, n_query_without_candidates,
+                 n_candidate_authors, unmatched):
+        self.qc: DataFrame = qc  # query-candidate pairs, one per query author
+        self.eligible: DataFrame = eligible  # candidate-only authors with >= 2 candidate documents
+        self._make_cc = make_cc
+        self._make_rows = make_rows
+        self.n_query_authors = n_query_authors
+        self.n_query_without_candidates = n_query_without_candidates
+        self.n_candidate_authors = n_candidate_authors  # A6: candidate ids after the split
+        self.unmatched: DataFrame = unmatched  # D3: query authors with no candidate document
+
+    @cached_property
+    def cc(self) -> DataFrame:
+        """Candidate-candidate pairs, one per draw."""
+        return self._make_cc()
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The epoch: qc + cc, shuffled, with position and batch."""
+        return self._make_rows(self.cc)
 
     @property
     def expected_rows(self) -> int:
@@ -151,71 +167,80 @@ def build_cross_role_pairs(
         raise ValueError("no candidate-only author has two candidate documents")
     cdocs = docs.where(F.col("side") == "candidate")
 
-    spark = docs.sparkSession
-    if ne:
-        draws = spark.range(nq).withColumnRenamed("id", "draw").withColumn(
-            "e_idx", F.pmod(hash_int(seed, "draw", "draw"), F.lit(ne))
-        )
-        drawn = draws.join(eligible.select("e_idx", "author_id", "n_candidate_docs"), "e_idx")
-        # A uniform ordered pair of distinct positions among the author's
-        # candidate documents, then a lookup by (author, position).
-        n = F.col("n_candidate_docs")
-        i1 = F.pmod(hash_int(seed, "first", "draw"), n)
-        r2 = F.pmod(hash_int(seed, "second", "draw"), n - 1)
-        drawn = drawn.withColumn("_i1", i1).withColumn("_r2", r2).withColumn(
-            "_i2", F.when(F.col("_r2") >= F.col("_i1"), F.col("_r2") + 1).otherwise(F.col("_r2"))
-        )
-        pos = grouped_running_sums(
-            cdocs.join(eligible.select("author_id"), "author_id", "left_semi")
-            .select("author_id", "doc_id", "seq")
-            .withColumn("_one", F.lit(1)),
-            ["author_id"],
-            ["seq", "doc_id"],
-            ["_one"],
-            pos_col="_pos",
-        ).select("author_id", "_pos", "doc_id")
-        # both positions of every draw go through one join with the position
-        # table, then fold back to one row per draw
-        refs = drawn.select(
-            "draw",
-            "author_id",
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("r"), F.col("_i1").alias("_pos")),
-                    F.struct(F.lit(1).alias("r"), F.col("_i2").alias("_pos")),
+    def make_cc() -> DataFrame:
+        spark = docs.sparkSession
+        if ne:
+            draws = spark.range(nq).withColumnRenamed("id", "draw").withColumn(
+                "e_idx", F.pmod(hash_int(seed, "draw", "draw"), F.lit(ne))
+            )
+            drawn = draws.join(eligible.select("e_idx", "author_id", "n_candidate_docs"), "e_idx")
+            # A uniform ordered pair of distinct positions among the author's
+            # candidate documents, then a lookup by (author, position).
+            n = F.col("n_candidate_docs")
+            i1 = F.pmod(hash_int(seed, "first", "draw"), n)
+            r2 = F.pmod(hash_int(seed, "second", "draw"), n - 1)
+            drawn = drawn.withColumn("_i1", i1).withColumn("_r2", r2).withColumn(
+                "_i2", F.when(F.col("_r2") >= F.col("_i1"), F.col("_r2") + 1).otherwise(F.col("_r2"))
+            )
+            pos = grouped_running_sums(
+                cdocs.join(eligible.select("author_id"), "author_id", "left_semi")
+                .select("author_id", "doc_id", "seq")
+                .withColumn("_one", F.lit(1)),
+                ["author_id"],
+                ["seq", "doc_id"],
+                ["_one"],
+                pos_col="_pos",
+            ).select("author_id", "_pos", "doc_id")
+            # both positions of every draw go through one join with the position
+            # table, then fold back to one row per draw
+            refs = drawn.select(
+                "draw",
+                "author_id",
+                F.explode(
+                    F.array(
+                        F.struct(F.lit(0).alias("r"), F.col("_i1").alias("_pos")),
+                        F.struct(F.lit(1).alias("r"), F.col("_i2").alias("_pos")),
+                    )
+                ).alias("x"),
+            ).select("draw", "author_id", "x.r", "x._pos")
+            cc = (
+                refs.join(pos, ["author_id", "_pos"])
+                .groupBy("draw", "author_id")
+                .agg(
+                    F.max(F.when(F.col("r") == 0, F.col("doc_id"))).alias("anchor_doc_id"),
+                    F.max(F.when(F.col("r") == 1, F.col("doc_id"))).alias("positive_doc_id"),
                 )
-            ).alias("x"),
-        ).select("draw", "author_id", "x.r", "x._pos")
-        cc = (
-            refs.join(pos, ["author_id", "_pos"])
-            .groupBy("draw", "author_id")
-            .agg(
-                F.max(F.when(F.col("r") == 0, F.col("doc_id"))).alias("anchor_doc_id"),
-                F.max(F.when(F.col("r") == 1, F.col("doc_id"))).alias("positive_doc_id"),
             )
-        )
-    else:
-        cc = spark.createDataFrame([], "draw bigint, author_id string, anchor_doc_id bigint, positive_doc_id bigint")
+        else:
+            a_type = docs.schema["author_id"].dataType.simpleString()
+            d_type = docs.schema["doc_id"].dataType.simpleString()
+            cc = spark.createDataFrame(
+                [], f"draw bigint, author_id {a_type}, anchor_doc_id {d_type}, positive_doc_id {d_type}"
+            )
+        return cc
 
-    union = qc.select(
-        F.lit("qc").alias("pair_kind"),
-        F.concat(F.lit("qc|"), F.col("author_id")).alias("row_id"),
-        "author_id",
-        "anchor_doc_id",
-        "positive_doc_id",
-    ).unionByName(
-        cc.select(
-            F.lit("cc").alias("pair_kind"),
-            F.concat(F.lit("cc|"), F.col("draw").cast("string")).alias("row_id"),
+    def make_rows(cc: DataFrame) -> DataFrame:
+        union = qc.select(
+            F.lit("qc").alias("pair_kind"),
+            F.concat(F.lit("qc|"), F.col("author_id")).alias("row_id"),
             "author_id",
             "anchor_doc_id",
             "positive_doc_id",
+        ).unionByName(
+            cc.select(
+                F.lit("cc").alias("pair_kind"),
+                F.concat(F.lit("cc|"), F.col("draw").cast("string")).alias("row_id"),
+                "author_id",
+                "anchor_doc_id",
+                "positive_doc_id",
+            )
         )
-    )
-    rows = dense_index(union.withColumn("_key", shuffle_key(seed, "row_id")), ["_key", "row_id"], out="row_pos")
-    rows = rows.drop("_key").withColumn("batch_id", F.floor(F.col("row_pos") / F.lit(batch_size)).cast("bigint"))
+        rows = dense_index(union.withColumn("_key", shuffle_key(seed, "row_id")), ["_key", "row_id"], out="row_pos")
+        rows = rows.drop("_key").withColumn("batch_id", F.floor(F.col("row_pos") / F.lit(batch_size)).cast("bigint"))
+        return rows
+
     unmatched = q_rows.join(c_all, "author_id", "left_anti").select("author_id", F.col("n").alias("n_query_docs"))
-    return PairSet(qc, eligible, cc, rows, nq, nmiss, nc, unmatched)
+    return PairSet(qc, eligible, make_cc, make_rows, nq, nmiss, nc, unmatched)
 
 
 def build_first_two_pairs(docs: DataFrame, split: str, epoch: int, with_text: bool = True) -> DataFrame:
