@@ -99,11 +99,28 @@ def read_filtered_corpora(spark: SparkSession, prefix_glob: str) -> DataFrame:
     """S5 + U2: all ``<prefix>_queries_filtered.jsonl`` then all
     ``<prefix>_candidates_filtered.jsonl`` (the prefix may glob over corpora);
     ``author_id`` = authorIDs[0], ``side`` from the file."""
-    q = _scan(spark, prefix_glob + FILTERED_QUERIES_SUFFIX, CORPUS_SCHEMA).withColumn("side", F.lit("query"))
-    c = _scan(spark, prefix_glob + FILTERED_CANDIDATES_SUFFIX, CORPUS_SCHEMA).withColumn("side", F.lit("candidate"))
+    q = _scan_or_empty(spark, prefix_glob + FILTERED_QUERIES_SUFFIX, CORPUS_SCHEMA).withColumn("side", F.lit("query"))
+    c = _scan_or_empty(spark, prefix_glob + FILTERED_CANDIDATES_SUFFIX, CORPUS_SCHEMA).withColumn(
+        "side", F.lit("candidate")
+    )
     return q.unionByName(c).withColumn("author_id", F.element_at("authorIDs", 1))
 
 
+def _scan_or_empty(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
+    """A glob that matches no file is an empty input, as an empty glob is."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return _scan(spark, pattern, schema)
+    except AnalysisException:
+        empty = spark.createDataFrame([], schema)
+        return (
+            empty.withColumn("file", F.lit(None).cast("string"))
+            .withColumn("_block", F.lit(None).cast("bigint"))
+            .withColumn("_row", F.lit(None).cast("bigint"))
+        )
+
+
 def with_arrival_seq(df: DataFrame, out: str = "seq") -> DataFrame:
     """Number rows in arrival order: queries before candidates, then file
     path, split start and position inside the split. Uses the distributed

@@ -71,3 +71,18 @@ def test_unpivot_wide_rows(spark):
     got = sorted(tuple(r) for r in long.collect())
     assert got == [(1, 0, 0.5), (1, 1, 0.25), (2, 0, 0.1), (2, 1, 0.9)]
     assert long.where(F.col("candidate_id") > 1).count() == 0
+
+
+def test_arrival_order_across_file_splits(spark, tmp_path):
+    """A file read in many splits keeps its line order in ``seq``."""
+    rows = [{"documentID": f"d{i:04d}", "fullText": "x" * 50, "authorIDs": ["a"]} for i in range(400)]
+    _write(tmp_path / "c" / "dev_queries_filtered.jsonl", rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        raw = jsonl.read_filtered_corpora(spark, str(tmp_path / "*" / "dev"))
+        assert raw.rdd.getNumPartitions() > 5
+        got = [r["documentID"] for r in jsonl.with_arrival_seq(raw).orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [f"d{i:04d}" for i in range(400)]
