@@ -50,7 +50,7 @@ def author_filter_from_jsonl(
     """Read ``{split}*.jsonl`` (not ``*filtered*``), embed each document
     once, keep authors whose every document pair is below ``threshold``,
     cap them, and write the filtered files and the author info."""
-    docs = jsonl.with_arrival_seq(jsonl.read_corpus(spark, directory, split))
+    docs = jsonl.with_arrival_seq(jsonl.read_corpus(spark, directory, split, keep_raw=True))
     docs = docs.withColumn("author_id", F.col("authorID")).withColumn("doc_id", F.col("seq"))
     if encoder_factory is None:
         vecs = TX.embed_documents(
@@ -64,11 +64,12 @@ def author_filter_from_jsonl(
     kept = diversity.filter_diverse_authors(docs, keep).drop("author_id", "doc_id")
     report = diversity.retention_report(docs, keep, by="file")
     if out_dir:
+        # K1: every original field of each kept line, plus authorID
         name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.jsonl$", "_filtered")
-        writers.write_filtered_corpus(kept.withColumn("output", name).drop("file", "seq"), f"{out_dir}/{split}", by=("output",))
+        writers.write_filtered_lines(kept.withColumn("output", name), f"{out_dir}/{split}", by=("output",))
         pair_sims = diversity.author_pair_similarity(vecs, block_rows=block_rows, featurize=featurize)
         writers.write_author_info(info, pair_sims, f"{out_dir}/{split}_info")
-    return FilterResult(kept, info, keep, report)
+    return FilterResult(kept.drop("_raw"), info, keep, report)
 
 
 def _official_docs(spark: SparkSession, root: str, layout: str) -> DataFrame:

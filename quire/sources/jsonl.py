@@ -63,14 +63,30 @@ def _scan(spark: SparkSession, path, schema: T.StructType, glob_filter: str | No
 
 
 def read_corpus(
-    spark: SparkSession, directory: str, split: str, extra: T.StructType | None = None
+    spark: SparkSession, directory: str, split: str, extra: T.StructType | None = None, keep_raw: bool = False
 ) -> DataFrame:
     """S1 + S2 + P1: every ``{split}*.jsonl`` in ``directory`` except earlier
     ``*filtered*`` outputs (tested on the file name, not the whole path), with
     ``authorID`` = first element of ``authorIDs``. ``extra`` adds pass-through
-    fields to the schema."""
+    fields to the schema. ``keep_raw`` reads each line as text and parses the
+    known fields from it, keeping the line in ``_raw`` so that a sink can
+    write every original field, known or not (K1)."""
     schema = CORPUS_SCHEMA if extra is None else T.StructType(CORPUS_SCHEMA.fields + extra.fields)
-    df = _scan(spark, directory, schema, f"{split}*.jsonl")
+    if keep_raw:
+        lines = spark.read.option("pathGlobFilter", f"{split}*.jsonl").text(directory)
+        df = (
+            lines.where(F.trim(F.col("value")) != "")
+            .select(
+                F.col("value").alias("_raw"),
+                F.from_json("value", schema).alias("_j"),
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_row"),
+            )
+            .select("_j.*", "_raw", "file", "_block", "_row")
+        )
+    else:
+        df = _scan(spark, directory, schema, f"{split}*.jsonl")
     name = F.element_at(F.split(F.col("file"), "/"), -1)
     return df.where(~name.contains(FILTERED_MARK)).withColumn("authorID", F.element_at("authorIDs", 1))
 

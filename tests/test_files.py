@@ -18,7 +18,10 @@ def _jsonl(path, rows):
 
 def test_author_filter_from_jsonl_matches_registered_query(spark, tmp_path):
     docs = fx.table(spark, SF0001, "documents").select("doc_id", "text", "source").orderBy("doc_id").collect()
-    rows = [{"documentID": str(d["doc_id"]), "fullText": d["text"], "authorIDs": [d["source"]]} for d in docs]
+    rows = [
+        {"documentID": str(d["doc_id"]), "fullText": d["text"], "authorIDs": [d["source"]], "meta": {"n": i, "tags": ["x"]}}
+        for i, d in enumerate(docs)
+    ]
     _jsonl(tmp_path / "corpus" / "dev_queries.jsonl", rows[0::2])
     _jsonl(tmp_path / "corpus" / "dev_candidates.jsonl", rows[1::2])
     _jsonl(tmp_path / "corpus" / "dev_queries_filtered.jsonl", rows[:3])  # an earlier output: ignored
@@ -31,6 +34,9 @@ def test_author_filter_from_jsonl_matches_registered_query(spark, tmp_path):
     assert rep == {"dev_queries.jsonl": (100, 100), "dev_candidates.jsonl": (100, 100)}
     back = spark.read.json(str(tmp_path / "out" / "dev"))
     assert back.count() == len(rows) and "authorID" in back.columns
+    assert "meta" in back.columns  # fields the reader did not declare are kept (K1)
+    one = back.where("documentID = '" + rows[5]["documentID"] + "'").first()
+    assert one["meta"]["n"] == 5 and one["authorID"] == rows[5]["authorIDs"][0]
     assert spark.read.parquet(str(tmp_path / "out" / "dev_info" / "authors")).count() == len(want)
 
 
