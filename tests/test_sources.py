@@ -86,3 +86,19 @@ def test_arrival_order_across_file_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == [f"d{i:04d}" for i in range(400)]
+
+
+def test_raw_lines_round_trip_with_author(spark, tmp_path):
+    from quire.sources import writers
+
+    rows = [
+        {"documentID": "d1", "fullText": "x", "authorIDs": ['a"b'], "other": [1, {"k": None}]},
+        {"documentID": "d2", "fullText": "y", "authorIDs": [None]},
+    ]
+    _write(tmp_path / "in" / "dev_x.jsonl", rows)
+    df = jsonl.read_corpus(spark, str(tmp_path / "in"), "dev", keep_raw=True).withColumn("output", F.lit("o"))
+    writers.write_filtered_lines(df, str(tmp_path / "out"))
+    back = [json.loads(line) for p in (tmp_path / "out").rglob("*.txt") for line in p.read_text().splitlines()]
+    by = {r["documentID"]: r for r in back}
+    assert by["d1"]["authorID"] == 'a"b' and by["d1"]["other"] == [1, {"k": None}]
+    assert by["d2"]["authorID"] is None
