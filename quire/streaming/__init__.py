@@ -1,0 +1 @@
+"""The epoch feed: one idempotent batch job per epoch (the reference has no event-time streaming)."""
