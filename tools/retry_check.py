@@ -40,6 +40,9 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
+    from quire.session import ship_package
+
+    ship_package(spark)
     from quire.plans import pairs as P
     from quire.plans import scoring
     from quire.plans.registry import _resolved

@@ -38,6 +38,9 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    from quire.session import ship_package
+
+    ship_package(spark)
     from quire.operators.indexing import grouped_running_sums
     from quire.operators.metrics import per_query_metrics
     from quire.operators.similarity import author_pairs
