@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import wordhash as wh
-from quire.session import stable
+from quire.session import ship_package, stable
 
 _U = np.uint64
 SHINGLE, K, ROWS, THRESHOLD = 5, 100, 4, 0.8
@@ -259,6 +259,7 @@ def proposals(k: int, top: int = 4, ratio: float = THRESHOLD):
 def near_links(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS, block: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signature table, links between different texts, labels of linked
     texts). Links are enough to connect every class, not all its pairs."""
+    ship_package(docs.sparkSession)
     table = stable(signature_table(docs, k, rows))
     first = F.coalesce("doc_id", F.lit(0))
     nodes = stable(

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import wordhash as wh
 from quire.llm.tokens import encoder
-from quire.session import stable
+from quire.session import ship_package, stable
 
 DIMS, BITS = 3, 16
 
@@ -156,6 +156,7 @@ def pack(docs: DataFrame, max_len: int = 4096, tokenizer: str | None = None, end
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, ``with_ids``, the piece's ids as little-endian
     unsigned 32-bit numbers."""
+    ship_package(docs.sparkSession)
     table = stable(tokenised(docs, tokenizer, end_id))
     order = [F.col("key"), F.col("doc_id"), F.col("row")]
     ranged = table.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import wordhash as wh
+from quire.session import ship_package
 
 #: Counts that the base rule reads and every result carries.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -255,6 +256,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, cu
     (``max_rows`` rows of 14 numbers). It is the ``max_rows`` labels smallest
     by a hash of their id, so the same tables give the same trees.
     """
+    ship_package(docs.sparkSession)
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .select("doc_id", F.col("quality").cast("double").alias("y"))
@@ -296,6 +298,7 @@ def score_quality(docs: DataFrame, trees: Trees | None) -> DataFrame:
                 ["doc_id", *COUNTS, "base_failed", "quality", "kept"],
             )
 
+    ship_package(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, quality double, kept boolean"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -307,4 +310,5 @@ def filter_quality(docs: DataFrame, trees: Trees | None) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_verdict(wh.text_of(b), trees)[3]))
 
+    ship_package(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

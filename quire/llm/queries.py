@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, neardup, packing, quality, secrets
+from quire.llm import chat, fingerprints, mixing, neardup, packing, passages, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document, and a digest of what is kept."""
+    out = passages.drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, packed along the curve."""
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
@@ -46,12 +52,26 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_doc.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, read back from its formatted examples."""
+    turns = chat.with_probe(table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.expand_examples(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_mixing": op8_mixing,
+    "op9_syncmers": op9_syncmers,
+    "op10_chat_format": op10_chat_format,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
