@@ -151,11 +151,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if last is not None:
                     done()
                 conv, loss, chars, n = r["conv_id"], hashlib.sha256(), 0, 0
-            last = r["text"]
+            last, n = r["text"], n + 1
             if r["loss_start"] is not None:
                 reply = unescape(last[r["loss_start"] : r["loss_end"]])
                 loss.update(reply.encode())
-                chars, n = chars + len(reply), n + 1
+                chars += len(reply)
         if len(out) > 1000:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
             out.clear()

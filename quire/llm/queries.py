@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, fingerprints, mixing, neardup, packing, passages, quality, secrets
+from quire.llm import chat, fingerprints, licenses, mixing, neardup, packing, passages, quality, rollups, secrets
+from quire.session import scratch_path, stable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document, with coverage and span."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed from every document, and a digest of what is kept."""
     out = passages.drop_repeated_passages(table(spark, sf_dir, "documents"))
@@ -41,6 +47,33 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after three batches, one of them applied twice: all
+    documents counted by words; later copies of a text deleted; what remains
+    outside English recounted by the second tokenizer."""
+    text, lang = F.col("text"), F.col("lang")
+    other = F.coalesce(lang != "en", F.lit(True))
+    docs = stable(
+        table(spark, sf_dir, "documents").select(
+            "doc_id", "source", "lang", F.md5(F.coalesce(text, F.lit(""))).alias("md"),
+            rollups.n_tokens(text, "words-1").alias("words"),
+            F.when(other, rollups.n_tokens(text, "pieces-2")).alias("pieces"),
+        )
+    )
+    first = docs.groupBy("md").agg(F.min("doc_id").alias("first"))
+    docs = stable(docs.join(first, "md").withColumn("copy", F.col("doc_id") > F.col("first")))
+    change = lambda d, op, version, tokens, seq: d.select(
+        "doc_id", F.lit(op).alias("op"), F.lit(seq).alias("seq"), "source", "lang", F.lit(version).alias("version"), F.col(tokens).alias("tokens")
+    )
+    roll = rollups.Rollup(spark, scratch_path(spark, "token-counts"))
+    roll.apply("1-insert", change(docs, "upsert", "words-1", "words", 1))
+    copies = change(docs.where("copy"), "delete", "words-1", "words", 2)
+    roll.apply("2-copies", copies)
+    roll.apply("2-copies", copies)  # a replay, which changes nothing
+    roll.apply("3-recount", change(docs.where("NOT copy").where(other), "upsert", "pieces-2", "pieces", 3))
+    return roll.totals()
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return neardup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "keep")
@@ -66,8 +99,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
+    "op3_license_scan": op3_license_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
+    "op6_token_counts": op6_token_counts,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_syncmers": op9_syncmers,
@@ -75,4 +110,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_substring_dedup": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), spots AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM words
+), windows AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS least_id FROM spots
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM windows WHERE least_id < doc_id
+), removed AS (
+  SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(js), 0) AS n_removed,
+         CASE WHEN js IS NULL THEN w
+              ELSE list_transform(list_filter(range(1, len(w) + 1), x -> NOT list_contains(js, x)), x -> w[x]) END AS k
+  FROM words LEFT JOIN removed USING (doc_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(array_to_string(k, ' ')) AS kept_sha256
+FROM kept
+""",
+    "op6_token_counts": r"""
+WITH d AS (SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents)
+SELECT source, lang, CASE WHEN lang = 'en' THEN 'words-1' ELSE 'pieces-2' END AS version,
+       CAST(count(*) AS BIGINT) AS n_docs,
+       CAST(sum(CASE WHEN lang = 'en' THEN len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))
+                ELSE len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]')) END) AS BIGINT) AS n_tokens
+FROM d WHERE doc_id = first_id GROUP BY 1, 2, 3
+""",
+    "op10_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, regexp_replace(text, '(<|\[)(\\*)(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|ROLE\]|/ROLE\]|TURN\]|/TURN\])', '\1\\\2\3', 'g') AS esc,
+         CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 15 END AS marks
+  FROM t
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(esc) + marks) AS BIGINT) AS formatted_chars,
+       CAST(count(*) FILTER (role = 'assistant') + CASE WHEN max_by(role, turn) <> 'assistant' THEN 1 ELSE 0 END AS BIGINT) AS n_examples
+FROM e GROUP BY conv_id
+""",
+}
