@@ -125,7 +125,7 @@ WITH words AS (
 ), kept AS (
   SELECT doc_id, len(w) AS n_words, coalesce(len(js), 0) AS n_removed,
          CASE WHEN js IS NULL THEN w
-              ELSE list_transform(list_filter(range(1, len(w) + 1), x -> NOT list_contains(js, x)), x -> w[x]) END AS k
+              ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(js, x)), lambda x: w[x]) END AS k
   FROM words LEFT JOIN removed USING (doc_id)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
