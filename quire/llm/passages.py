@@ -45,7 +45,7 @@ _CHUNK = "chunk long, ids binary, known binary, offsets binary, text binary"
 def _to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z, seq, task = zstandard.ZstdCompressor(level=3), 0, TaskContext.get().partitionId()
     for b in batches:
-        for lo, hi, data, off in wh.blocks(wh.text_of(b), 8 << 20):
+        for lo, hi, data, off in wh.blocks(wh.text_of(b), 3 << 20):
             ids = b.column(0)[lo:hi]
             row = [
                 (task << 32) + seq,
