@@ -114,14 +114,14 @@ def prefix_split(author_sides: DataFrame, split_percent: float, author: str = "a
     """Per role, sort the distinct author ids and cut at
     ``int(n * max(p, 1 - p))``; ``part`` is head or tail and ``selected`` marks
     the part the reference keeps (head when ``p`` is the bigger share)."""
-    bigger = max(split_percent, 1 - split_percent)
-    take_head = bigger == split_percent
+    keep_head = split_percent >= 0.5
+    share = split_percent if keep_head else 1 - split_percent
     ids = author_sides.select(side, author).distinct()
     pos = grouped_running_sums(ids.withColumn("_one", F.lit(1)), [side], [author], ["_one"], pos_col="pos")
     n = ids.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.floor(F.col("_n") * F.lit(float(bigger))).cast("bigint")
+    cut = F.floor(F.col("_n") * F.lit(float(share))).cast("bigint")
     out = pos.join(n, side).select(
         side, author, "pos", F.when(F.col("pos") < cut, "head").otherwise("tail").alias("part")
     )
-    sel = F.col("part") == ("head" if take_head else "tail")
+    sel = F.col("part") == ("head" if keep_head else "tail")
     return out.withColumn("selected", sel.cast("int"))

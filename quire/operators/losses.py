@@ -81,17 +81,15 @@ def multi_positive_loss(
     batch from that batch's labels."""
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = np_normalize(np_stack(pdf[vec]))
-        n = len(pdf)
-        logits = (f @ f.T) / temperature
-        eye = np.eye(n, dtype=bool)
-        logits = logits - eye * 1e9
-        logits = logits - logits.max(axis=1, keepdims=True)
+        unit = np_normalize(np_stack(pdf[vec]))
         labels = pdf[label].to_numpy()
-        mask = (labels[:, None] == labels[None, :]) & ~eye
-        p = mask / np.maximum(mask.sum(axis=1, keepdims=True), 1.0)
-        logq = logits - _lse(logits, 1)[:, None]
-        loss = -np.sum(p * logq, axis=1).mean()
-        return pd.DataFrame({"batch_id": [int(pdf[batch].iloc[0])], "n": [n], "loss": [float(loss)]})
+        per_row = np.zeros(len(pdf))
+        if len(pdf) > 1:
+            for i in range(len(pdf)):
+                others = np.delete(unit, i, 0) @ unit[i] / temperature
+                alike = np.delete(labels, i) == labels[i]
+                if alike.any():  # lse_i - mean of s_ij over the positives j
+                    per_row[i] = _lse(others[None, :], 1)[0] - others[alike].mean()
+        return pd.DataFrame({"batch_id": [int(pdf[batch].iloc[0])], "n": [len(pdf)], "loss": [float(per_row.mean())]})
 
     return rows.select(batch, label, vec).groupBy(batch).applyInPandas(per_batch, _OUT)

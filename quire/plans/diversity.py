@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.sampling import cap_ids
 from quire.operators.similarity import author_pairs
+from quire.session import stable
 
 
 def author_pair_similarity(
@@ -42,6 +43,7 @@ def diverse_authors(
     threshold (before the cap, as the reference's info file), and the kept
     author ids after the cap."""
     info = author_max_similarity(docs, author, block_rows, featurize).where(F.col("max_sim") < float(threshold))
+    info = stable(info)  # one row per author; read by the cap and by the caller
     keep = cap_ids(info.select(author), cap, seed, id_col=author)
     return info, keep
 

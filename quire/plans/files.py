@@ -23,6 +23,7 @@ from quire.functions import text as TX
 from quire.operators import authors as A
 from quire.operators.metrics import attach_truth, macro_metrics, per_query_metrics
 from quire.plans import diversity, pairs
+from quire.session import stable
 from quire.sources import idmap, jsonl, matrices, writers
 
 
@@ -60,6 +61,7 @@ def author_filter_from_jsonl(
     else:
         vecs = TX.encode_with(docs.select("author_id", "doc_id", "seq", "fullText"), encoder_factory, text="fullText")
         featurize = None
+    vecs = stable(vecs)  # the encoder is the dearest step: its result is read four times
     info, keep = diversity.diverse_authors(vecs, threshold, cap, seed, block_rows=block_rows, featurize=featurize)
     kept = diversity.filter_diverse_authors(docs, keep).drop("author_id", "doc_id")
     report = diversity.retention_report(docs, keep, by="file")
@@ -67,7 +69,8 @@ def author_filter_from_jsonl(
         # K1: every original field of each kept line, plus authorID
         name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.jsonl$", "_filtered")
         writers.write_filtered_lines(kept.withColumn("output", name), f"{out_dir}/{split}", by=("output",))
-        pair_sims = diversity.author_pair_similarity(vecs, block_rows=block_rows, featurize=featurize)
+        passed = vecs.join(info.select("author_id"), "author_id", "left_semi")
+        pair_sims = diversity.author_pair_similarity(passed, block_rows=block_rows, featurize=featurize)
         writers.write_author_info(info, pair_sims, f"{out_dir}/{split}_info")
     return FilterResult(kept.drop("_raw"), info, keep, report)
 

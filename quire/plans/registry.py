@@ -274,7 +274,7 @@ SQL_DOCS = """
 d AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS cid, conv_id * 1000 + turn AS doc_id, turn AS seq,
              text AS full_text,
              CASE WHEN role = 'user' AND conv_id % 2 = 0 THEN 'query' ELSE 'candidate' END AS side
-      FROM conversations WHERE role IN ('user', 'assistant')),
+      FROM conversations),
 rd AS (SELECT 'a' || cid AS author_id, doc_id, seq, full_text, side,
               CASE WHEN side = 'query' THEN 'a' || cid ELSE 's' || cid END AS alias, conv_id
        FROM d)

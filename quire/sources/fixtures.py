@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fx_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author documents with roles: author_id, doc_id, seq, full_text, side."""
-    c = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    c = table(spark, sf_dir, "conversations")
     return c.select(
         F.col("conv_id").cast("string").alias("author_id"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),

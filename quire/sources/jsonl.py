@@ -53,7 +53,7 @@ def expand_path(template: str, fold: str | None = None, split: str | None = None
 
 
 def _scan(spark: SparkSession, path, schema: T.StructType, glob_filter: str | None = None) -> DataFrame:
-    reader = spark.read.schema(schema)
+    reader = spark.read.schema(schema).option("mode", "FAILFAST")  # a broken line is an error
     if glob_filter:
         reader = reader.option("pathGlobFilter", glob_filter)
     df = reader.json(path)
@@ -78,7 +78,7 @@ def read_corpus(
             lines.where(F.trim(F.col("value")) != "")
             .select(
                 F.col("value").alias("_raw"),
-                F.from_json("value", schema).alias("_j"),
+                F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_j"),
                 F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_row"),
@@ -113,28 +113,50 @@ def read_official_candidates(spark: SparkSession, pattern: str) -> DataFrame:
 
 def read_filtered_corpora(spark: SparkSession, prefix_glob: str) -> DataFrame:
     """S5 + U2: all ``<prefix>_queries_filtered.jsonl`` then all
-    ``<prefix>_candidates_filtered.jsonl`` (the prefix may glob over corpora);
-    ``author_id`` = authorIDs[0], ``side`` from the file."""
+    ``<prefix>_candidates_filtered.jsonl`` (the prefix may glob over corpora),
+    as single files or as the folders that K1 writes
+    (:func:`filtered_patterns`); ``author_id`` = authorIDs[0], ``side`` from
+    the file. One role may be missing; that neither has a file is an error."""
     q = _scan_or_empty(spark, prefix_glob + FILTERED_QUERIES_SUFFIX, CORPUS_SCHEMA).withColumn("side", F.lit("query"))
     c = _scan_or_empty(spark, prefix_glob + FILTERED_CANDIDATES_SUFFIX, CORPUS_SCHEMA).withColumn(
         "side", F.lit("candidate")
     )
+    if not (_existing(spark, prefix_glob + FILTERED_QUERIES_SUFFIX) or _existing(spark, prefix_glob + FILTERED_CANDIDATES_SUFFIX)):
+        raise FileNotFoundError(f"no filtered corpus matches {prefix_glob!r}")
     return q.unionByName(c).withColumn("author_id", F.element_at("authorIDs", 1))
 
 
+def filtered_patterns(pattern: str) -> list[str]:
+    """The two places of a filtered file ``<dir>/<split>_<role>_filtered.jsonl``:
+    that path, and the folder ``<dir>/<split>/output=<split>_<role>_filtered``
+    of :func:`quire.sources.writers.write_filtered_lines`."""
+    folder, _, name = pattern.rpartition("/")
+    stem = name.removesuffix(".jsonl")
+    split = stem.rsplit("_", 2)[0]
+    return [pattern, f"{folder}/{split}/output={stem}"]
+
+
+def _existing(spark: SparkSession, pattern: str) -> list[str]:
+    found = []
+    for p in filtered_patterns(pattern):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+            found.append(p)
+    return found
+
+
 def _scan_or_empty(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
-    """A glob that matches no file is an empty input, as an empty glob is."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return _scan(spark, pattern, schema)
-    except AnalysisException:
-        empty = spark.createDataFrame([], schema)
-        return (
-            empty.withColumn("file", F.lit(None).cast("string"))
-            .withColumn("_block", F.lit(None).cast("bigint"))
-            .withColumn("_row", F.lit(None).cast("bigint"))
-        )
+    """A pattern that matches no file is an empty input; any other failure is
+    raised."""
+    paths = _existing(spark, pattern)
+    if paths:
+        return _scan(spark, paths, schema)
+    empty = spark.createDataFrame([], schema)
+    return (
+        empty.withColumn("file", F.lit(None).cast("string"))
+        .withColumn("_block", F.lit(None).cast("bigint"))
+        .withColumn("_row", F.lit(None).cast("bigint"))
+    )
 
 
 def with_arrival_seq(df: DataFrame, out: str = "seq") -> DataFrame:

@@ -110,3 +110,24 @@ def test_evaluate_from_npy_matches_registered_query(spark, tmp_path):
     assert got["n_queries"] == want["n_queries"]
     assert got["mean_eer"] == pytest.approx(want["mean_eer"], abs=2e-6)
     assert got["mean_ap"] == pytest.approx(want["mean_ap"], abs=2e-6)
+
+
+def test_filter_output_feeds_first_two(spark, tmp_path):
+    """C1 writes folders that C5 reads; a wrong path and a broken line fail."""
+    import json
+
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    for role, texts in (("queries", ["red stone", "blue field"]), ("candidates", ["green cloud", "old bird"])):
+        rows = [{"documentID": f"{role}{a}{i}", "fullText": f"{t} {a}{role}", "authorIDs": [a]} for a in ("x", "y") for i, t in enumerate(texts)]
+        (src / f"train_{role}.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    files.author_filter_from_jsonl(spark, str(src), "train", out_dir=str(out), threshold=0.9)
+    rows = files.first_two_from_filtered(spark, f"{out}/{{split}}", "train", epoch=0)
+    got = rows.collect() if hasattr(rows, "collect") else rows.rows.collect()
+    assert len(got) == 2
+    with pytest.raises(FileNotFoundError):
+        files.first_two_from_filtered(spark, f"{out}/nothing/{{split}}", "train", epoch=0)
+    with open(src / "train_queries.jsonl", "a") as f:
+        f.write('{"documentID": "z", "fullText": "cut o')
+    with pytest.raises(Exception):  # noqa: B017
+        files.author_filter_from_jsonl(spark, str(src), "train", threshold=0.9).report.collect()

@@ -57,8 +57,10 @@ def test_invariants(spark):
 
 
 def test_strict_mode_reports_query_author_without_candidates(spark):
+    docs = _resolved(spark, SF001).where("NOT (author_id = 'a2' AND side = 'candidate')")
     with pytest.raises(ValueError, match="no candidate"):
-        P.build_cross_role_pairs(_resolved(spark, SF001), "train", 0, strict=True)
+        P.build_cross_role_pairs(docs, "train", 0, strict=True)
+    assert P.build_cross_role_pairs(docs, "train", 0, strict=False).n_query_without_candidates == 1
 
 
 def test_draws_are_roughly_uniform(spark):

@@ -8,6 +8,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from quire.plans.registry import QUERIES
 from quire.sources import fixtures as fx
 from tests.conftest import SF0001
 
@@ -19,7 +20,7 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_products(spark, name):
     plan = _plan(E.queries()[name](spark, SF0001))
     assert "CartesianProduct" not in plan
