@@ -173,7 +173,7 @@ def pack(docs: DataFrame, max_len: int = 4096, tokenizer: str | None = None, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
             rows = []
             for r in b.to_pylist():
                 ids = np.frombuffer(z.decompress(r["ids"]), np.uint16 if r["width"] == 2 else np.uint32).astype("<u4")

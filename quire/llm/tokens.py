@@ -50,7 +50,7 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Encodes Arrow blocks with the tokenizer file at ``path``."""
 
-    def __init__(self, path: str | None = None, max_pieces: int = 1_000_000):
+    def __init__(self, path: str | None = None, max_pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path or default_tokenizer())

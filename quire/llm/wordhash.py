@@ -92,7 +92,7 @@ def inside(doc: np.ndarray, size: int) -> np.ndarray:
     return doc[:n] == doc[size - 1 :] if n > 0 else np.zeros(0, bool)
 
 
-def blocks(column: pa.Array, max_bytes: int = 2 << 20, max_rows: int = 16384) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, max_bytes: int = (1 << 20) - 1024, max_rows: int = 16384) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole rows of about ``max_bytes``, at
     most ``max_rows`` rows each.
 
