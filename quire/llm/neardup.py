@@ -20,8 +20,10 @@ Plan, for any group size:
    the documents that share a bucket with another.
 3. Buckets that still hold several components propose, for each member
    outside the bucket's largest component, its most similar members of other
-   components by signature. These are checked too, and the round repeats until
-   it links nothing new. A hot bucket is cut into blocks of its open members.
+   components by signature. These are checked too, and the round repeats. A
+   round that links nothing new asks for four times as many, until no list of
+   members is cut short, so every plausible pair of different components has
+   been checked. A hot bucket is cut into blocks of its open members.
 4. Components come from alternating large-star and small-star steps on narrow
    edge tables; nothing but counts reaches the driver.
 
@@ -226,8 +228,9 @@ def _labelled(df: DataFrame, labels: DataFrame, name: str = "md") -> DataFrame:
 
 
 def proposals(k: int, top: int = 4, ratio: float = THRESHOLD):
-    """For one block of a bucket: every open member (``left``) with its most
-    similar members of other components, by signature, in slices of 256."""
+    """For one block of a bucket: every open member (``left``) with its ``top``
+    most similar members of other components, by signature, in slices of 256;
+    ``cut`` marks the pairs of a member that has more."""
 
     def run(table: pa.Table) -> pa.Table:
         md = np.array(table["md"].to_pylist(), object)
@@ -235,7 +238,7 @@ def proposals(k: int, top: int = 4, ratio: float = THRESHOLD):
         n = table["n"].to_numpy().astype(float)
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, k)
         left = np.flatnonzero(table["left"].to_numpy(zero_copy_only=False))
-        out_a, out_b = [], []
+        out_a, out_b, out_cut = [], [], []
         for s in range(0, len(left), 256):
             mine = left[s : s + 256]
             same = np.zeros((len(mine), len(md)), np.float32)
@@ -249,16 +252,25 @@ def proposals(k: int, top: int = 4, ratio: float = THRESHOLD):
             i, j = np.nonzero(ok)
             out_a.append(md[mine[i]])
             out_b.append(md[best[i, j]])
+            out_cut.append(((same > 0).sum(axis=1) > top)[i])
         a = np.concatenate(out_a) if out_a else np.array([], object)
         b = np.concatenate(out_b) if out_b else np.array([], object)
-        return pa.table({"a": pa.array(np.maximum(a, b).tolist(), pa.string()), "b": pa.array(np.minimum(a, b).tolist(), pa.string())})
+        cut = np.concatenate(out_cut) if out_cut else np.array([], bool)
+        return pa.table(
+            {
+                "a": pa.array(np.maximum(a, b).tolist(), pa.string()),
+                "b": pa.array(np.minimum(a, b).tolist(), pa.string()),
+                "cut": pa.array(cut, pa.bool_()),
+            }
+        )
 
     return run
 
 
-def near_links(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS, block: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_links(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS, block: int = 4096, top: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signature table, links between different texts, labels of linked
-    texts). Links are enough to connect every class, not all its pairs."""
+    texts). Links are enough to connect every class, not all its pairs.
+    ``top`` is the number of proposals of a member in the first round."""
     ship_package(docs.sparkSession)
     table = stable(signature_table(docs, k, rows))
     first = F.coalesce("doc_id", F.lit(0))
@@ -283,19 +295,24 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows:
         mine = F.pmod(F.xxhash64("md"), n_blocks.cast("long")).cast("int")
         open_ = open_.withColumn("mine", mine).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
         open_ = open_.withColumn("left", (F.col("mine") == F.col("block")) & (F.col("label") != F.col("main")))
-        found = open_.select("key", "block", "md", "label", "n", "sig", "left").groupBy("key", "block").applyInArrow(proposals(k, ratio=threshold), "a string, b string")
-        new = stable(found.distinct().join(tested, ["a", "b"], "left_anti"))
+        found = open_.select("key", "block", "md", "label", "n", "sig", "left").groupBy("key", "block").applyInArrow(proposals(k, top, threshold), "a string, b string, cut boolean")
+        found = found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        found = stable(found.join(tested.withColumn("old", F.lit(True)), ["a", "b"], "left"))
+        new = found.where("old IS NULL").select("a", "b")
         more = stable(checked(new, sets, threshold))
         if not more.head(1):
-            return table, links, labels
+            if not found.where("cut").head(1):
+                return table, links, labels
+            tested, top = tested.union(new), top * 4
+            continue
         tested, links = tested.union(new), links.union(more)
         labels = components(links)
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS, top: int = 4) -> DataFrame:
     """One row per document: doc_id, md, class_id (smallest doc_id of its
     class), class_size (documents) and ``keep``, true for one row per class."""
-    table, _, labels = near_links(docs, threshold, k, rows)
+    table, _, labels = near_links(docs, threshold, k, rows, top=top)
     m = _labelled(table.select("doc_id", "md"), labels)
     m = m.withColumn("no", F.row_number().over(Window.partitionBy("doc_id", "md").orderBy("label")))
     # nulls last among the rows of a class

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,35 @@ def test_near_classes(spark, odd_docs, no_docs):
     assert neardup.near_classes(no_docs).count() == 0 and neardup.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_near_classes_go_past_failing_candidates(spark):
+    """Texts with many plausible partners below the threshold, asked for one
+    partner at a time."""
+    rng, rows = random.Random(8), []
+    base = prose(150, 70).split()
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(150), rng.choice([1, 2, 2, 3, 3, 4, 4])):
+            w[k] = f"w{rng.randint(0, 10**9)}"
+        rows.append((i + 1, " ".join(w)))
+    want = brute_classes(rows)
+    assert len(want) > 3 and max(map(len, want)) > 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by = collections.defaultdict(list)
+    for r in neardup.near_classes(docs, top=1).collect():
+        by[r.class_id].append(r.doc_id)
+    assert ordered(by.values()) == want
+
+
+def test_proposals_mark_lists_that_are_cut():
+    sig = np.zeros((6, 100), np.uint8)
+    for i in range(1, 6):
+        sig[i, : 3 * i] = i
+    block = pa.table({"md": list("abcdef"), "label": list("abcdef"), "n": [50] * 6, "sig": [s.tobytes() for s in sig], "left": [True] + [False] * 5})
+    two, all_ = (neardup.proposals(100, top)(block).to_pylist() for top in (2, 8))
+    assert [(r["a"], r["b"], r["cut"]) for r in two] == [("b", "a", True), ("c", "a", True)]
+    assert len(all_) == 5 and not any(r["cut"] for r in all_)
+
+
 def test_hilbert_neighbours_touch():
     p = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     k = packing.hilbert_key(p, 3)
