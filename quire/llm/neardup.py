@@ -21,9 +21,8 @@ Plan, for any group size:
 3. Buckets that still hold several components propose, for each member
    outside the bucket's largest component, its most similar members of other
    components by signature. These are checked too, and the round repeats. A
-   round that links nothing new asks for four times as many, until no list of
-   members is cut short, so every plausible pair of different components has
-   been checked. A hot bucket is cut into blocks of its open members.
+   round that links nothing new while lists of members are cut short asks for
+   whole lists, so every plausible pair of different components is checked. A hot bucket is cut into blocks of its open members.
 4. Components come from alternating large-star and small-star steps on narrow
    edge tables; nothing but counts reaches the driver.
 
@@ -303,7 +302,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows:
         if not more.head(1):
             if not found.where("cut").head(1):
                 return table, links, labels
-            tested, top = tested.union(new), top * 4
+            tested, top = tested.union(new), block
             continue
         tested, links = tested.union(new), links.union(more)
         labels = components(links)
