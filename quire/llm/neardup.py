@@ -14,15 +14,17 @@ of the window sets of ``threshold`` or more; classes are connected components.
 Plan, for any group size:
 
 1. One scan computes signatures. Equal texts (by md5) become one node, with
-   partial aggregation, so exact copies never meet in a bucket.
-2. Every bucket links its members to its smallest member: a star, linear in
-   the bucket. The distinct pairs are checked exactly on the window sets of
-   the documents that share a bucket with another.
-3. Buckets that still hold several components propose, for each member
-   outside the bucket's largest component, its most similar members of other
-   components by signature. These are checked too, and the round repeats. A
-   round that links nothing new while lists of members are cut short asks for
-   whole lists, so every plausible pair of different components is checked. A hot bucket is cut into blocks of its open members.
+   partial aggregation, so exact copies never meet in a bucket. Buckets with
+   the same members count once.
+2. Every bucket links its members to three of them, the first by hashed
+   order: stars, linear in the bucket. The distinct pairs are checked exactly
+   on the window sets of the documents that share a bucket with another.
+3. A bucket that still holds several components is compared in cells: members
+   outside its largest component ("open") against all members, cut into
+   blocks bounded by rows and windows on both sides. A cell counts the common
+   windows of all its pairs from postings, which is the exact check, and
+   returns a forest of the links it finds, at most one per member. No pair of
+   different components that shares a bucket is left unchecked.
 4. Components come from alternating large-star and small-star steps on narrow
    edge tables; nothing but counts reaches the driver.
 
@@ -51,8 +53,9 @@ from quire.session import ship_package, stable
 
 _U = np.uint64
 SHINGLE, K, ROWS, THRESHOLD = 5, 100, 4, 0.8
-#: Signature agreement from which a proposed pair is checked (step 3).
-PLAUSIBLE = 0.62
+#: Hubs of a bucket (step 2); rows and windows of a block (step 3); common
+#: windows that a cell expands at a time.
+HUBS, BLOCK, BLOCK_WINDOWS, EXPAND = 3, 1024, 1 << 20, 1 << 21
 _RANK_BITS = 42
 
 
@@ -131,7 +134,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
-    """doc_id, md, n (distinct windows), bands and one byte per coordinate."""
+    """doc_id, md, n (distinct windows) and band keys of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,19 +145,17 @@ def signature_table(docs: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
                 keys = band_keys(sig, rows)
                 some = n > 0
                 at = np.concatenate([[0], np.cumsum(some * keys.shape[1])]).astype(np.int32)
-                low = wh.mix(sig).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0)[lo:hi],
                         b.column(1)[lo:hi],
                         pa.array(n),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].reshape(-1))),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    ["doc_id", "md", "n", "bands", "sig"],
+                    ["doc_id", "md", "n", "bands"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, md string, n long, bands array<long>, sig binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, md string, n long, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -226,92 +227,137 @@ def _labelled(df: DataFrame, labels: DataFrame, name: str = "md") -> DataFrame:
     return df.join(labels.withColumnRenamed("node", name), name, "left").withColumn("label", F.coalesce("label", name))
 
 
-def proposals(k: int, top: int = 4, ratio: float = THRESHOLD):
-    """For one block of a bucket: every open member (``left``) with its ``top``
-    most similar members of other components, by signature, in slices of 256;
-    ``cut`` marks the pairs of a member that has more."""
+def _forest(x: np.ndarray, y: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Positions of pairs (x, y) that join different components; ``parent``
+    (component of every node, its smallest) is brought up to date."""
+    at, taken = np.arange(len(x)), []
+    while True:
+        u, v = parent[x[at]], parent[y[at]]
+        apart = u != v
+        at, high, low = at[apart], np.maximum(u, v)[apart], np.minimum(u, v)[apart]
+        if not len(at):
+            return np.concatenate(taken) if taken else at
+        node, first = np.unique(high, return_index=True)
+        taken.append(at[first])
+        parent[node] = low[first]
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
+def cell_links(threshold: float = THRESHOLD, expand: int = EXPAND):
+    """For one cell of a bucket: links of its ``left`` rows (open members) to
+    its other rows. Two open members meet in two cells; the one that has the
+    smaller on the left counts."""
 
     def run(table: pa.Table) -> pa.Table:
         md = np.array(table["md"].to_pylist(), object)
+        rank = np.unique(md, return_inverse=True)[1]
         label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
-        n = table["n"].to_numpy().astype(float)
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, k)
-        left = np.flatnonzero(table["left"].to_numpy(zero_copy_only=False))
-        out_a, out_b, out_cut = [], [], []
-        for s in range(0, len(left), 256):
-            mine = left[s : s + 256]
-            same = np.zeros((len(mine), len(md)), np.float32)
-            for c in range(k):
-                same += sig[mine, c][:, None] == sig[:, c][None, :]
-            same /= k
-            bad = (label[mine][:, None] == label[None, :]) | (np.minimum.outer(n[mine], n) < ratio * np.maximum.outer(n[mine], n))
-            same[bad | (same < PLAUSIBLE)] = 0
-            best = np.argsort(-same, axis=1, kind="stable")[:, :top]
-            ok = np.take_along_axis(same, best, 1) > 0
-            i, j = np.nonzero(ok)
-            out_a.append(md[mine[i]])
-            out_b.append(md[best[i, j]])
-            out_cut.append(((same > 0).sum(axis=1) > top)[i])
-        a = np.concatenate(out_a) if out_a else np.array([], object)
-        b = np.concatenate(out_b) if out_b else np.array([], object)
-        cut = np.concatenate(out_cut) if out_cut else np.array([], bool)
+        is_left, is_open = (table[c].to_numpy(zero_copy_only=False) for c in ("left", "open"))
+        sets = [np.frombuffer(x, np.uint32) for x in table["set"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        out_a, out_b, out_j = [], [], []
+        if len(left) and len(right):
+            posting = np.concatenate([sets[i] for i in right])
+            order = np.argsort(posting, kind="stable")
+            posting, member = posting[order], np.repeat(np.arange(len(right)), n[right])[order]
+            parent = np.arange(label.max() + 1)
+            step = max(expand // len(right), 1)
+            for s in range(0, len(left), step):
+                mine = left[s : s + step]
+                window = np.concatenate([sets[i] for i in mine])
+                row = np.repeat(np.arange(len(mine)), n[mine])
+                lo = np.searchsorted(posting, window, "left")
+                size = np.searchsorted(posting, window, "right") - lo
+                ends = np.cumsum(size)
+                same = np.zeros(len(mine) * len(right), np.int64)
+                p = 0
+                while p < len(window):
+                    done = ends[p - 1] if p else 0
+                    q = max(p + 1, int(np.searchsorted(ends, done + expand, "right")))
+                    c = size[p:q]
+                    at = np.arange(c.sum()) + np.repeat(lo[p:q] - (ends[p:q] - c - done), c)
+                    same += np.bincount(np.repeat(row[p:q] * len(right), c) + member[at], minlength=len(same))
+                    p = q
+                same = same.reshape(len(mine), len(right))
+                alike = same / np.maximum(n[mine][:, None] + n[right][None, :] - same, 1)
+                once = ~is_open[right][None, :] | (rank[mine][:, None] < rank[right][None, :])
+                i, j = np.nonzero((alike >= threshold - 1e-12) & once)
+                a, b = mine[i], right[j]
+                pick = _forest(label[a], label[b], parent)
+                out_a.append(md[a[pick]])
+                out_b.append(md[b[pick]])
+                out_j.append(alike[i[pick], j[pick]])
+        a, b = (np.concatenate(x) if x else np.array([], object) for x in (out_a, out_b))
         return pa.table(
             {
-                "a": pa.array(np.maximum(a, b).tolist(), pa.string()),
-                "b": pa.array(np.minimum(a, b).tolist(), pa.string()),
-                "cut": pa.array(cut, pa.bool_()),
+                "a": pa.array(a.tolist(), pa.string()),
+                "b": pa.array(b.tolist(), pa.string()),
+                "similarity": pa.array(np.concatenate(out_j) if out_j else np.array([], float), pa.float64()),
             }
         )
 
     return run
 
 
-def near_links(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS, block: int = 4096, top: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _cells(buckets: DataFrame, labels: DataFrame, sets: DataFrame, block: int, windows: int) -> DataFrame:
+    """The rows of every cell of the buckets that hold several components."""
+    member = _labelled(buckets.select("key", "md", "n"), labels)
+    part = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    part = part.groupBy("key").agg(
+        F.max(F.struct("c", "label", "w")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum("w").alias("w")
+    ).where("parts > 1")
+    blocks = lambda c, w: F.greatest(F.ceil(c / block), F.ceil(w / windows)).cast("int")
+    part = part.select(
+        "key", F.col("main.label").alias("main"),
+        blocks(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("n_left"), blocks(F.col("c"), F.col("w")).alias("n_right"),
+    )
+    spot = F.xxhash64("md")
+    own = lambda n: F.pmod(spot, F.col(n)).cast("int")
+    places = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    as_right = places("n_left", lambda i: place(i, own("n_right"), False))
+    as_left = places("n_right", lambda j: place(own("n_left"), j, True))
+    member = member.join(part, "key").withColumn("open", F.col("label") != F.col("main"))
+    member = member.select("key", "md", "label", "open", F.when(F.col("open"), F.concat(as_right, as_left)).otherwise(as_right).alias("places"))
+    return member.join(sets, "md").select("key", "md", "label", "open", "set", F.explode("places").alias("p")).select("key", "p.*", "md", "label", "open", "set")
+
+
+def near_links(
+    docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS, block: int = BLOCK, windows: int = BLOCK_WINDOWS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signature table, links between different texts, labels of linked
-    texts). Links are enough to connect every class, not all its pairs.
-    ``top`` is the number of proposals of a member in the first round."""
+    texts). Links are enough to connect every class, not all its pairs."""
     ship_package(docs.sparkSession)
     table = stable(signature_table(docs, k, rows))
     first = F.coalesce("doc_id", F.lit(0))
-    nodes = stable(
-        table.where("n > 0").groupBy("md").agg(F.min(first).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
-    )
+    nodes = stable(table.where("n > 0").groupBy("md").agg(F.min(first).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
     member = nodes.select("md", "n", F.explode("bands").alias("key"))
-    hubs = member.groupBy("key").agg(F.min(F.struct("md", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = stable(member.join(hubs, "key").select("key", "md", "n", F.col("hub.md").alias("hub"), F.col("hub.n").alias("hub_n"), "size"))
+    hub = lambda i: F.min(F.struct(F.xxhash64("md", F.lit(i)).alias("h"), "md", "n"))
+    total = lambda i: F.sum(F.xxhash64("md", F.lit(100 + i)).cast("decimal(38,0)"))
+    hubs = member.groupBy("key").agg(
+        F.array(*[F.struct(hub(i)["md"].alias("md"), hub(i)["n"].alias("n")) for i in range(HUBS)]).alias("hubs"),
+        F.count(F.lit(1)).alias("size"), total(0).alias("t0"), total(1).alias("t1"),
+    ).where("size > 1")
+    # buckets of the same members: one of them is enough
+    hubs = hubs.groupBy("size", "t0", "t1").agg(F.min(F.struct("key", "hubs")).alias("b")).select("b.*")
+    buckets = stable(member.join(hubs, "key").select("key", "md", "n", F.array_distinct("hubs").alias("hubs")))
     sets = stable(window_sets(docs, nodes.join(buckets.select("md").distinct(), "md", "left_semi")))
-    close = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * threshold
-    pairs = buckets.where(F.col("md") != F.col("hub")).where(close).select(F.col("md").alias("a"), F.col("hub").alias("b")).distinct()
-    tested = stable(pairs)
-    links = stable(checked(tested, sets, threshold))
-    labels = components(links)
-    while True:
-        open_ = _labelled(buckets.select("key", "md", "n", "size"), labels)
-        per = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        per = per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        open_ = open_.join(per.select("key", F.col("main.label").alias("main")), "key").join(nodes.select("md", "sig"), "md")
-        n_blocks = F.ceil(F.col("size") / block).cast("int")
-        mine = F.pmod(F.xxhash64("md"), n_blocks.cast("long")).cast("int")
-        open_ = open_.withColumn("mine", mine).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        open_ = open_.withColumn("left", (F.col("mine") == F.col("block")) & (F.col("label") != F.col("main")))
-        found = open_.select("key", "block", "md", "label", "n", "sig", "left").groupBy("key", "block").applyInArrow(proposals(k, top, threshold), "a string, b string, cut boolean")
-        found = found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
-        found = stable(found.join(tested.withColumn("old", F.lit(True)), ["a", "b"], "left"))
-        new = found.where("old IS NULL").select("a", "b")
-        more = stable(checked(new, sets, threshold))
-        if not more.head(1):
-            if not found.where("cut").head(1):
-                return table, links, labels
-            tested, top = tested.union(new), block
-            continue
-        tested, links = tested.union(new), links.union(more)
-        labels = components(links)
-
-
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS, top: int = 4) -> DataFrame:
+    pairs = buckets.select("md", "n", F.explode("hubs").alias("hub")).where(F.col("md") != F.col("hub.md"))
+    pairs = pairs.where(F.least("n", "hub.n") >= F.greatest("n", "hub.n") * threshold)
+    pairs = pairs.select(F.greatest("md", "hub.md").alias("a"), F.least("md", "hub.md").alias("b")).distinct()
+    links = stable(checked(pairs, sets, threshold))
+    cells = _cells(buckets, components(links), sets, block, windows)
+    more = cells.groupBy("key", "i", "j").applyInArrow(cell_links(threshold), "a string, b string, similarity double")
+    links = stable(links.union(more))
+    return table, links, components(links)
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, md, class_id (smallest doc_id of its
     class), class_size (documents) and ``keep``, true for one row per class."""
-    table, _, labels = near_links(docs, threshold, k, rows, top=top)
+    table, _, labels = near_links(docs, threshold, k, rows)
     m = _labelled(table.select("doc_id", "md"), labels)
     m = m.withColumn("no", F.row_number().over(Window.partitionBy("doc_id", "md").orderBy("label")))
     # nulls last among the rows of a class

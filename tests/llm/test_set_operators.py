@@ -98,8 +98,8 @@ def test_near_classes(spark, odd_docs, no_docs):
 
 
 def test_near_classes_go_past_failing_candidates(spark):
-    """Texts with many plausible partners below the threshold, asked for one
-    partner at a time."""
+    """Texts with many plausible partners below the threshold, with buckets in
+    one cell and in many."""
     rng, rows = random.Random(8), []
     base = prose(150, 70).split()
     for i in range(60):
@@ -111,19 +111,57 @@ def test_near_classes_go_past_failing_candidates(spark):
     assert len(want) > 3 and max(map(len, want)) > 1
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     by = collections.defaultdict(list)
-    for r in neardup.near_classes(docs, top=1).collect():
+    for r in neardup.near_classes(docs).collect():
         by[r.class_id].append(r.doc_id)
     assert ordered(by.values()) == want
-
-
-def test_proposals_mark_lists_that_are_cut():
-    sig = np.zeros((6, 100), np.uint8)
-    for i in range(1, 6):
-        sig[i, : 3 * i] = i
-    block = pa.table({"md": list("abcdef"), "label": list("abcdef"), "n": [50] * 6, "sig": [s.tobytes() for s in sig], "left": [True] + [False] * 5})
-    two, all_ = (neardup.proposals(100, top)(block).to_pylist() for top in (2, 8))
-    assert [(r["a"], r["b"], r["cut"]) for r in two] == [("b", "a", True), ("c", "a", True)]
-    assert len(all_) == 5 and not any(r["cut"] for r in all_)
+    for size in ({"block": 7}, {"windows": 900}):
+        table, _, labels = neardup.near_links(docs, **size)
+        by = collections.defaultdict(list)
+        for r in table.join(labels.withColumnRenamed("node", "md"), "md", "left").collect():
+            by[r.label or r.md].append(r.doc_id)
+        assert ordered(by.values()) == want
+
+
+def test_cell_links_against_all_pairs():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 30, 60).astype(np.uint32)
+    sets = []
+    for i in range(24):
+        x = base.copy()
+        at = rng.choice(60, rng.integers(1, 7), replace=False)
+        x[at] = rng.integers(0, 1 << 30, len(at))
+        sets.append(np.unique(x))
+    names, open_ = [f"m{i:02d}" for i in range(24)], [i >= 4 for i in range(24)]
+    label = [names[0] if i < 4 else names[i] for i in range(24)]
+    rows = [(i, True) for i in range(24) if open_[i]] + [(i, False) for i in range(24)]
+    cell = pa.table({c: [f(i, left) for i, left in rows] for c, f in {
+        "md": lambda i, _: names[i], "label": lambda i, _: label[i], "left": lambda _, left: left,
+        "open": lambda i, _: open_[i], "set": lambda i, _: sets[i].tobytes()}.items()})
+    group = lambda pairs: components_of([(label[a], label[b]) for a, b in pairs], sorted(set(label)))
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    want = group([(a, b) for a in range(24) for b in range(a) if alike(a, b) >= 0.8])
+    assert 1 < len(want) < 21
+    for expand in (1, 50, 1 << 21):
+        got = neardup.cell_links(0.8, expand)(cell).to_pylist()
+        pairs = [(int(r["a"][1:]), int(r["b"][1:])) for r in got]
+        assert all(abs(alike(a, b) - r["similarity"]) < 1e-12 for (a, b), r in zip(pairs, got))
+        assert group(pairs) == want and len(got) == len(set(label)) - len(want)
+    assert neardup.cell_links()(cell.slice(0, 0)).num_rows == 0
+
+
+def components_of(pairs, nodes):
+    least = {x: x for x in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(least[a], least[b])
+            changed |= (least[a], least[b]) != (low, low)
+            least[a] = least[b] = low
+    by = collections.defaultdict(list)
+    for x, y in least.items():
+        by[y].append(x)
+    return sorted(by.values())
 
 
 def test_hilbert_neighbours_touch():
