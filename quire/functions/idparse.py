@@ -20,28 +20,32 @@ from pyspark.sql import functions as F
 # a nested key in the mixed dialect.
 NESTED_SOURCE_PREFIX = "HRS1"
 
-# A single- or double-quoted Python string literal (no escaped quotes inside).
-_SQ = r"'([^'\\]*)'"
-_DQ = r'"([^"\\]*)"'
-_OUTER = rf"^\s*[\(\[]\s*(?:{_SQ}|{_DQ})\s*,\s*(?:{_SQ}|{_DQ})\s*,?\s*[\)\]]\s*$"
-_INNER = rf"^\s*[\(\[]\s*(?:{_SQ}|{_DQ})\s*(?:,.*)?[\)\]]\s*$"
+# A Python string literal in single or double quotes. Quotes and backslashes
+# inside may be escaped; a key with another escape does not parse.
+_SQ = r"'([^'\\]*+(?:\\['\"\\][^'\\]*+)*+)'"
+_DQ = r'"([^"\\]*+(?:\\[\'"\\][^"\\]*+)*+)"'
+_STR = rf"(?:{_SQ}|{_DQ})"
+_END = r"(?:,.*)?[\)\]]\s*$"
+#: A tuple or list of any length that starts with one string, or with two.
+_FIRST = rf"^\s*(?:\[\s*{_STR}\s*\]\s*$|[\(\[]\s*{_STR}\s*,.*[\)\]]\s*$)"
+_SECOND = rf"^\s*[\(\[]\s*{_STR}\s*,\s*{_STR}\s*{_END}"
+_INNER = rf"^\s*[\(\[]\s*{_STR}\s*{_END}"
 
 
-def _pick(c: Column, pattern: str, g1: int, g2: int) -> Column:
-    a = F.regexp_extract(c, pattern, g1)
-    b = F.regexp_extract(c, pattern, g2)
-    matched = c.rlike(pattern)
-    return F.when(matched, F.when(a != "", a).otherwise(b))
+def _pick(c: Column, pattern: str, *groups: int) -> Column:
+    """The one of the groups that matched, unescaped; NULL without a match."""
+    text = F.concat(*[F.regexp_extract(c, pattern, g) for g in groups])
+    return F.when(c.rlike(pattern), F.regexp_replace(text, r"\\(.)", "$1"))
 
 
 def outer_first(key) -> Column:
     k = F.col(key) if isinstance(key, str) else key
-    return _pick(k, _OUTER, 1, 2)
+    return _pick(k, _FIRST, 1, 2, 3, 4)
 
 
 def outer_second(key) -> Column:
     k = F.col(key) if isinstance(key, str) else key
-    return _pick(k, _OUTER, 3, 4)
+    return _pick(k, _SECOND, 3, 4)
 
 
 def inner_first(text: Column) -> Column:
@@ -55,5 +59,7 @@ def parse_author_key(key, dialect: str = "nested") -> Column:
         return inner_first(first)
     if dialect == "mixed":
         second = outer_second(key)
-        return F.when(second.startswith(NESTED_SOURCE_PREFIX), inner_first(first)).otherwise(first)
+        # without a second string the dialect cannot be told
+        plain = F.when(second.isNotNull(), first)
+        return F.when(second.startswith(NESTED_SOURCE_PREFIX), inner_first(first)).otherwise(plain)
     raise ValueError(f"unknown id-map dialect {dialect!r}")

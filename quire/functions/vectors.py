@@ -52,7 +52,10 @@ def np_normalize(m: np.ndarray) -> np.ndarray:
 
 
 def np_stack(series) -> np.ndarray:
-    """A pandas Series of equal-length arrays as a 2-D float64 matrix."""
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in series])
+    """A pandas Series of equal-length arrays as a 2-D float64 matrix; a null
+    vector counts as zero (similarity 0 to all)."""
+    rows = [None if v is None else np.asarray(v, dtype=np.float64) for v in series]
+    width = next((len(v) for v in rows if v is not None), 0)
+    if not rows or not width:
+        return np.zeros((len(rows), width))
+    return np.vstack([np.zeros(width) if v is None else v for v in rows])

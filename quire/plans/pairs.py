@@ -34,7 +34,7 @@ class PairSet:
     draws or the shuffle."""
 
     def __init__(self, qc, eligible, make_cc, make_rows, n_query_authors, n_query_without_candidates,
-                 n_candidate_authors, unmatched):
+                 n_candidate_authors, unmatched, n_eligible):
         self.qc: DataFrame = qc  # query-candidate pairs, one per query author
         self.eligible: DataFrame = eligible  # candidate-only authors with >= 2 candidate documents
         self._make_cc = make_cc
@@ -42,6 +42,7 @@ class PairSet:
         self.n_query_authors = n_query_authors
         self.n_query_without_candidates = n_query_without_candidates
         self.n_candidate_authors = n_candidate_authors  # A6: candidate ids after the split
+        self.n_eligible = n_eligible
         self.unmatched: DataFrame = unmatched  # D3: query authors with no candidate document
 
     @cached_property
@@ -56,8 +57,10 @@ class PairSet:
 
     @property
     def expected_rows(self) -> int:
-        """Rows per epoch, two per query author that has candidates."""
-        return 2 * self.n_query_authors - self.n_query_without_candidates
+        """One qc row per query author that has candidates and, if any
+        author is eligible, one cc row per query author."""
+        draws = self.n_query_authors if self.n_eligible else 0
+        return self.n_query_authors - self.n_query_without_candidates + draws
 
 
 def attach_texts(pairs: DataFrame, docs: DataFrame, key: tuple[str, ...] = ("row_id",)) -> DataFrame:
@@ -240,7 +243,7 @@ def build_cross_role_pairs(
         return rows
 
     unmatched = q_rows.join(c_all, "author_id", "left_anti").select("author_id", F.col("n").alias("n_query_docs"))
-    return PairSet(qc, eligible, make_cc, make_rows, nq, nmiss, nc, unmatched)
+    return PairSet(qc, eligible, make_cc, make_rows, nq, nmiss, nc, unmatched, ne)
 
 
 def build_first_two_pairs(docs: DataFrame, split: str, epoch: int, with_text: bool = True) -> DataFrame:

@@ -22,6 +22,21 @@ def test_parse_both_dialects(spark):
     assert by["['a2', \"HRS1\"]"] == (None, None)
 
 
+def test_keys_of_any_length_with_escaped_quotes(spark):
+    ids = ["o'neil", 'say "x"', "it's \"q\"", "back\\slash", "a, b)", "é"]
+    nested = {repr((repr((i,)), "HRS1.1")): i for i in ids}
+    nested |= {repr((repr((i, "b", "c")), "HRS1", "third")): i for i in ids}
+    plain = {repr((i, "HRS2")): i for i in ids} | {repr((i, "HRS2", "x", "y")): i for i in ids} | {repr([i, "HRS2"]): i for i in ids}
+    one = {repr((repr((i,)),)): i for i in ids} | {repr([repr((i,))]): i for i in ids}
+    broken = ["('a'", "('a')", "(a, 'b')", "('a\\q', 'HRS2')", "()", ""]
+    df = spark.createDataFrame([(k,) for k in [*nested, *plain, *one, *broken]], "k string")
+    got = {r["k"]: (r["n"], r["m"]) for r in df.select("k", parse_author_key("k", "nested").alias("n"), parse_author_key("k", "mixed").alias("m")).collect()}
+    assert {k: got[k] for k in nested} == {k: (i, i) for k, i in nested.items()}
+    assert {k: got[k][1] for k in plain} == plain
+    assert {k: got[k] for k in one} == {k: (i, None) for k, i in one.items()}
+    assert all(got[k] == (None, None) for k in broken)
+
+
 def test_last_entry_wins_and_conflict_counted(spark):
     rows = [("('k1', 'HRS2.0')", "v", 0), ("('k2', 'HRS2.0')", "v", 1)]
     m = authors.build_id_map(spark.createDataFrame(rows, "map_key string, map_value string, pos bigint"), "mixed")

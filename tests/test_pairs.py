@@ -146,6 +146,7 @@ def test_split_restricts_authors_not_documents(spark):
     tail = P.build_cross_role_pairs(docs, "train", 0, split_percent=0.2, strict=False)
     assert sorted(r["author_id"] for r in tail.qc.collect()) == ["a08", "a09"]
     assert tail.eligible.count() == 0  # default: no query author is ever drawn
+    assert tail.rows.count() == tail.expected_rows == 2  # so there are no cc rows
     compat = P.build_cross_role_pairs(docs, "train", 0, split_percent=0.2, compat_split=True)
     assert {r["author_id"] for r in compat.eligible.collect()} == {"a07"}  # as the reference did
     assert {r["author_id"] for r in compat.cc.collect()} == {"a07"}

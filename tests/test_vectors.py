@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions.vectors import cosine, dot, l2_normalize
+from quire.functions.vectors import cosine, dot, l2_normalize, np_stack
 
 
 def test_column_vector_functions(spark):
@@ -20,3 +20,8 @@ def test_column_vector_functions(spark):
 def test_float_arrays_are_widened(spark):
     df = spark.createDataFrame([([1.0, 1.0],)], "a array<float>")
     assert df.select(F.round(cosine("a", "a"), 12).alias("c")).first()["c"] == 1.0
+
+
+def test_null_vectors_are_zero():
+    assert np_stack([None, np.array([1.0, 2.0]), None]).tolist() == [[0, 0], [1, 2], [0, 0]]
+    assert np_stack([None, None]).shape == (2, 0) and np_stack([]).shape == (0, 0)
