@@ -1,15 +1,16 @@
 """Near-duplicate classes by DartMinHash signatures and banded joining.
 
 A document is the set of its five-word windows (a shorter text is one window),
-weighted by ``1 + ln(count)``. DartMinHash throws darts: for every (element,
-weight band) a Poisson process over ranks, generated by hashing, gives darts
-with a rank and a height. Darts under the element's weight with a rank up to
-``t / total weight`` count, about ``k ln k + 2k`` per document whatever its
-length. Each dart falls on one of ``k`` coordinates by hash, and the earliest
-per coordinate is the signature, so two documents agree on a coordinate with
-the probability of their weighted Jaccard similarity. Bands of ``rows``
-coordinates are joined by equality. A link needs an exact Jaccard similarity
-of the window sets of ``threshold`` or more; classes are connected components.
+each of weight 1, however often it occurs. DartMinHash throws darts: for every
+(element, weight band) a Poisson process over ranks, generated by hashing,
+gives darts with a rank and a height. Darts under the element's weight with a
+rank up to ``t / total weight`` count, about ``k ln k + 2k`` per document
+whatever its length. Each dart falls on one of ``k`` coordinates by hash, and
+the earliest per coordinate is the signature, so two documents agree on a
+coordinate with the probability of their Jaccard similarity, the one that is
+checked. Bands of ``rows`` coordinates are joined by equality. A link needs an
+exact Jaccard similarity of the window sets of ``threshold`` or more; classes
+are connected components.
 
 Plan, for any group size:
 
@@ -139,9 +140,9 @@ def signature_table(docs: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in wh.blocks(wh.text_of(b)):
-                row, key, count, _ = shingles(data, off)
+                row, key, _, _ = shingles(data, off)
                 n = np.bincount(row, minlength=hi - lo)
-                sig = dart_signatures(row, key, 1 + np.log(count), hi - lo, k)
+                sig = dart_signatures(row, key, np.ones(len(key)), hi - lo, k)
                 keys = band_keys(sig, rows)
                 some = n > 0
                 at = np.concatenate([[0], np.cumsum(some * keys.shape[1])]).astype(np.int32)

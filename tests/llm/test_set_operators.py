@@ -122,6 +122,17 @@ def test_near_classes_go_past_failing_candidates(spark):
         assert ordered(by.values()) == want
 
 
+def test_near_classes_of_pasted_bodies(spark):
+    """A body and the same body pasted 5 and 10 times have alike window sets."""
+    bodies = [prose(100, 600 + i) for i in range(20)]
+    rows = [(3 * i + k, " ".join([b] * n)) for i, b in enumerate(bodies) for k, n in enumerate((1, 5, 10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by = collections.defaultdict(list)
+    for r in neardup.near_classes(docs).collect():
+        by[r.class_id].append(r.doc_id)
+    assert ordered(by.values()) == brute_classes(rows) == [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(20)]
+
+
 def test_cell_links_against_all_pairs():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 30, 60).astype(np.uint32)
