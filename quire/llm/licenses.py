@@ -7,6 +7,14 @@ every document is looked up. Hits of one template on neighbouring diagonals
 (document position minus template position) make a candidate, which is aligned
 with the template inside a band around that diagonal. Matches report the share
 of template words that were aligned and the span of code points in the text.
+One-line notices that overlap compete, as do GNU headers: the best stays.
+
+The dictionary holds the reserved-rights line; notices of Apache 2.0, MIT, BSD,
+ISC, MPL 2.0, GPL 2 and 3, LGPL 2.1 and 3, AGPL 3, CC BY (and SA, ND, NC, NC-SA,
+NC-ND) 4.0 and CC0; headers of Apache, MPL and the GNU licences; whole texts of
+MIT, BSD (2 and 3 clauses), ISC, Unlicense, Apache 2.0, GPL 2 and 3, LGPL 2.1
+and 3, MPL 2.0 and CC0. Others (whole AGPL and CC BY texts, older versions,
+other wordings) are not found.
 
 One scan, no shuffle; the index travels with the task, bounded by
 ``max_template_words``. Words are runs of letters, digits and non-ASCII
@@ -20,8 +28,10 @@ empty table, or no templates, gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +41,33 @@ from pyspark.sql import functions as F
 from quire.llm import wordhash as wh
 from quire.session import ship_package
 
-#: Notices of common licences, as they stand in files.
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License "
+    "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. {}"
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, '
+    "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without '
+    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+)
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS '
+
+#: Notices, headers and short bodies of common licences, as they
+#: stand in files. Long bodies are in ``license_texts``.
 TEMPLATES = {
+    "all-rights-reserved": "All rights reserved.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
@@ -43,13 +78,70 @@ TEMPLATES = {
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "mit-notice": "Released under the MIT License.",
-    "mit-grant": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without '
-        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+    "mit-grant": _MIT,
+    "mit-license": _MIT + (
+        ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS +
+        "OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-notice": "Released under the BSD License.",
+    "bsd-2-clause-license": _BSD.format(""),
+    "bsd-3-clause-license": _BSD.format(
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission. "
+    ),
+    "isc-notice": "Released under the ISC License.",
+    "isc-license": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR "
+        "DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
+        "SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+        "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+        "THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "mpl-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "gpl-2.0-header": _GNU.format("", "2"),
+    "gpl-3.0-header": _GNU.format("", "3"),
+    "lgpl-2.1-header": _GNU.format("Lesser ", "2.1"),
+    "lgpl-3.0-header": _GNU.format("Lesser ", "3"),
+    "agpl-3.0-header": _GNU.format("Affero ", "3"),
+    **{f"cc-{x.lower()}-4.0-notice": f"Licensed under CC {x} 4.0." for x in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    "cc0-1.0-notice": "Licensed under CC0 1.0.",
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate "
+        "any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large "
+        "and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of "
+        "all present and future rights to this software under copyright law. " + _AS_IS +
+        "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
+        "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
 }
 
+
+def production_templates() -> dict[str, str]:
+    """``TEMPLATES`` and the full texts beside this module, read on the driver."""
+    folder = Path(__file__).parent / "license_texts"
+    return TEMPLATES | {f"{p.stem}-text": p.read_text() for p in sorted(folder.glob("*.txt"))}
+
+
+def _family(name: str) -> str:
+    """Templates that differ by a word or two compete for a span."""
+    if name.endswith("-notice"):
+        return "notice"
+    return "gnu-header" if re.fullmatch(r"[al]?gpl-.*-header", name) else name
+
+
 _GAP = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _GAP[_a:_b] = False
@@ -135,7 +227,8 @@ _SCHEMA = "doc_id long, template string, coverage double, matched long, template
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, gram: int = 3, window: int = 3, band: int = 8, min_coverage: float = 0.8) -> DataFrame:
     """One row per match: doc_id, template, coverage (share of the template's
     words aligned), matched and template words, start and end code points."""
-    index = build_index(TEMPLATES if templates is None else templates, gram, window)
+    index = build_index(production_templates() if templates is None else templates, gram, window)
+    families = [_family(x) for x in index.names]
     # two notices of one template lie at least its length apart
     bands = np.array([min(band, max(1, len(w) // 4)) for w in index.words], int)
 
@@ -161,7 +254,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, gram
         cut = np.flatnonzero((t[1:] != t[:-1]) | (slot[1:] != slot[:-1]) | (row[1:] != row[:-1])) + 1
         border = np.searchsorted(doc, np.arange(doc[-1] + 2))
         hits = []
-        for s, e in zip(np.append(0, cut), np.append(cut, len(at))):
+        first_hit, end_hit = np.append(0, cut), np.append(cut, len(at))
+        enough = end_hit - first_hit >= index.need[t[first_hit]]
+        for s, e in zip(first_hit[enough], end_hit[enough]):
             k, r = int(t[s]), int(row[s])
             if len(np.unique(p[s:e])) < index.need[k]:
                 continue
@@ -169,9 +264,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, gram
             score, m, first, end = align(words[a:b], index.words[k], int(np.median(at[s:e] - p[s:e])) - int(a), int(bands[k] + bands[k] // 2))
             if m >= min_coverage * len(index.words[k]):
                 hits.append((-score, r, k, m, first + int(a), end + int(a)))
-        taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        taken: dict[tuple[int, str], list[tuple[int, int]]] = {}
         for _, r, k, m, a, b in sorted(hits):  # the best of those that overlap
-            spans = taken.setdefault((r, k), [])
+            spans = taken.setdefault((r, families[k]), [])
             if all(b <= x or a >= y for x, y in spans):
                 spans.append((a, b))
                 yield r, k, m, a, b

@@ -146,6 +146,21 @@ def test_licenses(spark, odd_docs, no_docs):
         licenses.build_index({"a": "b c d"}, max_template_words=2)
 
 
+def test_license_dictionary(spark):
+    """Every template is found whole in a text, and of near variants only the
+    right one."""
+    known = licenses.production_templates()
+    names = sorted(known)
+    rows = [(i, f"{prose(30, i)} . {known[n]} . {prose(20, i + 99)}") for i, n in enumerate(names)]
+    got = collections.defaultdict(dict)
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[names[r.doc_id]][r.template] = r.coverage
+    assert all(got[n].get(n, 0) > 0.99 for n in names)
+    short = [n for n in names if n.endswith("-notice") or n == "all-rights-reserved"]
+    assert len(short) > 12 and all(list(got[n]) == [n] for n in short)
+    assert {"all-rights-reserved", "bsd-3-clause-license", "isc-license", "mpl-2.0-header", "lgpl-3.0-header", "unlicense", "gpl-3-text"} <= set(got)
+
+
 def brute_passages(rows, size=13):
     least = {}
     for i, w in rows:
