@@ -278,6 +278,18 @@ def test_edited_texts_and_fingerprints(spark, odd_docs, no_docs):
     assert fingerprints.compare_edits(no_docs).count() == 0
 
 
+def test_short_texts_are_like_their_edited_text(spark):
+    """Half of a text of 6 to 40 words is shared, so its likeness is not 0;
+    also across the lengths at which short runs end."""
+    rows = [(100 * n + k, prose(n, 7000 + 100 * n + k)) for n in [*range(6, 41), 60, 78, 82, 90] for k in range(4)]
+    random.Random(6).shuffle(rows)
+    got = fingerprints.compare_edits(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    n = {i: len(t.split()) for i, (_, t) in enumerate(rows)}
+    low = [(n[r.doc_id], r.near_edited) for r in got if not 0 < r.near_edited < 0.9]
+    assert len(got) == len(rows) and not low
+    assert np.mean([r.near_edited for r in got]) > 0.2 and np.mean([r.near_next for r in got]) < 0.05
+
+
 def test_anchors_are_context_free(spark):
     a = prose(200, 70)
     docs = spark.createDataFrame([(1, a), (2, "some other start " + a + " end")], "doc_id long, text string")
