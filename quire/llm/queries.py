@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, fingerprints, licenses, mixing, neardup, packing, passages, quality, rollups, secrets
+from quire.llm import chat, filter_audit, fim, fingerprints, licenses, mixing, neardup, packing, passages, quality, rollups, secrets
 from quire.session import scratch_path, stable
 
 
@@ -96,6 +96,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand_examples(turns))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-middle example, and rebuilt from it."""
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders, per language."""
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -107,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_syncmers": op9_syncmers,
     "op10_chat_format": op10_chat_format,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -156,5 +170,68 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        CAST(sum(length(esc) + marks) AS BIGINT) AS formatted_chars,
        CAST(count(*) FILTER (role = 'assistant') + CASE WHEN max_by(role, turn) <> 'assistant' THEN 1 ELSE 0 END AS BIGINT) AS n_examples
 FROM e GROUP BY conv_id
+""",
+    "op11_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), x AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS i, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS j,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t
+), y AS (
+  SELECT *, array_to_string(u[:least(i, j)], '') AS p, array_to_string(u[least(i, j) + 1:greatest(i, j)], '') AS m,
+         array_to_string(u[greatest(i, j) + 1:], '') AS s
+  FROM x
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM y
+""",
+    "op13_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d
+), m AS (
+  SELECT part, (len(w) < 100)::INT AS a, (100 * len(list_distinct(w)) < 80 * len(w))::INT AS b,
+         (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::INT AS c,
+         regexp_matches(t, '[#$%&*|]')::INT AS d, coalesce(doc_id > first_id, false)::INT AS e,
+         coalesce(l.quality = 1, false)::INT AS good, coalesce(l.toxic = 1, false)::INT AS toxic
+  FROM w LEFT JOIN labels l USING (doc_id)
+), x AS (
+  SELECT part, map {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails, a + b + c + d + e AS n_fails,
+         count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM m GROUP BY 1, 2, 3
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+  SELECT p.f || q.f || r.f || s.f || t.f AS filter_order FROM f p, f q, f r, f s, f t
+  WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, left(filter_order, step - 1) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), y AS (
+  SELECT part, filter_order, step, s.f, n, good, toxic, n_fails, x.fails[s.f] = 1 AS fail,
+         list_sum(list_transform(string_split(before, ''), lambda z: coalesce(x.fails[z], 0))) > 0 AS gone
+  FROM x, steps s
+), z AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND fail THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fail AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND fail THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN NOT gone AND fail THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT * REPLACE (coalesce(gone, false) AS gone) FROM y) GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM z
 """,
 }
