@@ -70,11 +70,13 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _aligned(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     whole = None
-    for r in rows.sort_values("sid").itertuples():
+    # long shapes first: they show what repeats together
+    rows = rows.assign(size=-rows["shape"].str.len()).sort_values(["size", "sid"])
+    for r in rows.itertuples():
         parts = wr.read(r.shape, [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in r.stats])
         whole = parts if whole is None else wr.align(whole, parts)
     shape, stats = wr.write(whole)
-    return pd.DataFrame({"host": [key[0]], "shape": [shape], "n_pages": [int(rows.n_pages.sum())], "stats": [[tuple(s) for s in stats]]})
+    return pd.DataFrame({"host": [key[0]], "shape": [shape], "n_pages": [int(rows["n_pages"].sum())], "stats": [[tuple(s) for s in stats]]})
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:

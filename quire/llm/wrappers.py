@@ -221,22 +221,22 @@ def merge(a: Item, b: Item) -> Item:
 def fold(parts: list[Item]) -> list[Item]:
     """Neighbouring repeats, of one part or of up to ``MAX_PERIOD``, become
     one repeated part."""
-    out: list[Item] = []
+    single: list[Item] = []
     for p in parts:
+        if single and single[-1].label == p.label:
+            single[-1] = merge(single[-1], p)
+            single[-1].rep = True
+        else:
+            single.append(p)
+    out: list[Item] = []
+    for p in single:
         out.append(p)
-        if len(out) > 1 and out[-2].label == p.label:
-            out.pop()
-            out[-1] = merge(out[-1], p)
-            out[-1].rep = True
-            continue
-        for k in range(2, MAX_PERIOD + 1):
-            if len(out) <= k:
-                break
+        for k in range(2, min(MAX_PERIOD, len(out) - 1) + 1):
             tail = out[-k:]
             name = "(" + " ".join(x.label for x in tail) + ")"
             if out[-k - 1].label == name:
                 one, first = out[-k - 1], len(out) - k - 1
-            elif len(out) >= 2 * k and [x.label for x in out[-2 * k : -k]] == [x.label for x in tail]:
+            elif [x.label for x in out[-2 * k : -k]] == [x.label for x in tail]:
                 one, first = _group(out[-2 * k : -k]), len(out) - 2 * k
             else:
                 continue
