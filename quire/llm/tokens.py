@@ -4,7 +4,8 @@ The tokenizer of ``word_bpe_49k.json`` lower-cases, drops white space and
 never merges across it, so a text's ids are the ids of its pieces in order.
 :class:`WordEncoder` finds the pieces of a whole Arrow batch with numpy,
 encodes each distinct piece once per worker and gathers the ids of all texts
-by index. The memo is bounded by ``max_pieces`` and starts anew beyond it.
+by index. The memo is a sorted array of piece hashes beside the pieces' ids; it
+is bounded by ``max_pieces`` and starts anew beyond it.
 
 Pieces are runs between ASCII white space, cut further where a Latin-1 letter
 meets ASCII punctuation or a digit (never at an apostrophe). The tokenizer's
@@ -16,6 +17,8 @@ keep their case.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 from quire.llm import wordhash as wh
@@ -50,7 +53,7 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Encodes Arrow blocks with the tokenizer file at ``path``."""
 
-    def __init__(self, path: str | None = None, max_pieces: int = 300_000):
+    def __init__(self, path: str | None = None, max_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path or default_tokenizer())
@@ -61,9 +64,10 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.slot = np.zeros(0, np.int32)
         self.at = np.zeros(1024, np.int64)
-        self.len = np.zeros(1024, np.int64)
+        self.len = np.zeros(1024, np.int32)
         self.pool = np.zeros(4096, np.uint32)
         self.used = 0
 
@@ -77,16 +81,28 @@ class WordEncoder:
             return self.tok.encode(text, add_special_tokens=False).ids
         return [t.id for part, _ in self.split.pre_tokenize_str(self.norm.normalize_str(text)) for t in self.model.tokenize(part)]
 
-    def _add(self, key: int, ids: list[int]) -> None:
-        k, n = len(self.slot), len(ids)
-        if k == len(self.at):
-            self.at, self.len = (np.concatenate([a, np.zeros(k, np.int64)]) for a in (self.at, self.len))
-        while self.used + n > len(self.pool):
+    def _remember(self, keys: np.ndarray, found: list[list[int]]) -> None:
+        """Add new pieces, in the order of their keys."""
+        old, n = len(self.keys), len(keys)
+        sizes = np.fromiter(map(len, found), np.int64, n)
+        while old + n > len(self.at):
+            self.at, self.len = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.at, self.len))
+        while self.used + sizes.sum() > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        self.pool[self.used : self.used + n] = ids
-        self.at[k], self.len[k] = self.used, n
-        self.used += n
-        self.slot[key] = k
+        end = self.used + np.cumsum(sizes)
+        self.pool[self.used : self.used + sizes.sum()] = np.fromiter(chain.from_iterable(found), np.uint32)
+        self.at[old : old + n], self.len[old : old + n] = end - sizes, sizes
+        self.used += int(sizes.sum())
+        spot = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, spot, keys)
+        self.slot = np.insert(self.slot, spot, np.arange(old, old + n, dtype=np.int32))
+
+    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted keys in the memo, and which of them are there."""
+        spot = np.searchsorted(self.keys, keys)
+        known = spot < len(self.keys)
+        known[known] = self.keys[spot[known]] == keys[known]
+        return spot, known
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a block, one after the other, and row borders."""
@@ -114,18 +130,15 @@ class WordEncoder:
         if special:
             key = wh.mix(key + np.uint64(1))
         distinct, at, where = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.slot) + len(distinct) > self.max_pieces:
-            self.clear()
-        slot, get = self.slot, self.slot.get
-        found = []
-        for k, i in zip(distinct.tolist(), at.tolist()):
-            s = get(k)
-            if s is None:
-                self._add(k, self._ids(raw[starts[i] : ends[i]]))
-                s = len(slot) - 1
-            found.append(s)
-        at = np.array(found, np.int64)[where] if found else np.zeros(0, np.int64)
-        n = self.len[at]
+        known = self._slots(distinct)[1]
+        if not known.all():
+            if len(self.keys) + int((~known).sum()) > self.max_pieces:
+                self.clear()
+                known[:] = False
+            new = at[~known]
+            self._remember(distinct[~known], [self._ids(raw[a:b]) for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+        at = self.slot[self._slots(distinct)[0]][where] if len(distinct) else np.zeros(0, np.int32)
+        n = self.len[at].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.pool[np.repeat(self.at[at] - total[:-1], n) + np.arange(total[-1])]
         return ids, total[np.searchsorted(doc, np.arange(rows + 1))]
