@@ -156,7 +156,7 @@ def signature_table(docs: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
                     ["doc_id", "md", "n", "bands"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, md string, n long, bands array<long>")
+    return _keyed(docs).mapInArrow(wh.trimmed(run), "doc_id long, md string, n long, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def window_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     keyed = _keyed(docs).withColumn("first", F.coalesce("doc_id", F.lit(0)))
     # one text per node: (md, smallest id) may still be a repeated row
     rows = keyed.join(nodes.select("md", "first"), ["md", "first"], "left_semi").select("md", "text")
-    return rows.mapInArrow(_window_sets, "md string, set binary").groupBy("md").agg(F.any_value("set").alias("set"))
+    return rows.mapInArrow(wh.trimmed(_window_sets), "md string, set binary").groupBy("md").agg(F.any_value("set").alias("set"))
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def checked(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     larger side of the pair travels; a hot node is split by the skew join."""
     one = pairs.join(sets.select(F.col("md").alias("b"), F.col("set").alias("set_b")), "b")
     two = one.join(sets.select(F.col("md").alias("a"), F.col("set").alias("set_a")), "a")
-    found = two.select("a", "b", "set_a", "set_b").mapInArrow(_check, "a string, b string, similarity double")
+    found = two.select("a", "b", "set_a", "set_b").mapInArrow(wh.trimmed(_check), "a string, b string, similarity double")
     return found.where(F.col("similarity") >= threshold - 1e-12)
 
 

@@ -112,7 +112,7 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) ->
                 seq += hi - lo
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, key long, row long, n_tokens long, width int, ids binary"
+        wh.trimmed(run), "doc_id long, key long, row long, n_tokens long, width int, ids binary"
     )
 
 
@@ -189,4 +189,4 @@ def pack(docs: DataFrame, max_len: int = 4096, tokenizer: str | None = None, end
             )
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return ranged.join(F.broadcast(offsets), "part").mapInArrow(run, schema)  # one row per partition
+    return ranged.join(F.broadcast(offsets), "part").mapInArrow(wh.trimmed(run), schema)  # one row per partition

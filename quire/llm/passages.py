@@ -249,7 +249,7 @@ def drop_repeated_passages(docs: DataFrame, size: int = SIZE) -> DataFrame:
     of word positions (end exclusive) and the kept words, joined by spaces."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ship_package(docs.sparkSession)
-    chunks = stable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_to_chunks, _CHUNK))
-    sent = chunks.mapInArrow(_windows(size, buckets), "bucket int, chunk long, low binary, ids binary")
-    answers = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_answers, "chunk long, bucket int, low binary")
+    chunks = stable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(wh.trimmed(_to_chunks), _CHUNK))
+    sent = chunks.mapInArrow(wh.trimmed(_windows(size, buckets)), "bucket int, chunk long, low binary, ids binary")
+    answers = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(wh.trimmed(_answers), "chunk long, bucket int, low binary")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(size, buckets), _RESULT)

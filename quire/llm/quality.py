@@ -267,7 +267,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, cu
         docs.select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")  # at most max_rows ids
         .select("doc_id", "text", "y")
-        .mapInArrow(_feature_rows, "x array<double>, y double")
+        .mapInArrow(wh.trimmed(_feature_rows), "x array<double>, y double")
         .toArrow()
     )
     if not rows.num_rows:
@@ -300,7 +300,7 @@ def score_quality(docs: DataFrame, trees: Trees | None) -> DataFrame:
 
     ship_package(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, quality double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(wh.trimmed(run), schema)
 
 
 def filter_quality(docs: DataFrame, trees: Trees | None) -> DataFrame:
@@ -311,4 +311,4 @@ def filter_quality(docs: DataFrame, trees: Trees | None) -> DataFrame:
             yield b.filter(pa.array(_verdict(wh.text_of(b), trees)[3]))
 
     ship_package(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(wh.trimmed(run), docs.schema)

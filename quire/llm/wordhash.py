@@ -12,7 +12,10 @@ hashes. They are deterministic: the same bytes hash alike in every task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +95,7 @@ def inside(doc: np.ndarray, size: int) -> np.ndarray:
     return doc[:n] == doc[size - 1 :] if n > 0 else np.zeros(0, bool)
 
 
-def blocks(column: pa.Array, max_bytes: int = (1 << 20) - 1024, max_rows: int = 16384) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, max_bytes: int = 1 << 19, max_rows: int = 16384) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole rows of about ``max_bytes``, at
     most ``max_rows`` rows each.
 
@@ -155,3 +158,31 @@ def text_of(table, name: str = "text"):
     """The named column of a record batch as one Arrow string array."""
     col = table.column(table.schema.get_field_index(name))
     return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C heap, which
+    otherwise keeps the largest block's share for the worker's next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow kernel that gives memory back after every batch it read
+    and at its end."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b
+            del b
+            _give_back()
+
+    @wraps(kernel)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(read(batches))
+        finally:
+            _give_back()
+
+    return run
