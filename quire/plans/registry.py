@@ -138,7 +138,7 @@ def q_rank_top_k(spark, sf):
     f"WITH {SQL_SCORES}, {sql_metrics('s', 'query_id')} SELECT query_id, round(eer, 6) AS eer FROM pq",
 )
 def q_attribution_eer(spark, sf):
-    pq, _ = scoring.evaluate_attribution(_scored(spark, sf))
+    pq, _ = scoring.evaluate_vectors(fx.fx_queries(spark, sf), fx.fx_candidates(spark, sf))
     return pq.select("query_id", r6("eer"))
 
 
@@ -148,7 +148,7 @@ def q_attribution_eer(spark, sf):
     SELECT query_id, n_pos, n_neg, round(ap, 6) AS ap FROM pq""",
 )
 def q_attribution_ap(spark, sf):
-    pq, _ = scoring.evaluate_attribution(_scored(spark, sf))
+    pq, _ = scoring.evaluate_vectors(fx.fx_queries(spark, sf), fx.fx_candidates(spark, sf))
     return pq.select("query_id", "n_pos", "n_neg", r6("ap"))
 
 
@@ -165,7 +165,7 @@ SQL_MACRO_SELECT = """
     f"WITH {SQL_SCORES}, {sql_metrics('s', 'query_id')} SELECT {SQL_MACRO_SELECT} FROM pq",
 )
 def q_evaluate_macro(spark, sf):
-    _, macro = scoring.evaluate_attribution(_scored(spark, sf))
+    _, macro = scoring.evaluate_vectors(fx.fx_queries(spark, sf), fx.fx_candidates(spark, sf))
     return macro.select("n_queries", "n_undefined", r6("mean_eer"), r6("mean_ap"))
 
 
@@ -179,8 +179,9 @@ def q_evaluate_macro(spark, sf):
     SELECT run_id, {SQL_MACRO_SELECT} FROM pq GROUP BY run_id""",
 )
 def q_compare_runs(spark, sf):
-    runs = scoring.two_runs(_scored(spark, sf))
-    return scoring.compare_runs(runs).select("run_id", "n_queries", "n_undefined", r6("mean_eer"), r6("mean_ap"))
+    runs = (("exact", None), ("rounded", 1))
+    _, macro = scoring.evaluate_vectors(fx.fx_queries(spark, sf), fx.fx_candidates(spark, sf), runs=runs)
+    return macro.select("run_id", "n_queries", "n_undefined", r6("mean_eer"), r6("mean_ap"))
 
 
 # --------------------------------------------------------------------------
