@@ -3,11 +3,14 @@
 import collections
 import hashlib
 import random
+import struct
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import chat, fingerprints, mixing, neardup, packing, rollups
@@ -279,8 +282,7 @@ def test_edited_texts_and_fingerprints(spark, odd_docs, no_docs):
 
 
 def test_short_texts_are_like_their_edited_text(spark):
-    """Half of a text of 6 to 40 words is shared, so its likeness is not 0;
-    also across the lengths at which short runs end."""
+    """Half of a text of 6 to 40 words is shared, so its likeness is not 0."""
     rows = [(100 * n + k, prose(n, 7000 + 100 * n + k)) for n in [*range(6, 41), 60, 78, 82, 90] for k in range(4)]
     random.Random(6).shuffle(rows)
     got = fingerprints.compare_edits(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
@@ -299,14 +301,62 @@ def test_anchors_are_context_free(spark):
     assert best["shift"] == 3 and best.n_anchors >= 0.9 * found.where("doc_id = 1").count()
 
 
+def _sketch(text):
+    """Anchors of a fingerprint by plain Python: [(hash, first position)]."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    t = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in re.findall(r"[^\x20\x09-\x0D]{1,5}", text or "")]
+
+    def run(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+        return signed(h)
+
+    at = [i for i in range(len(t) - 2) if not t[i + 1] < min(t[i], t[i + 2])] if len(t) > 2 else [0][: len(t)]
+    first = {}
+    for i in at:
+        first.setdefault(run(t[i : i + 3] if len(t) > 2 else t), i)
+    every = sorted(first.items())
+    return [x for i, x in enumerate(every) if i < 64 or x[0] < fingerprints.SHARE], at
+
+
+def _alike(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    limit = min(max(x[63][0], fingerprints.SHARE - 1) if len(x) >= 64 else 1 << 63 for x in (a, b))
+    x, y = ({h: at for h, at in z if h <= limit} for z in (a, b))
+    shifts = collections.Counter(y[h] - x[h] for h in x if h in y)
+    return max(shifts.values(), default=0) / len(x.keys() | y.keys())
+
+
+def test_fingerprints_against_python(spark, odd_docs):
+    more = [(100 + k, prose(n, 900 + k)) for k, n in enumerate([1, 2, 3, 5, 40, 60, 61, 90, 400, 3000, 3000])]
+    passage = prose(100, 77)
+    for k in (200, 201):  # two long texts with a passage of 100 words in common
+        more.append((k, prose(20_000, k) + " " + passage + " " + prose(5_000, k + 10)))
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = {i: t or "" for i, t in rows_of(docs) if i is not None}
+    rows = [r for r in fingerprints.compare_edits(docs).collect() if r.doc_id is not None]
+    order = sorted(texts, reverse=True)
+    nxt = dict(zip(order, order[1:]))
+    for r in rows:
+        own, _ = _sketch(texts[r.doc_id])
+        assert r.fingerprint == "".join(f"{h % (1 << 64):016x}{at:08x}" for h, at in own)
+        if r.doc_id in nxt and r.doc_id != 2:  # 2 is a repeated row
+            x, y = texts[r.doc_id], texts[nxt[r.doc_id]]
+            n = len(x) // 2
+            assert r.near_edited == pytest.approx(_alike(own, _sketch(x[: len(x) - n] + y[:n])[0]))
+            assert r.near_next == pytest.approx(_alike(own, _sketch(y)[0]))
+    assert {r.doc_id: r.near_next for r in rows}[201] > 0
+
+
 def test_anchors_against_python(spark):
-    t = prose(80, 71)
-    got = [r.at for r in fingerprints.anchors(spark.createDataFrame([(1, t)], "doc_id long, text string")).orderBy("at").collect()]
-    w = spark.createDataFrame([(i, x) for i, x in enumerate(t.split())], "i int, w string")
-    h = [r.h for r in w.select("i", F.xxhash64("w").alias("h")).orderBy("i").collect()]
-    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(h, h[1:]))], "i int, a long, b long")
-    s = [r.s for r in pairs.select("i", F.xxhash64("a", "b").alias("s")).orderBy("i").collect()]
-    assert got == [i for i in range(len(s) - 7) if min(s[i : i + 8]) in (s[i], s[i + 7])]
+    for t in (prose(80, 71), "one", "a b", "x" * 400, ""):
+        got = [r.at for r in fingerprints.anchors(spark.createDataFrame([(1, t)], "doc_id long, text string")).orderBy("at").collect()]
+        assert got == _sketch(t)[1]
+        assert all(b - a <= 2 for a, b in zip(got, got[1:]))  # four tokens in a row hold an anchor
 
 
 def test_chat_escape_round_trip():
