@@ -1,8 +1,10 @@
 """Keep authors none of whose document pairs look alike.
 
-docs (author_id, doc_id, seq, vec) -> P3 (more than one document) -> J3 pairs
-in bounded cells -> A2 max per author -> P6 ``max_sim < threshold`` (strict)
--> R1 seeded cap -> J4 semi join back to the documents; A7 retention report.
+docs (author_id, doc_id, seq, vec) -> P3 (more than one document) -> authors
+with a pair at the threshold dropped by one proven pair -> J3 pairs of the
+others in bounded cells -> A2 max per author -> P6 ``max_sim < threshold``
+(strict) -> R1 seeded cap -> J4 semi join back to the documents; A7 retention
+report.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.sampling import cap_ids
 from quire.operators.similarity import author_pairs
+from quire.operators.witness import authors_below
 from quire.session import stable
 
 
@@ -42,7 +45,7 @@ def diverse_authors(
     """Returns ``(info, keep)``: the max similarity of every author under the
     threshold (before the cap, as the reference's info file), and the kept
     author ids after the cap."""
-    info = author_max_similarity(docs, author, block_rows, featurize).where(F.col("max_sim") < float(threshold))
+    info = authors_below(docs, threshold, author, block_rows=block_rows, featurize=featurize)
     info = stable(info)  # one row per author; read by the cap and by the caller
     keep = cap_ids(info.select(author), cap, seed, id_col=author)
     return info, keep

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.similarity import author_pairs
+from quire.operators.witness import authors_below
 from quire.plans import diversity
 from tests.conftest import SF001
 
@@ -94,3 +95,75 @@ def test_repeated_document_ids_are_not_collapsed(spark):
     pairs = diversity.author_pair_similarity(d).collect()
     assert len(pairs) == 3
     assert sorted((p["doc_i"], p["doc_j"]) for p in pairs) == [(7, 7), (7, 8), (7, 8)]
+
+
+def _plain_below(docs, threshold, **kw):
+    mx = author_pairs(docs, emit="max", **kw).where(F.col("max_sim") < threshold)
+    return {r["author_id"]: r["max_sim"] for r in mx.collect()}
+
+
+def test_authors_below_equals_all_pairs(spark):
+    """With small blocks every step runs; null vectors, authors with a single
+    near copy, a null author and repeated rows included."""
+    rng = np.random.default_rng(3)
+    rows = []
+    eye = np.eye(64)
+    for i in range(40):  # alike everywhere: dropped by one block
+        rows.append(("alike", i, i, (eye[0] + 0.01 * rng.normal(size=64)).tolist()))
+    for i in range(40):  # orthogonal but for one near copy
+        rows.append(("copy", 100 + i, i, eye[i].tolist()))
+    rows.append(("copy", 199, 99, (eye[7] + 0.05 * eye[50]).tolist()))
+    for i in range(40):  # nothing alike: all pairs, exact maximum
+        rows.append(("apart", 200 + i, i, (eye[i] + 0.05 * eye[(i + 1) % 40]).tolist()))
+    rows += [("nulls", 300 + i, i, None) for i in range(20)]
+    rows += [("small", 400, 0, eye[1].tolist()), ("small", 401, 1, eye[2].tolist())]
+    rows += [("one", 500, 0, eye[1].tolist()), (None, 501, 0, eye[1].tolist()), (None, 502, 1, eye[1].tolist())]
+    d = _docs(spark, rows)
+    steps = []
+    got = {r[0]: r[1] for r in authors_below(d, 0.2, block_rows=8, steps=steps).collect()}
+    want = _plain_below(d, 0.2, block_rows=10_000)
+    assert set(got) == set(want) == {"apart", "nulls", "small"}
+    assert all(abs(got[a] - want[a]) < 1e-12 for a in want)
+    assert [s for s, _ in steps] == ["one block", "neighbours"]
+    assert sum(n for _, n in steps) == 2  # both similar authors go before all pairs
+
+
+def test_authors_below_on_random_authors(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for a in range(12):
+        spread = rng.uniform(0.1, 4.0)
+        base = rng.normal(size=16)
+        for j in range(int(rng.integers(1, 40))):
+            rows.append((f"r{a}", a * 100 + j, j, (base + spread * rng.normal(size=16)).tolist()))
+    d = _docs(spark, rows)
+    for t in (0.0, 0.8):
+        got = {r[0]: r[1] for r in authors_below(d, t, block_rows=5).collect()}
+        want = _plain_below(d, t)
+        assert set(got) == set(want)
+        assert all(abs(got[a] - want[a]) < 1e-12 for a in want)
+
+
+def test_author_with_fifty_thousand_documents_is_dropped_by_one_block(spark):
+    """The author is whole (not thinned); all its pairs would be 1.25 billion."""
+    vec = F.transform(
+        F.sequence(F.lit(1), F.lit(8)), lambda k: (F.xxhash64(F.col("id"), k) % 1000) / F.lit(1000.0) + F.lit(0.2)
+    )
+    hot = spark.range(50_000).select(F.lit("hot").alias("author_id"), F.col("id").alias("doc_id"), F.col("id").alias("seq"),
+                                     vec.alias("vec"))
+    few = _docs(spark, [("few", 1, 1, [1.0] + [0.0] * 7), ("few", 2, 2, [0.0, 1.0] + [0.0] * 6)])
+    steps = []
+    got = authors_below(hot.unionByName(few), 0.2, steps=steps).collect()
+    assert [(r[0], r[1]) for r in got] == [("few", 0.0)]
+    assert steps == [("one block", 1)]
+
+
+def test_authors_below_of_empty_input(spark):
+    assert authors_below(_docs(spark, [("x", 1, 1, [1.0])]).limit(0), 0.2).count() == 0
+
+
+def test_cells_without_a_pair_and_string_authors(spark):
+    """A hash block of one document has no pair with itself."""
+    d = _docs(spark, [("s", i, i, [1.0, float(i)]) for i in range(7)])
+    assert author_pairs(d, block_rows=1).count() == 21
+    assert author_pairs(d, block_rows=1, emit="max").count() == 1
