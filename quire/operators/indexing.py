@@ -73,6 +73,50 @@ def dense_index(
     )
 
 
+# offsets of file splits: about 200 bytes a row, so at most some 20 MB
+BROADCAST_SPLITS = 100_000
+
+
+def split_index(df: DataFrame, split: Sequence[str], row: str, out: str = "idx") -> DataFrame:
+    """Add ``out`` = 0-based position of each row in the order (``split``,
+    ``row``), for rows that a file scan already delivers in order.
+
+    ``row`` is ``monotonically_increasing_id()`` taken at the scan and
+    ``split`` names a file split (path and start), so the rows of a split are
+    one run of ``row``. The rows are written once where they are, which fixes
+    these numbers; only one row per split (first id, count) is shuffled and
+    ordered, and no text is. The offsets are broadcast when there are at most
+    ``BROADCAST_SPLITS`` of them, otherwise joined. When a later filter left
+    gaps in a split, the positions come from :func:`dense_index`.
+    """
+    split = list(split)
+    rows = stable(df)
+    per_split = stable(
+        rows.groupBy(*split).agg(
+            F.min(row).alias("_first"), F.max(row).alias("_last"), F.count(F.lit(1)).alias("_cnt")
+        )
+    )
+    shape = per_split.agg(
+        F.count(F.lit(1)).alias("splits"),
+        F.count_if(F.col("_last") - F.col("_first") + 1 != F.col("_cnt")).alias("gaps"),
+    ).first()
+    if shape["gaps"]:
+        return dense_index(rows, [*split, row], out=out)
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_split.select(
+        *[F.col(c).alias(f"_k_{c}") for c in split],
+        (F.coalesce(F.sum("_cnt").over(before), F.lit(0)) - F.col("_first")).alias("_off"),
+    )
+    if int(shape["splits"]) <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    same = [rows[c].eqNullSafe(F.col(f"_k_{c}")) for c in split]
+    return (
+        rows.join(offsets, same)
+        .withColumn(out, (F.col("_off") + F.col(row)).cast("bigint"))
+        .drop("_off", *[f"_k_{c}" for c in split])
+    )
+
+
 def grouped_running_sums(
     df: DataFrame,
     group: Sequence[str],

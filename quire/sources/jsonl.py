@@ -4,7 +4,7 @@ Always read with an explicit schema (no inference pass, ids stay strings).
 Arrival order, which the reference takes from file and line order, becomes
 explicit columns: ``file`` (the path), ``_block`` and ``_row`` (position
 inside the file split). Call :func:`with_arrival_seq` to number rows and fix
-that order with a checkpoint before any join.
+that order with a written table before any join.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators.indexing import dense_index
+from quire.operators.indexing import split_index
 
 # Fixed values (must equal the input layout): file names and folders of the
 # official query/candidate release and of the filtered corpora.
@@ -161,9 +161,10 @@ def _scan_or_empty(spark: SparkSession, pattern: str, schema: T.StructType) -> D
 
 def with_arrival_seq(df: DataFrame, out: str = "seq") -> DataFrame:
     """Number rows in arrival order: queries before candidates, then file
-    path, split start and position inside the split. Uses the distributed
-    dense index, whose checkpoint fixes the monotonic row ids."""
+    path, split start and position inside the split. A scan delivers the rows
+    of a split in order, so only one row per split is ordered
+    (:func:`quire.operators.indexing.split_index`); no text is shuffled."""
     side_rank = F.when(F.col("side") == "query", 0).otherwise(1) if "side" in df.columns else F.lit(0)
     keyed = df.withColumn("_side_rank", side_rank)
-    out_df = dense_index(keyed, ["_side_rank", "file", "_block", "_row"], out=out)
+    out_df = split_index(keyed, ["_side_rank", "file", "_block"], "_row", out=out)
     return out_df.drop("_side_rank", "_block", "_row")

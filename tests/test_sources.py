@@ -102,3 +102,43 @@ def test_raw_lines_round_trip_with_author(spark, tmp_path):
     by = {r["documentID"]: r for r in back}
     assert by["d1"]["authorID"] == 'a"b' and by["d1"]["other"] == [1, {"k": None}]
     assert by["d2"]["authorID"] is None
+
+
+def _numbered(spark, base, split_bytes):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    try:
+        return jsonl.with_arrival_seq(jsonl.read_corpus(spark, str(base), "dev"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_arrival_order_over_many_file_splits_without_a_shuffle(spark, tmp_path):
+    """Files of unlike sizes, cut into many splits that Spark packs largest
+    first: positions are still file by file, line by line."""
+    want = []
+    for name, n in (("dev_a", 40), ("dev_b", 900), ("dev_c", 0), ("dev_d", 333)):
+        rows = [{"documentID": f"{name}-{i}", "fullText": "word " * (i % 23), "authorIDs": ["x"]} for i in range(n)]
+        _write(tmp_path / f"{name}.jsonl", rows)
+        want += [r["documentID"] for r in rows]
+    df = _numbered(spark, tmp_path, "4k")
+    assert df.select("file").distinct().count() == 3
+    assert [(r["seq"], r["documentID"]) for r in df.orderBy("seq").collect()] == list(enumerate(want))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    # the text side reaches the join without an exchange
+    assert "rangepartitioning" not in plan and "hashpartitioning" not in plan
+
+
+def test_arrival_order_when_rows_were_filtered_or_offsets_are_many(spark, tmp_path, monkeypatch):
+    from quire.operators import indexing
+
+    _write(tmp_path / "dev.jsonl", [{"documentID": str(i), "fullText": "t", "authorIDs": ["x"]} for i in range(50)])
+    odd = jsonl.read_corpus(spark, str(tmp_path), "dev").where(F.col("documentID").cast("int") % 2 == 1)
+    got = [(r["seq"], r["documentID"]) for r in jsonl.with_arrival_seq(odd).orderBy("seq").collect()]
+    assert got == [(k, str(2 * k + 1)) for k in range(25)]
+    monkeypatch.setattr(indexing, "BROADCAST_SPLITS", 0)
+    joined = _numbered(spark, tmp_path, "1k")
+    assert [r["documentID"] for r in joined.orderBy("seq").collect()] == [str(i) for i in range(50)]
+    none = jsonl.with_arrival_seq(jsonl.read_corpus(spark, str(tmp_path), "dev").where(F.lit(False)))
+    assert none.count() == 0
