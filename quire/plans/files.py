@@ -67,7 +67,7 @@ def author_filter_from_jsonl(
     report = diversity.retention_report(docs, keep, by="file")
     if out_dir:
         # K1: every original field of each kept line, plus authorID
-        name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.jsonl$", "_filtered")
+        name = F.regexp_replace(jsonl.source_name("file"), r"\.jsonl$", "_filtered")
         writers.write_filtered_lines(kept.withColumn("output", name), f"{out_dir}/{split}", by=("output",))
         passed = vecs.join(info.select("author_id"), "author_id", "left_semi")
         pair_sims = diversity.author_pair_similarity(passed, block_rows=block_rows, featurize=featurize)

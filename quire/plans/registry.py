@@ -1012,3 +1012,196 @@ def q_text_pair_similarity(spark, sf):
     docs = TX.embed_documents(fx.fx_text_docs(spark, sf), out="vec")
     pairs = author_pairs(docs, emit="pairs", featurize=partial(TX.bucket_matrix, dim=TX.DEFAULT_DIM))
     return pairs.select("author_id", "doc_i", "doc_j", r6("sim"))
+
+
+# --------------------------------------------------------------------------
+# Files through the library's own readers (S1-S4, U1, P1, P2) and the
+# counted sinks
+# --------------------------------------------------------------------------
+
+
+def _write_json_lines(docs: DataFrame, path: str, ids: str, author) -> None:
+    """Documents in (seq, doc_id) order as one ``*.jsonl`` folder of parts."""
+    docs.orderBy("seq", "doc_id").select(
+        F.col("doc_id").cast("string").alias("documentID"), F.col("full_text").alias("fullText"), author.alias(ids)
+    ).write.mode("overwrite").json(path)
+
+
+@register(
+    "corpus_scan",
+    f"""WITH {SQL_DOCS}
+    SELECT doc_id, cid AS author_id, CASE WHEN side = 'query' THEN '{EPOCH_SPLIT}_queries.jsonl'
+                                          ELSE '{EPOCH_SPLIT}_candidates.jsonl' END AS name,
+           md5(full_text) AS text_md5,
+           CAST(ROW_NUMBER() OVER (ORDER BY side, seq, doc_id) - 1 AS BIGINT) AS arrival
+    FROM d""",
+)
+def q_corpus_scan(spark, sf):
+    """The corpus written as ``train_*.jsonl`` next to another
+    split and an earlier filtered output, read with the corpus scan and
+    numbered in arrival order (file by file, line by line)."""
+    from quire.session import scratch_path
+    from quire.sources import jsonl
+
+    base = scratch_path(spark, "corpus_scan")
+    d = fx.fx_docs(spark, sf)
+    ids = F.array(F.col("author_id"), F.lit("second author"))
+    queries = d.where(F.col("side") == "query")
+    _write_json_lines(queries, f"{base}/{EPOCH_SPLIT}_queries.jsonl", "authorIDs", ids)
+    _write_json_lines(d.where(F.col("side") == "candidate"), f"{base}/{EPOCH_SPLIT}_candidates.jsonl", "authorIDs", ids)
+    _write_json_lines(queries, f"{base}/dev_queries.jsonl", "authorIDs", ids)
+    _write_json_lines(queries, f"{base}/{EPOCH_SPLIT}_queries_filtered.jsonl", "authorIDs", ids)
+    back = jsonl.with_arrival_seq(jsonl.read_corpus(spark, base, EPOCH_SPLIT), out="arrival")
+    return back.select(
+        F.col("documentID").cast("bigint").alias("doc_id"),
+        F.col("authorID").alias("author_id"),
+        jsonl.source_name("file").alias("name"),
+        F.md5("fullText").alias("text_md5"),
+        "arrival",
+    )
+
+
+@register(
+    "official_files_resolved",
+    f"""WITH {SQL_DOCS}
+    SELECT doc_id, side, alias, author_id, md5(full_text) AS text_md5,
+           CAST(ROW_NUMBER() OVER (ORDER BY CASE WHEN side = 'query' THEN 0 ELSE 1 END, seq, doc_id) - 1 AS BIGINT)
+             AS arrival
+    FROM rd""",
+)
+def q_official_files_resolved(spark, sf):
+    """The official layout written under
+    ``<fold>/<split>/data``, queries with ``authorIDs`` and candidates with
+    ``authorSetIDs``, read with the official readers, numbered queries first
+    and resolved through the id map's JSON lines."""
+    from quire.session import scratch_path
+    from quire.sources import idmap, jsonl
+
+    base = scratch_path(spark, "official")
+    root = jsonl.expand_path(base + "/{fold}/{split}", "fold1", EPOCH_SPLIT)
+    data = f"{root}/{jsonl.OFFICIAL_DATA_DIR['B']}"
+    d = fx.fx_aliased_docs(spark, sf)
+    for side, stem, ids in (("query", "queries", "authorIDs"), ("candidate", "candidates", "authorSetIDs")):
+        _write_json_lines(d.where(F.col("side") == side), f"{data}/run_input_{stem}.jsonl", ids, F.array("alias"))
+    fx.fx_id_map(spark, sf).orderBy("pos").select(
+        F.col("map_key").alias("key"), F.col("map_value").alias("value")
+    ).write.mode("overwrite").json(f"{root}/idmap")
+
+    cols = ["documentID", "fullText", "alias", "side", "file", "_block", "_row"]
+    q = jsonl.read_official_queries(spark, f"{data}/{jsonl.OFFICIAL_QUERIES}").select(*cols)
+    c = jsonl.read_official_candidates(spark, f"{data}/{jsonl.OFFICIAL_CANDIDATES}").select(*cols)
+    docs = jsonl.with_arrival_seq(q.unionByName(c), out="arrival").withColumn("doc_id", F.col("documentID").cast("bigint"))
+    m = authors.build_id_map(idmap.read_id_map_lines(spark, f"{root}/idmap"), "mixed")
+    return authors.resolve_authors(docs, m).select(
+        "doc_id", "side", "alias", "author_id", F.md5("fullText").alias("text_md5"), "arrival"
+    )
+
+
+FILTER_THRESHOLD = 0.33  # 0.2 would leave almost no author of these tables
+
+
+@register(
+    "filter_then_first_two",
+    f"""WITH {SQL_DOCS},
+    tok AS (SELECT doc_id, cid, unnest(regexp_split_to_array(lower(full_text), '\\s+')) AS t FROM d),
+    bk AS (SELECT doc_id, cid, ('0x' || substr(md5(t), 1, 8))::BIGINT % {TX.DEFAULT_DIM} AS b, COUNT(*) AS c
+           FROM tok WHERE t <> '' GROUP BY doc_id, cid, b),
+    nrm AS (SELECT doc_id, sqrt(SUM(c * c)) AS nrm FROM bk GROUP BY doc_id),
+    dp AS (SELECT x.cid, x.doc_id AS i, y.doc_id AS j, SUM(x.c * y.c) AS dot
+           FROM bk x JOIN bk y ON x.cid = y.cid AND x.b = y.b AND x.doc_id < y.doc_id
+           GROUP BY x.cid, x.doc_id, y.doc_id),
+    alike AS (SELECT DISTINCT dp.cid FROM dp JOIN nrm ni ON ni.doc_id = dp.i JOIN nrm nj ON nj.doc_id = dp.j
+              WHERE dot / (ni.nrm * nj.nrm) >= {FILTER_THRESHOLD}),
+    kept AS (SELECT cid FROM d GROUP BY cid HAVING COUNT(*) > 1 AND cid NOT IN (SELECT cid FROM alike)),
+    t AS (SELECT cid AS author_id, doc_id,
+                 ROW_NUMBER() OVER (PARTITION BY cid
+                                    ORDER BY CASE WHEN side = 'query' THEN 0 ELSE 1 END, seq, doc_id) AS rn
+          FROM d JOIN kept USING (cid)),
+    p AS (SELECT author_id, MAX(doc_id) FILTER (WHERE rn = 1) AS anchor_doc_id,
+                 MAX(doc_id) FILTER (WHERE rn = 2) AS positive_doc_id
+          FROM t GROUP BY author_id),
+    r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {hash_key_sql(SEED, 'shuffle', 'author_id')}, author_id) - 1 AS row_pos
+          FROM p)
+    SELECT r.author_id, CAST(row_pos AS BIGINT) AS row_pos, a.full_text AS anchors, b.full_text AS positives
+    FROM r JOIN d a ON a.doc_id = r.anchor_doc_id JOIN d b ON b.doc_id = r.positive_doc_id""",
+)
+def q_filter_then_first_two(spark, sf):
+    """C1 from files to C5: the corpus written as ``train_*.jsonl``, authors
+    with too similar documents filtered out (S1, F1, C1), the filtered files
+    written (K1), read back as a filtered corpus (S5) and paired (C5)."""
+    from quire.plans import files
+    from quire.session import scratch_path
+
+    base = scratch_path(spark, "filter_first_two")
+    d = fx.fx_docs(spark, sf)
+    for side, stem in (("query", "queries"), ("candidate", "candidates")):
+        _write_json_lines(
+            d.where(F.col("side") == side), f"{base}/corpus/{EPOCH_SPLIT}_{stem}.jsonl", "authorIDs", F.array("author_id")
+        )
+    files.author_filter_from_jsonl(
+        spark, f"{base}/corpus", EPOCH_SPLIT, out_dir=f"{base}/filtered", threshold=FILTER_THRESHOLD
+    )
+    out = files.first_two_from_filtered(spark, f"{base}/filtered/{{split}}", EPOCH_SPLIT, EPOCH)
+    return out.select("author_id", "row_pos", "anchors", "positives")
+
+
+def _in_file_order(written: DataFrame, out: str) -> DataFrame:
+    """Rows of a committed write numbered as the files hold them."""
+    from quire.operators.indexing import split_index
+
+    placed = written.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return split_index(placed, ["_file"], "_row", out=out).drop("_file", "_row")
+
+
+@register(
+    "epoch_rows_with_texts",
+    f"""WITH {SQL_DOCS}, {SQL_PAIRS_QC}
+    SELECT {EPOCH} AS epoch, pair_kind, ep.author_id, CAST(row_pos AS BIGINT) AS row_pos,
+           CAST(row_pos AS BIGINT) AS file_pos, a.full_text AS anchors, b.full_text AS positives
+    FROM ep JOIN rd a ON a.doc_id = ep.anchor_doc_id JOIN rd b ON b.doc_id = ep.positive_doc_id""",
+)
+def q_epoch_rows_with_texts(spark, sf):
+    """K3 + A8: one epoch of pairs with their texts, written by the epoch feed
+    with the number of rows it must have, and read back as the files hold it."""
+    from quire.session import scratch_path
+    from quire.sources import writers
+    from quire.streaming.epochs import write_epochs
+
+    base = scratch_path(spark, "epoch_texts")
+    docs = _resolved(spark, sf)
+
+    def build(e):
+        ps = P.build_cross_role_pairs(docs, EPOCH_SPLIT, e, strict=False)
+        return P.attach_texts(ps.rows, docs, ("row_id",)), ps.expected_rows
+
+    write_epochs(build, [EPOCH], base)
+    return _in_file_order(writers.read_committed(spark, base), "file_pos").select(
+        F.col("epoch").cast("int").alias("epoch"), "pair_kind", "author_id", "row_pos", "file_pos", "anchors", "positives"
+    )
+
+
+@register(
+    "labelled_rows_written",
+    f"""WITH {SQL_DOCS}, {SQL_LABELS},
+    rr AS (SELECT *, CASE WHEN side = 'query' THEN 0 ELSE 1 END AS r FROM rd),
+    big AS (SELECT author_id, arg_min(r, (r, seq, doc_id)) AS f_r, arg_min(seq, (r, seq, doc_id)) AS f_seq,
+                   arg_min(doc_id, (r, seq, doc_id)) AS f_doc
+            FROM rr GROUP BY author_id HAVING COUNT(*) > 5)
+    SELECT rr.author_id, doc_id, full_text AS anchors, '' AS others, CAST(lab.label AS BIGINT) AS labels,
+           CAST(ROW_NUMBER() OVER (ORDER BY f_r, f_seq, f_doc, rr.r, rr.seq, rr.doc_id) - 1 AS BIGINT) AS file_pos
+    FROM rr JOIN big USING (author_id) JOIN lab ON lab.id = rr.author_id""",
+)
+def q_labelled_rows_written(spark, sf):
+    """K4 + A8: labelled rows written in writer order, their number checked
+    against the dataset statistics, and read back as the files hold them."""
+    from quire.session import scratch_path
+    from quire.sources import writers
+
+    base = scratch_path(spark, "labelled")
+    docs = _resolved(spark, sf)
+    expected = authors.dataset_stats(docs).first()["n_labelled_rows"]
+    rows = P.build_labelled_rows(docs, authors.expand_id_map(fx.fx_id_map(spark, sf), "mixed"))
+    writers.write_labelled_rows(rows, base, EPOCH_SPLIT, expected)
+    return _in_file_order(writers.read_committed(spark, base), "file_pos").select(
+        "author_id", "doc_id", "anchors", "others", "labels", "file_pos"
+    )

@@ -52,11 +52,8 @@ def expand_path(template: str, fold: str | None = None, split: str | None = None
     return out
 
 
-def _scan(spark: SparkSession, path, schema: T.StructType, glob_filter: str | None = None) -> DataFrame:
-    reader = spark.read.schema(schema).option("mode", "FAILFAST")  # a broken line is an error
-    if glob_filter:
-        reader = reader.option("pathGlobFilter", glob_filter)
-    df = reader.json(path)
+def _scan(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)  # a broken line is an error
     return df.withColumn("file", F.col("_metadata.file_path")).withColumn(
         "_block", F.col("_metadata.file_block_start")
     ).withColumn("_row", F.monotonically_increasing_id())
@@ -65,15 +62,21 @@ def _scan(spark: SparkSession, path, schema: T.StructType, glob_filter: str | No
 def read_corpus(
     spark: SparkSession, directory: str, split: str, extra: T.StructType | None = None, keep_raw: bool = False
 ) -> DataFrame:
-    """S1 + S2 + P1: every ``{split}*.jsonl`` in ``directory`` except earlier
-    ``*filtered*`` outputs (tested on the file name, not the whole path), with
-    ``authorID`` = first element of ``authorIDs``. ``extra`` adds pass-through
-    fields to the schema. ``keep_raw`` reads each line as text and parses the
-    known fields from it, keeping the line in ``_raw`` so that a sink can
-    write every original field, known or not (K1)."""
+    """S1 + S2 + P1 + U1: every ``{split}*.jsonl`` in ``directory`` except
+    earlier ``*filtered*`` outputs (tested on the file name, not the whole
+    path), with ``authorID`` = first element of ``authorIDs``. A name may be a
+    single file or a folder of part files, as Spark writes them. ``extra``
+    adds pass-through fields to the schema. ``keep_raw`` reads each line as
+    text and parses the known fields from it, keeping the line in ``_raw`` so
+    that a sink can write every original field, known or not (K1). No matching
+    name is an empty table."""
     schema = CORPUS_SCHEMA if extra is None else T.StructType(CORPUS_SCHEMA.fields + extra.fields)
+    pattern = f"{directory.rstrip('/')}/{split}*.jsonl"
+    if not _matches(spark, pattern):
+        columns = [*schema.fields, *([T.StructField("_raw", T.StringType())] if keep_raw else [])]
+        return _no_scan(spark, T.StructType(columns)).withColumn("authorID", F.element_at("authorIDs", 1))
     if keep_raw:
-        lines = spark.read.option("pathGlobFilter", f"{split}*.jsonl").text(directory)
+        lines = spark.read.text(pattern)
         df = (
             lines.where(F.trim(F.col("value")) != "")
             .select(
@@ -86,17 +89,31 @@ def read_corpus(
             .select("_j.*", "_raw", "file", "_block", "_row")
         )
     else:
-        df = _scan(spark, directory, schema, f"{split}*.jsonl")
-    name = F.element_at(F.split(F.col("file"), "/"), -1)
-    return df.where(~name.contains(FILTERED_MARK)).withColumn("authorID", F.element_at("authorIDs", 1))
+        df = _scan(spark, pattern, schema)
+    return df.where(~source_name("file").contains(FILTERED_MARK)).withColumn("authorID", F.element_at("authorIDs", 1))
+
+
+def source_name(file: str):
+    """The ``*.jsonl`` name that a row's path belongs to: the file itself, or
+    the folder that holds the part file."""
+    parts = F.split(F.col(file), "/")
+    last = F.element_at(parts, -1)
+    return F.when(last.endswith(".jsonl"), last).otherwise(F.element_at(parts, -2))
+
+
+def _matches(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern names, files or folders, as Spark's file system
+    sees them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().toString() for f in found] if found else []
 
 
 def _single_file(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
-    df = _scan(spark, pattern, schema)
-    files = df.inputFiles()
+    files = _matches(spark, pattern)  # a folder of part files counts as one file
     if len(files) != 1:
         raise ValueError(f"expected exactly one file for {pattern!r}, found {len(files)}")
-    return df
+    return _scan(spark, files[0], schema)
 
 
 def read_official_queries(spark: SparkSession, pattern: str) -> DataFrame:
@@ -137,20 +154,17 @@ def filtered_patterns(pattern: str) -> list[str]:
 
 
 def _existing(spark: SparkSession, pattern: str) -> list[str]:
-    found = []
-    for p in filtered_patterns(pattern):
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
-            found.append(p)
-    return found
+    return [p for p in filtered_patterns(pattern) if _matches(spark, p)]
 
 
 def _scan_or_empty(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
     """A pattern that matches no file is an empty input; any other failure is
     raised."""
     paths = _existing(spark, pattern)
-    if paths:
-        return _scan(spark, paths, schema)
+    return _scan(spark, paths, schema) if paths else _no_scan(spark, schema)
+
+
+def _no_scan(spark: SparkSession, schema: T.StructType) -> DataFrame:
     empty = spark.createDataFrame([], schema)
     return (
         empty.withColumn("file", F.lit(None).cast("string"))

@@ -17,10 +17,20 @@ from pyspark.sql import DataFrame
 from quire.sources.writers import write_epoch_rows
 
 
-def write_epochs(build: Callable[[int], DataFrame], epochs: Iterable[int], path: str, order: str = "row_pos") -> list[str]:
-    """Materialise ``build(epoch)`` for each epoch under ``path/epoch=N``."""
+def write_epochs(
+    build: Callable[[int], DataFrame | tuple[DataFrame, int]], epochs: Iterable[int], path: str, order: str = "row_pos"
+) -> list[str]:
+    """Materialise ``build(epoch)`` for each epoch under ``path/epoch=N``.
+
+    ``build`` returns the rows, or the rows and how many there must be (for
+    example ``PairSet.rows`` and ``PairSet.expected_rows``); an epoch of
+    another size raises :class:`quire.sources.writers.RowCountMismatch`, is
+    not committed, and leaves the epochs before it as they are. Read the
+    finished epochs with :func:`quire.sources.writers.read_committed`."""
     out = []
     for e in epochs:
-        write_epoch_rows(build(int(e)), path, int(e), order)
+        built = build(int(e))
+        rows, expected = built if isinstance(built, tuple) else (built, None)
+        write_epoch_rows(rows, path, int(e), order, expected)
         out.append(f"{path}/epoch={int(e)}")
     return out
