@@ -29,6 +29,7 @@ empty table, or no templates, gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -266,9 +267,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, gram
                 hits.append((-score, r, k, m, first + int(a), end + int(a)))
         taken: dict[tuple[int, str], list[tuple[int, int]]] = {}
         for _, r, k, m, a, b in sorted(hits):  # the best of those that overlap
-            spans = taken.setdefault((r, families[k]), [])
-            if all(b <= x or a >= y for x, y in spans):
-                spans.append((a, b))
+            spans = taken.setdefault((r, families[k]), [])  # disjoint, by start
+            i = bisect_left(spans, (a, b))
+            if (i == 0 or spans[i - 1][1] <= a) and (i == len(spans) or b <= spans[i][0]):
+                spans.insert(i, (a, b))
                 yield r, k, m, a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,11 +282,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, gram
                 starts, ends, doc, words = _words(data, off)
                 if not len(words) or not len(index.hash):
                     continue
+                found = list(matches(words, doc))
+                if found:  # code points before each byte, counted once for the block
+                    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 out = []
-                for r, k, m, a, e in matches(words, doc):
-                    chars = lambda x: int(((data[off[r] : x] & 0xC0) != 0x80).sum())  # noqa: E731, B023
+                for r, k, m, a, e in found:
                     n = len(index.words[k])
-                    out.append((ids[lo + r].as_py(), index.names[k], m / n, m, n, chars(starts[a]), chars(ends[e - 1])))
+                    start, end = (int(points[x] - points[off[r]]) for x in (starts[a], ends[e - 1]))
+                    out.append((ids[lo + r].as_py(), index.names[k], m / n, m, n, start, end))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 

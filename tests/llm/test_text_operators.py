@@ -193,6 +193,19 @@ def test_licenses(spark, odd_docs, no_docs):
         licenses.build_index({"a": "b c d"}, max_template_words=2)
 
 
+def test_many_notices_in_one_text(spark):
+    """Every notice of a text is found at its place; letters of two bytes
+    shift bytes against code points."""
+    unit = "Ünrelated wörds. Released under the MIT License. "
+    n = 10_000
+    docs = spark.createDataFrame([(1, unit * n), (2, "é " + unit)], "doc_id long, text string")
+    got = licenses.scan_licenses(docs).where("template = 'mit-notice'").collect()
+    at = unit.index("Released")
+    end = unit.index(". ", at)
+    assert sorted((r.start, r.end) for r in got if r.doc_id == 1) == [(len(unit) * i + at, len(unit) * i + end) for i in range(n)]
+    assert [(r.start, r.end) for r in got if r.doc_id == 2] == [(at + 2, end + 2)]
+
+
 def test_license_dictionary(spark):
     """Every template is found whole in a text, and of near variants only the
     right one."""
