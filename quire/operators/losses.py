@@ -4,16 +4,24 @@ Rows are grouped by ``batch_id`` (from R8, so a batch holds at most
 ``batch_size`` rows); each batch is one bounded group whose similarity
 matrix is a numpy product. The result is one row per batch:
 ``(batch_id, n, loss)``; average it for an epoch value.
+
+For batches larger than one group, the ``tiled_*`` forms cut a batch into
+blocks and its similarity matrix into tiles. A tile gives every row its
+maximum and its sum of exponentials below that maximum (F5); these merge, so
+no task holds more than a tile. The number of blocks follows from the largest
+batch; batches of one feed are equally large (R8).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.vectors import np_normalize, np_stack
+from quire.session import stable
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -93,3 +101,156 @@ def multi_positive_loss(
         return pd.DataFrame({"batch_id": [int(pdf[batch].iloc[0])], "n": [len(pdf)], "loss": [float(per_row.mean())]})
 
     return rows.select(batch, label, vec).groupBy(batch).applyInPandas(per_batch, _OUT)
+
+
+# ---- batches of any size ---------------------------------------------------
+
+
+def _merged_lse(parts: str = "parts") -> tuple[Column, Column]:
+    """Log-sum-exp of tiles given as an array of (m, s), maximum and sum of
+    exponentials below it, and the overall maximum, which is to stand in the
+    column ``top``."""
+    top = F.array_max(F.transform(parts, lambda x: x["m"]))
+    total = F.aggregate(F.transform(parts, lambda x: x["s"] * F.exp(x["m"] - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.col("top").isNotNull(), F.col("top") + F.log(total)), top
+
+
+def _products(left, right, normalise: bool = True) -> np.ndarray:
+    """Similarity of every left to every right vector; 0 where a side holds
+    null vectors only."""
+    a, b = np_stack(left), np_stack(right)
+    if a.shape[1] != b.shape[1] and 0 in (a.shape[1], b.shape[1]):
+        return np.zeros((len(a), len(b)))
+    return np_normalize(a) @ np_normalize(b).T if normalise else a @ b.T
+
+
+def _in_blocks(rows: DataFrame, batch: str, block_rows: int) -> tuple[DataFrame, int]:
+    """Rows that have a batch, with a row number ``_r`` and a block ``_b``,
+    written once so that both stay, and the number of blocks of a batch."""
+    placed = stable(rows.where(F.col(batch).isNotNull()).withColumn("_r", F.monotonically_increasing_id()))
+    largest = placed.groupBy(batch).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-int(largest) // int(block_rows)))
+    return placed.withColumn("_b", F.pmod(F.xxhash64("_r"), F.lit(blocks)).cast("int")), blocks
+
+
+def _tiles(left: DataFrame, right: DataFrame, batch: str, blocks: int, kernel, schema: str) -> DataFrame:
+    """``kernel(left block, right block)`` for every pair of blocks of a batch."""
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    key = [batch, "_i", "_j"]
+    left = left.withColumnRenamed("_b", "_i").withColumn("_j", others)
+    right = right.withColumnRenamed("_b", "_j").withColumn("_i", others)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(kernel, schema)
+
+
+def _partial(s: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    m = s.max(axis=axis, keepdims=True)
+    return m.squeeze(axis), np.exp(s - m).sum(axis=axis)
+
+
+def tiled_ranking_loss(
+    pairs: DataFrame,
+    batch: str = "batch_id",
+    anchor: str = "anchor_vec",
+    positive: str = "positive_vec",
+    scale: float = 20.0,
+    similarity: str = "cosine",
+    block_rows: int = 2048,
+) -> DataFrame:
+    """:func:`symmetric_ranking_loss` for batches of any size."""
+    unit = similarity == "cosine"
+    rows, blocks = _in_blocks(pairs.select(F.col(batch).alias("_batch"), F.col(anchor).alias("_a"), F.col(positive).alias("_p")), "_batch", block_rows)
+    names = ["_batch", "_r", "side", "m", "s", "own"]
+
+    def tile(ap: pd.DataFrame, pp: pd.DataFrame) -> pd.DataFrame:
+        if not len(ap) or not len(pp):
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+        s = scale * _products(ap["_a"], pp["_p"], unit)
+        ar, pr = ap["_r"].to_numpy(), pp["_r"].to_numpy()
+        own = np.full(len(ap) + len(pp), np.nan)  # s_ii, known to the tile that holds both halves
+        if ap["_i"].iloc[0] == ap["_j"].iloc[0]:
+            at = np.argsort(pr)
+            own[: len(ap)] = s[np.arange(len(ap)), at[np.searchsorted(pr[at], ar)]]
+            ra = np.argsort(ar)
+            own[len(ap) :] = s[ra[np.searchsorted(ar[ra], pr)], np.arange(len(pp))]
+        (fm, fs), (bm, bs) = _partial(s, 1), _partial(s, 0)
+        return pd.DataFrame(
+            {
+                "_batch": np.repeat(ap["_batch"].to_numpy()[:1], len(own)),
+                "_r": np.r_[ar, pr],
+                "side": np.r_[np.zeros(len(ap), np.int32), np.ones(len(pp), np.int32)],
+                "m": np.r_[fm, bm],
+                "s": np.r_[fs, bs],
+                "own": own,
+            }
+        )
+
+    kind = pairs.schema[batch].dataType.simpleString()
+    parts = _tiles(
+        rows.select("_batch", "_r", "_b", "_a"), rows.select("_batch", "_r", "_b", "_p"), "_batch", blocks, tile,
+        f"_batch {kind}, _r long, side int, m double, s double, own double",
+    )
+    lse, top = _merged_lse()
+    per_row = (
+        parts.groupBy("_batch", "_r", "side")
+        .agg(F.collect_list(F.struct("m", "s")).alias("parts"), F.max(F.when(~F.isnan("own"), F.col("own"))).alias("own"))
+        .withColumn("top", top)
+        .withColumn("gap", lse - F.col("own"))
+    )
+    mean = lambda side: F.avg(F.when(F.col("side") == side, F.col("gap")))
+    return per_row.groupBy(F.col("_batch").cast("long").alias("batch_id")).agg(
+        F.sum(1 - F.col("side")).cast("long").alias("n"), ((mean(0) + mean(1)) / 2).alias("loss")
+    )
+
+
+def tiled_multi_positive_loss(
+    rows: DataFrame,
+    batch: str = "batch_id",
+    label: str = "label",
+    vec: str = "vec",
+    temperature: float = 0.1,
+    block_rows: int = 2048,
+) -> DataFrame:
+    """:func:`multi_positive_loss` for batches of any size."""
+    rows, blocks = _in_blocks(rows.select(F.col(batch).alias("_batch"), F.col(label).alias("_l"), F.col(vec).alias("_v")), "_batch", block_rows)
+    names = ["_batch", "_r", "m", "s", "alike", "n_alike"]
+
+    def tile(xp: pd.DataFrame, yp: pd.DataFrame) -> pd.DataFrame:
+        if not len(xp) or not len(yp):
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+        s = _products(xp["_v"], yp["_v"]) / temperature
+        self_pair = xp["_r"].to_numpy()[:, None] == yp["_r"].to_numpy()[None, :]
+        alike = (xp["_l"].to_numpy()[:, None] == yp["_l"].to_numpy()[None, :]) & ~self_pair
+        alone = self_pair.all(axis=1)  # the tile holds nothing but the row itself
+        # any finite maximum will do for such a row: its sum is 0
+        m = np.where(alone, 0.0, np.where(self_pair, -np.inf, s).max(axis=1))
+        total = np.where(self_pair, 0.0, np.exp(np.where(self_pair, -np.inf, s) - m[:, None])).sum(axis=1)
+        return pd.DataFrame(
+            {
+                "_batch": xp["_batch"].to_numpy(),
+                "_r": xp["_r"].to_numpy(),
+                "m": m,
+                "s": total,
+                "alike": np.where(alike, s, 0.0).sum(axis=1),
+                "n_alike": alike.sum(axis=1),
+            }
+        )
+
+    kind = rows.schema["_batch"].dataType.simpleString()
+    parts = _tiles(
+        rows.select("_batch", "_r", "_b", "_l", "_v"), rows.select("_batch", "_r", "_b", "_l", "_v"), "_batch", blocks, tile,
+        f"_batch {kind}, _r long, m double, s double, alike double, n_alike long",
+    )
+    lse, top = _merged_lse()
+    per_row = (
+        parts.groupBy("_batch", "_r")
+        .agg(
+            F.collect_list(F.when(F.col("s") > 0, F.struct("m", "s"))).alias("parts"),
+            F.sum("alike").alias("alike"),
+            F.sum("n_alike").alias("n_alike"),
+        )
+        .withColumn("top", top)
+        .withColumn("loss", F.when(F.col("n_alike") > 0, lse - F.col("alike") / F.col("n_alike")).otherwise(F.lit(0.0)))
+    )
+    return per_row.groupBy(F.col("_batch").cast("long").alias("batch_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss")
+    )

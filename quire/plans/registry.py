@@ -133,6 +133,15 @@ def q_rank_top_k(spark, sf):
     return s.select("query_id", "candidate_id", r6("score"), "rank")
 
 
+@register("rank_top_k_pruned", ORACLE["rank_top_k"])
+def q_rank_top_k_pruned(spark, sf):
+    """W6 through clustered blocks: cells that cannot hold a best ten are not scored."""
+    from quire.operators.topk import nearest_candidates
+
+    q, c = fx.fx_queries(spark, sf), fx.fx_candidates(spark, sf)
+    return nearest_candidates(q, c, 10).rows.select("query_id", "candidate_id", r6("score"), "rank")
+
+
 @register(
     "attribution_eer",
     f"WITH {SQL_SCORES}, {sql_metrics('s', 'query_id')} SELECT query_id, round(eer, 6) AS eer FROM pq",
@@ -567,6 +576,21 @@ def q_multi_positive_loss(spark, sf):
     return losses.multi_positive_loss(rows).select("batch_id", "n", r6("loss"))
 
 
+# the same losses over one batch of all rows, merged from tiles
+
+
+@register("ranking_loss_one_batch", ORACLE["symmetric_ranking_loss"].replace("CAST(FLOOR(a.author_id / 16.0) AS BIGINT)", "CAST(0 AS BIGINT)"))
+def q_ranking_loss_one_batch(spark, sf):
+    pairs = fx.fx_loss_pairs(spark, sf).withColumn("batch_id", F.lit(0).cast("bigint"))
+    return losses.tiled_ranking_loss(pairs).select("batch_id", "n", r6("loss"))
+
+
+@register("multi_positive_loss_one_batch", ORACLE["multi_positive_loss"].replace("CAST(FLOOR(doc_id / 64.0) AS BIGINT)", "CAST(0 AS BIGINT)"))
+def q_multi_positive_loss_one_batch(spark, sf):
+    rows = fx.fx_vectors(spark, sf).select(F.lit(0).cast("bigint").alias("batch_id"), "label", "vec")
+    return losses.tiled_multi_positive_loss(rows).select("batch_id", "n", r6("loss"))
+
+
 # --------------------------------------------------------------------------
 # Step 7: text encoder, diversity on raw text, JSONL round trip
 # --------------------------------------------------------------------------

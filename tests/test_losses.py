@@ -1,7 +1,12 @@
 import numpy as np
 import pytest
 
-from quire.operators.losses import multi_positive_loss, symmetric_ranking_loss
+from quire.operators.losses import (
+    multi_positive_loss,
+    symmetric_ranking_loss,
+    tiled_multi_positive_loss,
+    tiled_ranking_loss,
+)
 
 
 def _norm(m):
@@ -68,3 +73,42 @@ def test_ranking_loss_negatives_widen_forward_only(spark):
     d = np.diag(s)
     ref = (np.mean(_lse(w, 1) - d) + np.mean(_lse(s, 0) - d)) / 2
     assert got == pytest.approx(ref, rel=1e-12)
+
+
+def _by_batch(df):
+    return {r["batch_id"]: (r["n"], r["loss"]) for r in df.collect()}
+
+
+def _equal(got, want):
+    assert got.keys() == want.keys()
+    for b, (n, loss) in want.items():
+        assert got[b][0] == n
+        assert got[b][1] == pytest.approx(loss, abs=1e-9)
+
+
+@pytest.mark.parametrize("similarity", ["cosine", "dot"])
+@pytest.mark.parametrize("block_rows", [1, 7, 100])
+def test_tiles_merge_to_the_ranking_loss_of_whole_batches(spark, similarity, block_rows):
+    rng = np.random.default_rng(5)
+    a, p = rng.normal(size=(33, 4)), rng.normal(size=(33, 4))
+    vec = lambda x, i: None if i == 4 else x.tolist()
+    rows = [(int(i >= 30), vec(x, i), y.tolist()) for i, (x, y) in enumerate(zip(a, p))]
+    rows += [(7, [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 0.0])] + [(9, [0.5] * 4, [0.5] * 4)] * 3  # one pair, repeated rows
+    df = spark.createDataFrame(rows, "batch_id bigint, anchor_vec array<double>, positive_vec array<double>")
+    tiled = tiled_ranking_loss(df, similarity=similarity, block_rows=block_rows)
+    _equal(_by_batch(tiled), _by_batch(symmetric_ranking_loss(df, similarity=similarity)))
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 100])
+def test_tiles_merge_to_the_multi_positive_loss_of_whole_batches(spark, block_rows):
+    rng = np.random.default_rng(6)
+    f = rng.normal(size=(40, 5))
+    rows = [(int(i >= 36), int(lab), x.tolist()) for i, (lab, x) in enumerate(zip(rng.integers(0, 5, 40), f))]
+    rows += [(5, 1, [1.0, 0.0, 0.0, 0.0, 0.0]), (6, 2, [0.0] * 5), (6, 2, None), (6, 3, [1.0] * 5)]  # a batch of one, zero and null vectors
+    df = spark.createDataFrame(rows, "batch_id bigint, label int, vec array<double>")
+    _equal(_by_batch(tiled_multi_positive_loss(df, block_rows=block_rows)), _by_batch(multi_positive_loss(df)))
+
+
+def test_tiled_losses_of_no_rows(spark):
+    assert tiled_ranking_loss(spark.createDataFrame([], "batch_id bigint, anchor_vec array<double>, positive_vec array<double>")).count() == 0
+    assert tiled_multi_positive_loss(spark.createDataFrame([], "batch_id bigint, label int, vec array<double>")).count() == 0
