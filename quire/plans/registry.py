@@ -393,15 +393,17 @@ def _pairset(spark, sf):
     return P.build_cross_role_pairs(_resolved(spark, sf), EPOCH_SPLIT, EPOCH, strict=False)
 
 
-def _h(tag: str, col: str) -> str:
-    return hash_int_sql(SEED, tag, col)
+def sql_pairs_qc(seed: int) -> str:
+    """CTEs up to ``ep``, the epoch's rows, over the resolved documents ``rd``."""
 
+    def h(tag: str, col: str) -> str:
+        return hash_int_sql(seed, tag, col)
 
-SQL_PAIRS_QC = f"""
+    return f"""
 qa AS (SELECT DISTINCT author_id FROM rd WHERE side = 'query'),
-qpick AS (SELECT author_id, arg_min(doc_id, {_h('query', 'doc_id')}) AS anchor_doc_id
+qpick AS (SELECT author_id, arg_min(doc_id, {h('query', 'doc_id')}) AS anchor_doc_id
           FROM rd WHERE side = 'query' GROUP BY author_id),
-cpick AS (SELECT author_id, arg_min(doc_id, {_h('candidate', 'doc_id')}) AS positive_doc_id
+cpick AS (SELECT author_id, arg_min(doc_id, {h('candidate', 'doc_id')}) AS positive_doc_id
           FROM rd WHERE side = 'candidate' AND author_id IN (SELECT author_id FROM qa) GROUP BY author_id),
 qc AS (SELECT author_id, anchor_doc_id, positive_doc_id FROM qpick JOIN cpick USING (author_id)),
 cnt AS (SELECT author_id, COUNT(*) AS n FROM rd WHERE side = 'candidate' GROUP BY author_id),
@@ -410,8 +412,8 @@ el AS (SELECT author_id, n AS n_candidate_docs, ROW_NUMBER() OVER (ORDER BY auth
 ne AS (SELECT COUNT(*) AS ne FROM el),
 dr AS (SELECT ROW_NUMBER() OVER (ORDER BY author_id) - 1 AS draw FROM qa),
 drawn AS (SELECT dr.draw, el.author_id, el.n_candidate_docs AS n
-          FROM dr CROSS JOIN ne JOIN el ON el.e_idx = {_h('draw', 'dr.draw')} % ne.ne),
-ix AS (SELECT draw, author_id, {_h('first', 'draw')} % n AS i1, {_h('second', 'draw')} % (n - 1) AS r2
+          FROM dr CROSS JOIN ne JOIN el ON el.e_idx = {h('draw', 'dr.draw')} % ne.ne),
+ix AS (SELECT draw, author_id, {h('first', 'draw')} % n AS i1, {h('second', 'draw')} % (n - 1) AS r2
        FROM drawn),
 ix2 AS (SELECT draw, author_id, i1, CASE WHEN r2 >= i1 THEN r2 + 1 ELSE r2 END AS i2 FROM ix),
 cpos AS (SELECT author_id, doc_id,
@@ -424,11 +426,14 @@ u AS (SELECT 'qc' AS pair_kind, 'qc|' || author_id AS row_id, author_id, anchor_
       UNION ALL
       SELECT 'cc' AS pair_kind, 'cc|' || CAST(draw AS VARCHAR) AS row_id, author_id, anchor_doc_id,
              positive_doc_id FROM cc),
-ep AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {hash_key_sql(SEED, 'shuffle', 'row_id')}, row_id) - 1 AS row_pos
+ep AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {hash_key_sql(seed, 'shuffle', 'row_id')}, row_id) - 1 AS row_pos
        FROM u)
 """
 
 
+SQL_PAIRS_QC = sql_pairs_qc(SEED)
+
+
 @register(
     "query_candidate_pairs",
     f"""WITH {SQL_DOCS}, {SQL_PAIRS_QC}
@@ -1204,6 +1209,36 @@ def q_epoch_rows_with_texts(spark, sf):
     )
 
 
+def _sql_epoch_texts(epoch: int) -> str:
+    return f"""SELECT * FROM (WITH {SQL_DOCS}, {sql_pairs_qc(epoch)}
+    SELECT {epoch} AS epoch, pair_kind, ep.author_id, CAST(row_pos AS BIGINT) AS row_pos,
+           a.full_text AS anchors, b.full_text AS positives
+    FROM ep JOIN rd a ON a.doc_id = ep.anchor_doc_id JOIN rd b ON b.doc_id = ep.positive_doc_id)"""
+
+
+@register("epochs_from_stored_texts", " UNION ALL ".join(_sql_epoch_texts(e) for e in (EPOCH, EPOCH + 1)))
+def q_epochs_from_stored_texts(spark, sf):
+    """C2/C3 + K3: two epochs whose texts come from one bucketed table, so that
+    neither epoch shuffles the corpus' text."""
+    from quire.operators.textstore import stored_texts
+    from quire.session import scratch_path
+    from quire.sources import writers
+    from quire.streaming.epochs import write_epochs
+
+    base = scratch_path(spark, "epochs_stored")
+    docs = _resolved(spark, sf)
+    with stored_texts(docs) as texts:
+
+        def build(e):
+            ps = P.build_cross_role_pairs(docs, EPOCH_SPLIT, e, strict=False)
+            return P.attach_texts(ps.rows, texts, ("row_id",)), ps.expected_rows
+
+        write_epochs(build, [EPOCH, EPOCH + 1], base)
+    return writers.read_committed(spark, base).select(
+        F.col("epoch").cast("int").alias("epoch"), "pair_kind", "author_id", "row_pos", "anchors", "positives"
+    )
+
+
 @register(
     "labelled_rows_written",
     f"""WITH {SQL_DOCS}, {SQL_LABELS},
