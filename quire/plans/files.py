@@ -85,7 +85,7 @@ def _official_docs(spark: SparkSession, root: str, layout: str) -> DataFrame:
 
 
 def _official_map(spark: SparkSession, root: str, dialect: str) -> DataFrame:
-    return A.build_id_map(idmap.read_id_map_object(spark, f"{root}/{jsonl.ID_MAP_FILE}"), dialect)
+    return A.build_id_map(idmap.read_id_map_ranges(spark, f"{root}/{jsonl.ID_MAP_FILE}"), dialect)
 
 
 def pairs_from_official(
@@ -115,7 +115,7 @@ def labelled_from_official(
     """C4: labelled rows ``(anchors, others, labels)`` in writer order."""
     root = jsonl.expand_path(path_template, fold, split)
     docs = A.resolve_authors(_official_docs(spark, root, layout), _official_map(spark, root, dialect))
-    expanded = A.expand_id_map(idmap.read_id_map_object(spark, f"{root}/{jsonl.ID_MAP_FILE}"), dialect)
+    expanded = A.expand_id_map(idmap.read_id_map_ranges(spark, f"{root}/{jsonl.ID_MAP_FILE}"), dialect)
     return pairs.build_labelled_rows(docs, expanded, min_docs)
 
 

@@ -1126,6 +1126,25 @@ def q_official_files_resolved(spark, sf):
     )
 
 
+@register(
+    "id_map_object_ranges",
+    """SELECT CASE WHEN conv_id % 3 = 0
+                THEN '("(''a' || CAST(conv_id AS VARCHAR) || ''',)", ''HRS1.1'')'
+                ELSE '(''a' || CAST(conv_id AS VARCHAR) || ''', ''HRS2.0'')' END AS map_key,
+           's' || CAST(conv_id AS VARCHAR) AS map_value,
+           CAST(ROW_NUMBER() OVER (ORDER BY conv_id) - 1 AS BIGINT) AS pos
+    FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)""",
+)
+def q_id_map_object_ranges(spark, sf):
+    """The id map as JSON objects, read by byte ranges."""
+    from quire.session import scratch_path
+    from quire.sources import idmap
+
+    base = scratch_path(spark, "idmap")
+    idmap.write_id_map_object(fx.fx_id_map(spark, sf).where(F.col("pos").isNotNull()), base)
+    return idmap.read_id_map_ranges(spark, base)
+
+
 FILTER_THRESHOLD = 0.33  # 0.2 would leave almost no author of these tables
 
 
