@@ -1,8 +1,8 @@
 """W6 without scoring every pair: exact top-k over clustered blocks.
 
-Both sides are assigned to the nearest of a bounded set of pivots, and the
-rows of a pivot are split into blocks of about ``block_rows`` rows. A block
-knows the largest angle between its rows and their pivot, so the angle between
+Both sides are assigned to the nearest of a bounded set of pivots; the rows of
+a pivot are split into blocks, and small neighbouring pivots share one. A block
+knows a bound of the angle between its rows and its pivot, so the angle between
 a query block and a candidate block is at least ``angle(pivots) - radius -
 radius`` and no score of the cell can exceed its cosine. A few seed cells give
 every query k scores; the least k-th score of a query block is what a cell has
@@ -38,6 +38,8 @@ from quire.session import stable
 SAMPLE_PER_PIVOT = 32
 #: Pivot number of zero vectors, which have no direction.
 NOWHERE = -1
+#: Below every cosine.
+NO_SCORE = -2.0
 #: Bounds are compared with this much slack, far above rounding.
 _SLACK = 1e-9
 
@@ -106,21 +108,69 @@ def _indexed(side: DataFrame, row_id: str, vec: str, centre: np.ndarray) -> Data
     return side.select(F.col(row_id).alias("_id"), F.col(vec).cast("array<double>").alias("_v")).mapInPandas(run, schema)
 
 
-def _blocked(rows: DataFrame, block_rows: int) -> tuple[DataFrame, list[dict]]:
-    """Add the block ``_b`` inside a pivot; also (_p, n, radius) per pivot."""
-    per = [r.asDict() for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.max("_angle").alias("radius")).collect()]
-    for r in per:  # at most one row per pivot
-        r["blocks"] = max(1, math.ceil(r["n"] / block_rows))
+def _grouped(n: dict[int, int], turn, block_rows: int) -> dict[int, int]:
+    """Head pivot of every pivot: pivots with few rows share a block with the
+    pivots next to them, up to about ``block_rows`` rows."""
+    left, heads = sorted(p for p in n if p != NOWHERE), {p: p for p in n}
+    while left:
+        head = left[0]
+        total = n[head]
+        left.remove(head)
+        for p in sorted(left, key=lambda x: (turn(head, x), x)):
+            if total + n[p] > block_rows:
+                break
+            total += n[p]
+            heads[p] = head
+            left.remove(p)
+    return heads
+
+
+def _blocked(rows: DataFrame, turn, block_rows: int) -> tuple[DataFrame, list[dict]]:
+    """Rows with their head pivot ``_p``, the block ``_b`` there and ``_angle``,
+    now a bound of the angle to the head; and (_p, blocks, radius) per head."""
+    per = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.max("_angle").alias("radius")).collect()  # a row per pivot
     if not per:
-        return rows.withColumn("_b", F.lit(0)), per
-    blocks = F.create_map(*[F.lit(x) for r in per for x in (r["_p"], r["blocks"])])
-    return rows.withColumn("_b", F.pmod(F.xxhash64("_id"), blocks[F.col("_p")]).cast("int")), per
+        return rows.withColumn("_b", F.lit(0)), []
+    heads = _grouped({r["_p"]: r["n"] for r in per}, turn, block_rows)
+    out: dict[int, dict] = {}
+    for r in per:
+        h = out.setdefault(heads[r["_p"]], {"_p": heads[r["_p"]], "n": 0, "radius": 0.0})
+        h["n"] += r["n"]
+        h["radius"] = max(h["radius"], r["radius"] + turn(r["_p"], h["_p"]))
+    for h in out.values():
+        h["blocks"] = max(1, math.ceil(h["n"] / block_rows))
+
+    def told(pairs):
+        return F.create_map(*[F.lit(x) for pair in pairs for x in pair])[F.col("_p")]
+
+    placed = rows.select(
+        "_id",
+        "_v",
+        told((p, h) for p, h in heads.items()).alias("_p"),
+        F.pmod(F.xxhash64("_id"), told((p, out[h]["blocks"]) for p, h in heads.items())).cast("int").alias("_b"),
+        (F.col("_angle") + told((p, turn(p, h)) for p, h in heads.items())).alias("_angle"),
+    )
+    return placed, list(out.values())
+
+
+def _best(s: np.ndarray, cids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest scores of every row that reach its
+    ``floor``, ties to the smaller id. Only scores at or above the k-th are
+    sorted."""
+    if k < s.shape[1]:
+        floor = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+    row, col = np.nonzero(s >= floor[:, None])
+    order = np.lexsort((cids[col], -s[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
 
 
 def _score(q: DataFrame, c: DataFrame, cells: DataFrame, k: int, names: tuple[str, str], types) -> DataFrame:
-    """The k best of every query in each of ``cells`` (_qp, _qb, _cp, _cb)."""
+    """The k best of every query in each of ``cells`` (_qp, _qb, _cp, _cb), as
+    far as they reach the query's ``_floor``."""
     key = ["_qp", "_qb", "_cp", "_cb"]
-    left = q.select(F.col("_p").alias("_qp"), F.col("_b").alias("_qb"), "_id", "_v").join(cells, ["_qp", "_qb"])
+    left = q.select(F.col("_p").alias("_qp"), F.col("_b").alias("_qb"), "_id", "_v", "_floor").join(cells, ["_qp", "_qb"])
     right = c.select(F.col("_p").alias("_cp"), F.col("_b").alias("_cb"), "_id", "_v").join(cells, ["_cp", "_cb"])
     schema = T.StructType([T.StructField(names[0], types[0]), T.StructField(names[1], types[1]), T.StructField("score", T.DoubleType())])
     columns = [*names, "score"]
@@ -130,11 +180,9 @@ def _score(q: DataFrame, c: DataFrame, cells: DataFrame, k: int, names: tuple[st
             return _no_rows(columns)
         a, b = np_stack(qp["_v"]), np_stack(cp["_v"])
         s = a @ b.T if a.shape[1] == b.shape[1] else np.zeros((len(qp), len(cp)))
-        keep = min(k, len(cp))
         cids = cp["_id"].to_numpy()
-        best = np.lexsort((np.broadcast_to(cids, s.shape), -s), axis=1)[:, :keep]
-        rows = np.repeat(np.arange(len(qp)), keep)
-        return pd.DataFrame({columns[0]: qp["_id"].to_numpy()[rows], columns[1]: cids[best.ravel()], "score": s[rows, best.ravel()]})
+        row, col = _best(s, cids, k, qp["_floor"].to_numpy(dtype=np.float64) - _SLACK)
+        return pd.DataFrame({columns[0]: qp["_id"].to_numpy()[row], columns[1]: cids[col], "score": s[row, col]})
 
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(cell, schema)
 
@@ -147,29 +195,32 @@ def nearest_candidates(
     candidate_id: str = "candidate_id",
     vec: str = "vec",
     pivots: int = 128,
-    block_rows: int = 512,
+    block_rows: int = 1024,
+    query_rows: int = 4096,
 ) -> TopK:
     """The k candidates of highest cosine for every query, exactly. ``pivots``
     is the most there may be; a pivot for every ``block_rows`` candidates is
-    enough, since a cell costs one Python call."""
+    enough, since a cell costs one Python call. A candidate is copied once per
+    query block of about ``query_rows`` rows that it may matter to."""
     spark = queries.sparkSession
     pivots = max(1, min(pivots, math.ceil(candidates.count() / block_rows)))
     names, types = (query_id, candidate_id), (_type_of(queries, query_id), _type_of(candidates, candidate_id))
     centre = choose_pivots(candidates, candidate_id, vec, pivots)
-    q, q_per = _blocked(stable(_indexed(queries, query_id, vec, centre)), block_rows)
-    c, c_per = _blocked(stable(_indexed(candidates, candidate_id, vec, centre)), block_rows)
+    # angle between pivots; a group of zero vectors is next to everything
+    turns = np.arccos(np.clip(centre @ centre.T, -1.0, 1.0)) if len(centre) else np.zeros((0, 0))
+    np.fill_diagonal(turns, 0.0)
+
+    def between(a: int, b: int) -> float:
+        return 0.0 if NOWHERE in (a, b) else float(turns[a, b])
+
+    q, q_per = _blocked(stable(_indexed(queries, query_id, vec, centre)), between, query_rows)
+    c, c_per = _blocked(stable(_indexed(candidates, candidate_id, vec, centre)), between, block_rows)
     n_cells = sum(r["blocks"] for r in q_per) * sum(r["blocks"] for r in c_per)
     cell_type = "_qp int, _qb int, _cp int, _cb int"
     if not n_cells:
         empty = spark.createDataFrame([], T.StructType([T.StructField(n, t) for n, t in zip(names, types)] + [T.StructField("score", T.DoubleType())]))
         return TopK(rank_top_k(empty, k, *names), spark.createDataFrame([], cell_type), 0)
 
-    # angle between pivots; a group of zero vectors is next to everything
-    turn = np.arccos(np.clip(centre @ centre.T, -1.0, 1.0)) if len(centre) else np.zeros((0, 0))
-
-    def between(a: int, b: int) -> float:
-        return 0.0 if NOWHERE in (a, b) else float(turn[a, b])
-
     # seeds: for a query pivot, block 0 of the nearest candidate pivots, until they hold k rows
     held = {r["_p"]: r["n"] for r in c.where("_b = 0").groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     seeds = []
@@ -184,17 +235,15 @@ def nearest_candidates(
     q_blocks = stable(q_blocks.withColumnsRenamed({"_p": "_qp", "_b": "_qb"}))
     seed_cells = q_blocks.select("_qp", "_qb").join(spark.createDataFrame(seeds, "_qp int, _cp int"), "_qp").withColumn("_cb", F.lit(0))
     seed_cells = seed_cells.select("_qp", "_qb", "_cp", "_cb")
+    q = q.withColumn("_floor", F.lit(NO_SCORE))
     first = stable(rank_top_k(_score(q, c, seed_cells, k, names, types), k, *names).drop("rank"))
 
     # what a cell must reach: the least k-th score in the query block
     kth = first.groupBy(F.col(query_id).alias("_id")).agg(F.count(F.lit(1)).alias("_found"), F.min("score").alias("_kth"))
-    need = (
-        q.select("_id", F.col("_p").alias("_qp"), F.col("_b").alias("_qb"))
-        .join(kth, "_id", "left")
-        .groupBy("_qp", "_qb")
-        .agg(F.min(F.when(F.col("_found") >= k, F.col("_kth")).otherwise(F.lit(-2.0))).alias("_need"))
-    )
-    turns = spark.createDataFrame(
+    floor = F.when(F.col("_found") >= k, F.col("_kth")).otherwise(F.lit(NO_SCORE))
+    q = stable(q.drop("_floor").join(kth, "_id", "left").withColumn("_floor", floor).drop("_found", "_kth"))
+    need = q.groupBy(F.col("_p").alias("_qp"), F.col("_b").alias("_qb")).agg(F.min("_floor").alias("_need"))
+    gaps = spark.createDataFrame(
         [(a["_p"], b["_p"], between(a["_p"], b["_p"]), b["radius"]) for a in q_per for b in c_per],
         "_qp int, _cp int, _turn double, _widest double",
     )
@@ -205,7 +254,7 @@ def nearest_candidates(
         gap = F.greatest(F.lit(0.0), F.col("_turn") - F.col("_radius") - F.col(radius))
         return F.cos(F.least(gap, F.lit(math.pi))) >= F.col("_need") - F.lit(_SLACK)
 
-    open_pivots = q_blocks.join(need, ["_qp", "_qb"]).join(turns, "_qp").where(reaches("_widest"))
+    open_pivots = q_blocks.join(need, ["_qp", "_qb"]).join(gaps, "_qp").where(reaches("_widest"))
     kept = open_pivots.join(c_blocks, "_cp").where(reaches("_wide")).select("_qp", "_qb", "_cp", "_cb")
     rest = stable(kept.join(seed_cells, ["_qp", "_qb", "_cp", "_cb"], "left_anti"))
     more = _score(q, c, rest, k, names, types)

@@ -50,7 +50,7 @@ def test_clustered_vectors_skip_cells_and_lose_nothing(spark):
     at = rng.integers(0, 8, 400)
     cs = centres[at] + rng.normal(0, 0.02, (400, 4))
     qs = centres[rng.integers(0, 8, 60)] + rng.normal(0, 0.02, (60, 4))
-    found = _run(spark, qs, cs, 5, pivots=8, block_rows=16)
+    found = _run(spark, qs, cs, 5, pivots=8, block_rows=16, query_rows=8)
     _same(_lists(found), _brute(qs, cs, 5, 1000))
     # the queries' own cluster is at most a quarter of all cells
     assert found.cells.count() < found.n_cells / 4
@@ -62,14 +62,14 @@ def test_vectors_without_clusters_and_one_hot_cluster(spark):
     cs = np.vstack([rng.normal(size=(80, 4)), np.array([1, 0, 0, 0]) + rng.normal(0, 1e-3, (120, 4))])
     qs = np.vstack([rng.normal(size=(20, 4)), [[1, 0, 0, 0]]])
     for k in (1, 7, 150):
-        _same(_lists(_run(spark, qs, cs, k, pivots=6, block_rows=16)), _brute(qs, cs, k, 1000))
+        _same(_lists(_run(spark, qs, cs, k, pivots=6, block_rows=16, query_rows=8)), _brute(qs, cs, k, 1000))
 
 
 def test_ties_zero_null_and_few_candidates(spark):
     cs = [[1, 0, 0, 0]] * 6 + [[0, 0, 0, 0], None, [-1, 0, 0, 0]]
     qs = [[2, 0, 0, 0], [0, 0, 0, 0], None, [-3, 0, 0, 0]]
     for k in (1, 3, 8, 20):
-        _same(_lists(_run(spark, qs, cs, k, pivots=3, block_rows=2)), _brute(qs, cs, k, 1000))
+        _same(_lists(_run(spark, qs, cs, k, pivots=3, block_rows=2, query_rows=2)), _brute(qs, cs, k, 1000))
 
 
 def test_all_zero_vectors(spark):
