@@ -153,17 +153,29 @@ def _blocked(rows: DataFrame, turn, block_rows: int) -> tuple[DataFrame, list[di
     return placed, list(out.values())
 
 
-def _best(s: np.ndarray, cids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k highest scores of every row that reach its
-    ``floor``, ties to the smaller id. Only scores at or above the k-th are
-    sorted."""
-    if k < s.shape[1]:
-        floor = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
-    row, col = np.nonzero(s >= floor[:, None])
-    order = np.lexsort((cids[col], -s[row, col], row))
-    row, col = row[order], col[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[place < k], col[place < k]
+def _cut(k: int, row, cid, score):
+    """The k best entries of every row, ties to the smaller id, by row."""
+    order = np.lexsort((cid, -score, row))
+    row, cid, score = row[order], cid[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], cid[keep], score[keep]
+
+
+def _best(a: np.ndarray, b: np.ndarray, cids: np.ndarray, k: int, floor: np.ndarray, tile: int = 1024):
+    """(row, candidate id, score) of the k highest scores of every row that
+    reach its ``floor``, a tile of candidates at a time. Only scores at or
+    above the k-th so far are sorted."""
+    row, cid, score = np.zeros(0, np.int64), cids[:0], np.zeros(0)
+    for lo in range(0, len(b), tile):
+        part = b[lo : lo + tile]
+        s = a @ part.T if a.shape[1] == b.shape[1] else np.zeros((len(a), len(part)))
+        reach = floor if k >= s.shape[1] else np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+        r, c = np.nonzero(s >= reach[:, None])
+        row, cid, score = _cut(k, np.r_[row, r], np.r_[cid, cids[lo : lo + tile][c]], np.r_[score, s[r, c]])
+        full = np.flatnonzero(np.bincount(row, minlength=len(a)) == k)
+        floor = floor.copy()
+        floor[full] = np.maximum(floor[full], score[np.searchsorted(row, full, side="right") - 1])
+    return row, cid, score
 
 
 def _score(q: DataFrame, c: DataFrame, cells: DataFrame, k: int, names: tuple[str, str], types) -> DataFrame:
@@ -178,11 +190,9 @@ def _score(q: DataFrame, c: DataFrame, cells: DataFrame, k: int, names: tuple[st
     def cell(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
         if not len(qp) or not len(cp):
             return _no_rows(columns)
-        a, b = np_stack(qp["_v"]), np_stack(cp["_v"])
-        s = a @ b.T if a.shape[1] == b.shape[1] else np.zeros((len(qp), len(cp)))
-        cids = cp["_id"].to_numpy()
-        row, col = _best(s, cids, k, qp["_floor"].to_numpy(dtype=np.float64) - _SLACK)
-        return pd.DataFrame({columns[0]: qp["_id"].to_numpy()[row], columns[1]: cids[col], "score": s[row, col]})
+        floor = qp["_floor"].to_numpy(dtype=np.float64) - _SLACK
+        row, cid, score = _best(np_stack(qp["_v"]), np_stack(cp["_v"]), cp["_id"].to_numpy(), k, floor)
+        return pd.DataFrame({columns[0]: qp["_id"].to_numpy()[row], columns[1]: cid, "score": score})
 
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(cell, schema)
 
@@ -195,7 +205,7 @@ def nearest_candidates(
     candidate_id: str = "candidate_id",
     vec: str = "vec",
     pivots: int = 128,
-    block_rows: int = 1024,
+    block_rows: int = 8192,
     query_rows: int = 4096,
 ) -> TopK:
     """The k candidates of highest cosine for every query, exactly. ``pivots``

@@ -79,3 +79,14 @@ def test_all_zero_vectors(spark):
 def test_empty_sides(spark):
     assert _run(spark, [], [[1, 0, 0, 0]], 3).rows.count() == 0
     assert _run(spark, [[1, 0, 0, 0]], [], 3).rows.count() == 0
+
+
+def test_tiles_give_what_one_product_gives():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(-2, 3, (9, 3)).astype(float), rng.integers(-2, 3, (50, 3)).astype(float)  # many ties
+    ids = rng.permutation(50)
+    floor = np.where(np.arange(9) % 3 == 0, 2.0, topk.NO_SCORE * 10)
+    for k in (1, 4, 60):
+        want = [(i, j, s) for i in range(9) for s, j in sorted(((a[i] @ b[c], ids[c]) for c in range(50)), key=lambda x: (-x[0], x[1]))[:k] if s >= floor[i]]
+        for tile in (1, 7, 50):
+            assert list(zip(*topk._best(a, b, ids, k, floor, tile))) == want
