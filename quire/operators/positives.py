@@ -2,13 +2,12 @@
 
 EER and AP of a query depend on its positive scores, on how many negatives lie
 between neighbouring positive scores, and near one crossing on the negatives
-themselves. So three passes over the (query block, candidate block) cells
-send only that:
+themselves. A block of queries is held by one cell while the candidates pass by
+three times (:mod:`quire.operators.streams`):
 
-1. positives: each cell sends the scores of its positive pairs;
-2. counts: each query takes its sorted positive scores to the cells, and a
-   cell sends, per interval between them (and per tie with one of them), the
-   number of its negatives there;
+1. positives: the cell keeps the scores of its queries' positive pairs;
+2. counts: of every batch of candidates, it counts the negatives per interval
+   between those scores (and per tie with one of them);
 3. refinement: ``fnr - fpr`` falls along the curve, so the best point lies
    next to its change of sign. Positive thresholds and the last negative
    before each of them are known from the counts. Only if the sign changes
@@ -16,26 +15,32 @@ send only that:
    hide there (one where the number of tied negatives changes). Only those
    queries send the negatives of that one interval.
 
-What is shuffled grows with queries x positives; the matrices of all pairs
-live one cell at a time. The curve and its rules are those of
+What is shuffled is three copies of the candidates per block of queries; scores
+and counts never leave their cell. There is a block per core, and more only
+where a cell would keep more than ``block_rows`` queries or ``POSITIVES``
+positive scores. The curve and its rules are those of
 :mod:`quire.operators.metrics`. Scores are compared to ``DECIMALS`` places, so
-equal vectors tie in whatever cells they meet. A null label equals no label.
+equal vectors tie in whatever batch they come. A null label equals no label.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.vectors import np_normalize, np_stack
+from quire.functions.vectors import np_normalize
 from quire.operators.indexing import grouped_running_sums
+from quire.operators.streams import HELD_ROWS, dealt_to_all, matching, n_cells, pass_by, tiles, vectors, whole
 from quire.session import stable
 
 DECIMALS = 12
+#: Positive scores that a cell keeps at most (8 bytes each, and 16 of counts per run).
+POSITIVES = 1 << 24
 
 
 def half_up(x: np.ndarray, decimals: int) -> np.ndarray:
@@ -44,87 +49,81 @@ def half_up(x: np.ndarray, decimals: int) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * scale + 0.5) / scale + 0.0  # no negative zero
 
 
-def _layout(queries: DataFrame, candidates: DataFrame, block_rows: int) -> tuple[int, int]:
-    """Blocks of both sides: bounded rows, and a cell per core at least."""
-    one = lambda d, a, b: d.select(F.lit(a).alias("a"), F.lit(b).alias("b"))
-    nq, nc = one(queries, 1, 0).union(one(candidates, 0, 1)).agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in "ab"]).first()  # two numbers
-    bq, bc = (max(1, -(-n // block_rows)) for n in (nq, nc))
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    while bq * bc < cores and (bq < nq or bc < nc):
-        if (nc * bq >= nq * bc and bc < nc) or bq >= nq:
-            bc += 1
-        else:
-            bq += 1
-    return bq, bc
-
-
-class Cells:
-    """Both sides, hashed into blocks and copied once per opposite block."""
-
-    def __init__(self, queries: DataFrame, candidates: DataFrame, query_id: str, candidate_id: str, vec: str, label: str, runs: Sequence, block_rows: int):
-        self.runs, self.query_id = list(runs), query_id
-        self.kind = queries.schema[query_id].dataType.simpleString()
-        self.queries = queries.select(F.col(query_id).alias("q"), F.col(vec).alias("v"), F.col(label).alias("label"))
-        self.bq, self.bc = _layout(queries, candidates, block_rows)
-        self.right = self._placed(candidates.select(F.col(candidate_id).alias("c"), F.col(vec).alias("v"), F.col(label).alias("label")), "c", "cb", self.bc, "qb", self.bq)
-
-    @staticmethod
-    def _placed(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        df = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    def map(self, queries: DataFrame, schema: str, emit) -> DataFrame:
-        """``emit(rows of queries, scores of one run, positive pairs, run)``
-        for every cell and run; it returns the cell's rows."""
-        left = self._placed(queries, "q", "qb", self.bq, "cb", self.bc)
-        names = [x.split()[0] for x in schema.split(", ")]
-        decimals = [d for _, d in self.runs]
-
-        def cell(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(qp) and len(cp):
-                scores = half_up(np_normalize(np_stack(qp["v"])) @ np_normalize(np_stack(cp["v"])).T, DECIMALS)
-                a, b = qp["label"].to_numpy(), cp["label"].to_numpy()
-                same = (a[:, None] == b[None, :]) & qp["label"].notna().to_numpy()[:, None]
-                for r, d in enumerate(decimals):
-                    out += emit(qp, scores if d is None else half_up(scores, d), same, r)
-            return pd.DataFrame([dict(zip(names, x)) for x in out] or None, columns=names)
-
-        return left.groupBy("qb", "cb").cogroup(self.right.groupBy("qb", "cb")).applyInPandas(cell, schema)
-
-    def run_name(self, r: Column) -> Column:
-        return F.get(F.array(*[F.lit(n) for n, _ in self.runs]), r)
-
-
-def _positives(qp, scores, same, r):
-    """(query, run, its positive scores in this cell)."""
-    return [(q, r, scores[i][same[i]].tolist()) for i, q in enumerate(qp["q"]) if same[i].any()]
-
-
-def _counts(qp, scores, same, r):
-    """(query, run, place, negatives): place 2k is below threshold k and above
-    the one before it, 2k + 1 is a tie with it; thresholds ascend."""
-    out = []
-    for i, (q, all_runs) in enumerate(zip(qp["q"], qp["thresholds"])):
-        t = np.unique(np.asarray(all_runs[r], float))
-        neg = scores[i][~same[i]]
-        place, n = np.unique(np.searchsorted(t, neg, "left") + np.searchsorted(t, neg, "right"), return_counts=True)
-        out += [(q, r, int(p), int(m)) for p, m in zip(place, n)]
-    return out
-
-
-def _between(qp, scores, same, r):
-    """(query, run, score, negatives) strictly inside the query's interval."""
-    out = []
-    for i, (q, lows, highs) in enumerate(zip(qp["q"], qp["lows"], qp["highs"])):
-        if lows[r] is not None and not np.isnan(lows[r]):
-            neg = scores[i][~same[i]]
-            value, n = np.unique(neg[(neg > lows[r]) & (neg < highs[r])], return_counts=True)
-            out += [(q, r, float(v), int(m)) for v, m in zip(value, n)]
-    return out
+class HeldQueries:
+    """The queries of a cell; rows of one id are one query."""
+
+    def __init__(self, rows, decimals: Sequence[int | None]):
+        self.unit = np_normalize(vectors(rows["v"]))
+        self.labels = pc.drop_null(pc.unique(rows["label"]))
+        self.label = self._numbered(rows["label"], -2)
+        self.of, self.ids = pd.factorize(np.array(rows["q"].to_pylist(), dtype=object), use_na_sentinel=False)
+        self.decimals = decimals
+        self.pos = [[] for _ in self.ids]
+        self.n_neg = np.zeros(len(self.ids), np.int64)
+
+    def _numbered(self, labels, none: int) -> np.ndarray:
+        """Places among the held labels; ``none`` for nulls and other labels."""
+        return pc.fill_null(pc.index_in(labels, value_set=self.labels), none).to_numpy(zero_copy_only=False)
+
+    def scored(self, batch):
+        """(query, its scores, which of them are positive) for a batch."""
+        unit, label = np_normalize(vectors(batch["v"])), self._numbered(batch["label"], -1)
+        for rows in tiles(len(self.unit), len(unit)):
+            scores = half_up(matching(self.unit[rows], unit), DECIMALS)
+            same = self.label[rows][:, None] == label[None, :]
+            yield from zip(self.of[rows], scores, same)
+
+    def rounded(self, scores: np.ndarray, run: int) -> np.ndarray:
+        return scores if self.decimals[run] is None else half_up(scores, self.decimals[run])
+
+    def add_positives(self, batch) -> None:
+        for g, scores, same in self.scored(batch):
+            if same.any():
+                self.pos[g].append(scores[same])
+
+    def close_positives(self) -> None:
+        """Per query and run the thresholds, and how many negatives lie below
+        each and up to each."""
+        self.pos = [np.sort(np.concatenate(p)) if p else np.zeros(0) for p in self.pos]
+        self.t = [[np.unique(self.rounded(p, r)) for r in range(len(self.decimals))] for p in self.pos]
+        self.below = [[np.zeros(len(t), np.int64) for t in of_runs] for of_runs in self.t]
+        self.upto = [[np.zeros(len(t), np.int64) for t in of_runs] for of_runs in self.t]
+
+    def add_negatives(self, batch) -> None:
+        for g, scores, same in self.scored(batch):
+            neg = np.sort(scores[~same])
+            self.n_neg[g] += len(neg)
+            for r, t in enumerate(self.t[g]):
+                x = self.rounded(neg, r)  # rounding keeps the order
+                self.below[g][r] += np.searchsorted(x, t, "left")
+                self.upto[g][r] += np.searchsorted(x, t, "right")
+
+    def known(self) -> list[list[tuple]]:
+        """:func:`known_points` per query and run."""
+        return [[self._known(g, r) for r in range(len(self.decimals))] for g in range(len(self.ids))]
+
+    def _known(self, g: int, r: int) -> tuple:
+        below, upto = self.below[g][r], self.upto[g][r]
+        n = np.zeros(2 * len(below) + 1, np.int64)
+        n[1::2] = upto - below
+        n[0::2] = np.r_[below, self.n_neg[g]] - np.r_[0, upto]
+        return known_points(self.rounded(self.pos[g], r), np.arange(len(n)), n)
+
+    def between(self, batch, curve: list[list[tuple]]) -> list[tuple]:
+        """(query, run, score, negatives) strictly inside open intervals."""
+        out = []
+        for g, scores, same in self.scored(batch):
+            for r, found in enumerate(curve[g]):
+                if found[_LOW] is not None:
+                    neg = self.rounded(scores[~same], r)
+                    value, n = np.unique(neg[(neg > found[_LOW]) & (neg < found[_LOW + 1])], return_counts=True)
+                    out += [(self.ids[g], r, float(v), int(m)) for v, m in zip(value, n)]
+        return out
 
 
 _KNOWN = "n_pos long, n_neg long, ap double, gap double, fpr double, fnr double, before boolean, low double, high double, tps long, fps long"
+_NAMES = [x.split()[0] for x in _KNOWN.split(", ")]
+_LOW = _NAMES.index("low")
 
 
 def known_points(pos: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple:
@@ -169,55 +168,65 @@ def evaluate_vectors(
     vec: str = "vec",
     label: str = "label",
     runs: Sequence[tuple[str, int | None]] = (("exact", None),),
-    block_rows: int = 1024,
+    block_rows: int = HELD_ROWS,
 ) -> DataFrame:
     """``(run_id, query_id, n_pos, n_neg, eer, ap)`` of cosine scores, where a
     pair is positive if its labels are equal. ``runs`` names the runs and the
     decimals that their scores are rounded to (None: not rounded)."""
-    cells = Cells(queries, candidates, query_id, candidate_id, vec, label, runs, block_rows)
-    n_runs, key = len(cells.runs), ["q", "run"]
-    pos = cells.map(cells.queries, f"q {cells.kind}, run int, pos array<double>", _positives)
-    pos = stable(pos.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("pos"))).alias("pos")))
-    by_run = pos.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("run", "pos"))).alias("m"))
-    none = F.array().cast("array<double>")
-    per_run = F.array(*[F.coalesce(F.try_element_at("m", F.lit(r)), none) for r in range(n_runs)])
-    with_t = cells.queries.join(by_run, "q", "left").withColumn("thresholds", per_run).drop("m")
-    counts = cells.map(with_t, f"q {cells.kind}, run int, place int, n long", _counts).groupBy(*key, "place").agg(F.sum("n").alias("n"))
-    counts = counts.groupBy(*key).agg(F.collect_list(F.struct("place", "n")).alias("counts"))
-    every = cells.queries.select("q", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run"))
-    rows = every.join(pos, key, "left").join(counts, key, "left")
-    rows = rows.select(*key, F.coalesce("pos", none).alias("pos"), F.coalesce(F.col("counts.place"), F.array().cast("array<int>")).alias("place"), F.coalesce(F.col("counts.n"), F.array().cast("array<bigint>")).alias("n"))
-
-    def known(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in _KNOWN.split(", ")]
-        for f in frames:
-            found = [known_points(np.asarray(p, float), np.asarray(a, np.int64), np.asarray(n, np.int64)) for p, a, n in zip(f["pos"], f["place"], f["n"])]
-            out = pd.DataFrame(found, columns=names, dtype=object)
-            out.insert(0, "run", f["run"].to_numpy())
-            out.insert(0, "q", f["q"].to_numpy())
-            yield out
-
-    curve = stable(rows.mapInPandas(known, f"q {cells.kind}, run int, {_KNOWN}"))
+    key, decimals = ["q", "run"], [d for _, d in runs]
+    q = queries.select(F.col(query_id).alias("q"), F.col(vec).alias("v"), F.col(label).alias("label"))
+    c = candidates.select(F.col(vec).alias("v"), F.col(label).alias("label"))
+    most = c.where("label IS NOT NULL").groupBy("label").count().agg(F.max("count")).first()[0] or 1  # one number
+    rows = q.agg(F.count(F.lit(1))).first()[0]  # one number
+    n = n_cells(rows, q.sparkSession.sparkContext.defaultParallelism, max(1, min(block_rows, POSITIVES // most)))
+    names = [*key, *_NAMES, "score", "ties"]
+
+    def cell(_, phases):
+        held = curve = None
+        for phase, batches in phases:
+            if phase == 0:
+                held = HeldQueries(whole(batches), decimals)
+            elif held is None:
+                break
+            elif phase == 1:
+                for batch in batches:
+                    held.add_positives(batch)
+                held.close_positives()
+            elif phase == 2:
+                for batch in batches:
+                    held.add_negatives(batch)
+            else:
+                curve = held.known()
+                for batch in batches:
+                    inside = held.between(batch, curve)
+                    yield pd.DataFrame([(x, r, *(None,) * len(_NAMES), v, m) for x, r, v, m in inside], columns=names, dtype=object)
+        if held is not None:
+            if curve is None:  # no candidates
+                held.close_positives()
+                curve = held.known()
+            yield pd.DataFrame([(x, r, *found, None, None) for x, of_runs in zip(held.ids, curve) for r, found in enumerate(of_runs)], columns=names, dtype=object)
+
+    held = q.withColumn("cell", F.pmod(F.xxhash64("q"), F.lit(n)).cast("int"))
+    schema = f"q {q.schema['q'].dataType.simpleString()}, run int, {_KNOWN}, score double, ties long"
+    out = stable(pass_by(held, dealt_to_all(c, "cell", n), ["cell"], n, cell, schema, phases=3))
+    curve = out.where("score IS NULL").drop("score", "ties")
     open_ = curve.where("low IS NOT NULL")
-    best = _inside(cells, open_) if open_.agg(F.count(F.lit(1))).first()[0] else None  # one number
+    best = _inside(out.where("score IS NOT NULL"), open_) if open_.agg(F.count(F.lit(1))).first()[0] else None  # one number
     if best is not None:
         curve = curve.join(best, key, "left")
         closer = F.col("in.gap").isNotNull() & ((F.col("in.gap") < F.col("gap")) | ((F.col("in.gap") == F.col("gap")) & ~F.col("before")))
         curve = curve.select(*[c for c in curve.columns if c not in ("gap", "fpr", "fnr", "in")], *[F.when(closer, F.col(f"in.{c}")).otherwise(F.col(c)).alias(c) for c in ("gap", "fpr", "fnr")])
     eer = F.when(F.col("gap") < 1.0, (F.col("fpr") + F.col("fnr")) / 2.0).when(F.col("gap").isNotNull(), F.lit(0.5))
-    return curve.select(cells.run_name(F.col("run")).alias("run_id"), F.col("q").alias(query_id), "n_pos", "n_neg", eer.alias("eer"), "ap")
+    run_name = F.get(F.array(*[F.lit(x) for x, _ in runs]), F.col("run"))
+    return curve.select(run_name.alias("run_id"), F.col("q").alias(query_id), "n_pos", "n_neg", eer.alias("eer"), "ap")
 
 
-def _inside(cells: Cells, open_: DataFrame) -> DataFrame | None:
+def _inside(inside: DataFrame, open_: DataFrame) -> DataFrame | None:
     """Per open query and run the best point strictly inside its interval that
     the curve keeps: a negative threshold whose number of tied negatives
     differs from that of the next one. None if no interval has such a point."""
-    n_runs, key = len(cells.runs), ["q", "run"]
-    spans = open_.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("run", F.struct("low", "high")))).alias("m"))
-    ends = [F.array(*[F.try_element_at("m", F.lit(r))[c] for r in range(n_runs)]).alias(f"{c}s") for c in ("low", "high")]
-    wanted = cells.queries.join(spans, "q").select("q", "v", "label", *ends)
-    neg = cells.map(wanted, f"q {cells.kind}, run int, score double, ties long", _between).groupBy(*key, "score").agg(F.sum("ties").alias("ties"))
-    neg = stable(neg)
+    key = ["q", "run"]
+    neg = stable(inside.groupBy(*key, "score").agg(F.sum("ties").alias("ties")))
     mixed = neg.groupBy(*key).agg(F.min("ties").alias("a"), F.max("ties").alias("b")).where("a <> b").select(*key)
     if not mixed.agg(F.count(F.lit(1))).first()[0]:  # one number
         return None
