@@ -48,3 +48,60 @@ def test_evaluation_in_small_batches_and_of_repeated_ids(spark, small_batches):
         assert (r.n_pos, r.n_neg) == (n_pos, n_neg) and r.ap == pytest.approx(ap) and (eer is None or r.eer == pytest.approx(eer))
     twice = {r.query_id: r for r in positives.evaluate_vectors(dq.union(dq), dc).collect()}
     assert all((r.n_pos, r.n_neg) == (2 * got[x].n_pos, 2 * got[x].n_neg) and r.ap == pytest.approx(got[x].ap) for x, r in twice.items()) and len(twice) == 30
+
+
+def test_scores_copy_candidates_per_core_only(spark, monkeypatch, small_batches):
+    from quire.operators import similarity
+
+    cores, rng = spark.sparkContext.defaultParallelism, np.random.default_rng(3)
+    for n in (40, 160):
+        q, c, _, _ = _frames(spark, rng, n, 2 * n, 3, rng.standard_normal((50, 4)))
+        assert _copies(monkeypatch, similarity, lambda: similarity.score_query_candidates(q, c)) == cores * 2 * n
+    assert similarity.score_query_candidates(q, c).distinct().count() == 160 * 320
+    best = similarity.score_query_candidates(q, c, top_k=3).collect()
+    assert len(best) == 3 * 160 and {r["rank"] for r in best} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("emit", ["pairs", "max"])
+def test_author_copies_follow_the_cores(spark, monkeypatch, small_batches, emit):
+    """Every pair of a large author once, the earlier document first, and a
+    document's copies bounded by the blocks, two per core."""
+    from quire.operators import similarity
+
+    cores, rng = spark.sparkContext.defaultParallelism, np.random.default_rng(4)
+    for n in (100, 400):
+        v = rng.integers(0, 3, (n, 6)).astype(float)
+        docs = spark.createDataFrame([("a", i, n - i, x.tolist()) for i, x in enumerate(v)], "author_id string, doc_id long, seq long, vec array<double>")
+        run = lambda: similarity.author_pairs(docs, emit=emit, block_rows=2)
+        assert _copies(monkeypatch, similarity, run) <= (2 * cores - 1) * n
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    s = unit @ unit.T
+    got = run().toPandas()
+    if emit == "max":
+        assert got.max_sim.tolist() == [pytest.approx(s[np.triu_indices(n, 1)].max())]
+    else:
+        assert len(got) == n * (n - 1) // 2 and not got.duplicated(["doc_i", "doc_j"]).any() and (got.doc_i > got.doc_j).all()
+        assert np.allclose(got.sim, s[got.doc_i, got.doc_j])
+
+
+def test_whole_number_products_are_exact():
+    from quire.operators.similarity import _cosines, _scaled
+
+    rng = np.random.default_rng(5)
+    for m in (rng.integers(0, 50, (20, 30)).astype(float), 3000 * rng.integers(0, 50, (20, 30)).astype(float), rng.standard_normal((20, 30))):
+        m[0] = 0
+        n = np.linalg.norm(m, axis=1)
+        want = m @ m.T / np.maximum(n[:, None] * n[None, :], 1e-12)
+        assert np.allclose(_cosines(_scaled(m), _scaled(m)), want, rtol=1e-14, atol=1e-15)
+        assert np.allclose(_cosines(_scaled(m), (np.nan_to_num(m / np.where(n, n, 1)[:, None]), None)), want)
+
+
+def test_one_batch_loss_copies_rows_per_core_only(spark, monkeypatch, small_batches):
+    from quire.operators import losses
+
+    cores, rng = spark.sparkContext.defaultParallelism, np.random.default_rng(6)
+    for n in (40, 160):
+        rows = spark.createDataFrame([(0, int(x), rng.standard_normal(4).tolist()) for x in rng.integers(0, 4, n)], "batch_id long, label int, vec array<double>")
+        assert _copies(monkeypatch, losses, lambda: losses.tiled_multi_positive_loss(rows)) == cores * n
+    got, want = losses.tiled_multi_positive_loss(rows).first(), losses.multi_positive_loss(rows).first()
+    assert got.n == want.n == 160 and got.loss == pytest.approx(want.loss)
