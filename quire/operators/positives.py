@@ -50,7 +50,7 @@ def half_up(x: np.ndarray, decimals: int) -> np.ndarray:
 
 
 class HeldQueries:
-    """The queries of a cell; rows of one id are one query."""
+    """The queries of a cell; rows of one id are judged as one query."""
 
     def __init__(self, rows, decimals: Sequence[int | None]):
         self.unit = np_normalize(vectors(rows["v"]))
@@ -204,7 +204,7 @@ def evaluate_vectors(
             if curve is None:  # no candidates
                 held.close_positives()
                 curve = held.known()
-            yield pd.DataFrame([(x, r, *found, None, None) for x, of_runs in zip(held.ids, curve) for r, found in enumerate(of_runs)], columns=names, dtype=object)
+            yield pd.DataFrame([(x, r, *found, None, None) for g in held.of for x, of_runs in [(held.ids[g], curve[g])] for r, found in enumerate(of_runs)], columns=names, dtype=object)
 
     held = q.withColumn("cell", F.pmod(F.xxhash64("q"), F.lit(n)).cast("int"))
     schema = f"q {q.schema['q'].dataType.simpleString()}, run int, {_KNOWN}, score double, ties long"

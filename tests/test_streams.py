@@ -46,8 +46,9 @@ def test_evaluation_in_small_batches_and_of_repeated_ids(spark, small_batches):
     for x, (n_pos, n_neg, eer, ap) in _reference(q, c, None).items():
         r = got[x]
         assert (r.n_pos, r.n_neg) == (n_pos, n_neg) and r.ap == pytest.approx(ap) and (eer is None or r.eer == pytest.approx(eer))
-    twice = {r.query_id: r for r in positives.evaluate_vectors(dq.union(dq), dc).collect()}
-    assert all((r.n_pos, r.n_neg) == (2 * got[x].n_pos, 2 * got[x].n_neg) and r.ap == pytest.approx(got[x].ap) for x, r in twice.items()) and len(twice) == 30
+    rows = positives.evaluate_vectors(dq.union(dq), dc).collect()
+    twice = {r.query_id: r for r in rows}
+    assert len(rows) == 60 and all((r.n_pos, r.n_neg) == (2 * got[x].n_pos, 2 * got[x].n_neg) and r.ap == pytest.approx(got[x].ap) for x, r in twice.items()) and len(twice) == 30
 
 
 def test_scores_copy_candidates_per_core_only(spark, monkeypatch, small_batches):
