@@ -10,16 +10,12 @@ strictly smallest of either and of the other. So any four consecutive tokens
 (about two words) that two texts share give them a common anchor. A text of
 fewer than three tokens is one run.
 
-A fingerprint holds the anchors (hash and token position, first place of each)
-whose hash is below a sixteenth of all hashes, and the ``LEAST`` = 64 smallest
-in any case: all anchors of a short text, and of a long one a share that grows
-with it, so a passage of 100 words in two texts of any length is seen with
-probability over 0.999. :func:`likeness` compares two fingerprints over the
-hashes for which both are complete. It counts the common anchors that agree on
-one offset of positions, over all anchors there: 1 for equal texts, and for
-others an estimate with a standard error of about ``sqrt(p * (1 - p) / n)``
-with ``n`` the anchors compared (at least 64, or all there are). Texts whose
-common parts lie at several offsets are judged by the largest such part.
+A fingerprint holds every distinct anchor of its text (hash and token position,
+first place of each), sorted by hash. :func:`likeness` counts the common
+anchors of two fingerprints that agree on one offset of positions, over all
+anchors of both: 1 for equal texts. Nothing is estimated from a part of the
+anchors. Texts whose common parts lie at several offsets are judged by the
+largest such part.
 :func:`anchors` and :func:`matched_anchors` give the same as tables.
 
 All of it is array functions on one row; a document never leaves its row, and
@@ -40,9 +36,9 @@ from quire.llm.arrays import let
 from quire.operators.indexing import dense_index
 
 TOKEN = r"[^\x20\x09-\x0D]{1,5}"
-K, LEAST = 3, 64
-#: Hashes below this one, a sixteenth of all, are kept however many they are.
-SHARE = -(1 << 63) + (1 << 60)
+K = 3
+#: Hashes below this one are kept: all of them.
+SHARE = 1 << 63
 _ANCHOR = "array<struct<hash:bigint,at:int>>"
 
 
@@ -66,12 +62,9 @@ def _distinct(found: Column) -> Column:
 
 
 def sketch(found: Column) -> Column:
-    """The anchors that a fingerprint keeps: struct of two arrays, hashes in
+    """The distinct anchors of a fingerprint: struct of two arrays, hashes in
     order and their positions."""
-    every = lambda a: let(_distinct(a), lambda d: F.filter(d, lambda x, i: (i < LEAST) | (x["hash"] < SHARE)))
-    # where the share alone has enough, the rest need not be sorted
-    kept = let(found, lambda a: let(_distinct(F.filter(a, lambda x: x["hash"] < SHARE)), lambda low: F.when(F.size(low) >= LEAST, low).otherwise(every(a))))
-    return let(kept, lambda a: F.struct(F.transform(a, lambda x: x["hash"]).alias("hash"), F.transform(a, lambda x: x["at"]).alias("at")))
+    return let(_distinct(found), lambda a: F.struct(F.transform(a, lambda x: x["hash"]).alias("hash"), F.transform(a, lambda x: x["at"]).alias("at")))
 
 
 def digest(s: Column) -> Column:
@@ -82,13 +75,9 @@ def digest(s: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Likeness of two sketches, 0 to 1."""
-    top = (1 << 63) - 1
-    complete = lambda s: F.when(F.size(s["hash"]) < LEAST, F.lit(top)).otherwise(F.greatest(F.get(s["hash"], F.lit(LEAST - 1)), F.lit(SHARE - 1)))
 
-    def compared(x: Column, y: Column, limit: Column) -> Column:
-        side = lambda s, no: F.filter(
-            F.zip_with(s["hash"], s["at"], lambda h, at: F.struct(h.alias("hash"), F.lit(no).alias("side"), at.alias("at"))), lambda z: z["hash"] <= limit
-        )
+    def compared(x: Column, y: Column) -> Column:
+        side = lambda s, no: F.zip_with(s["hash"], s["at"], lambda h, at: F.struct(h.alias("hash"), F.lit(no).alias("side"), at.alias("at")))
         return let(F.array_sort(F.concat(side(x, 0), side(y, 1))), counted)
 
     def counted(z: Column) -> Column:
@@ -106,8 +95,7 @@ def likeness(a: Column, b: Column) -> Column:
         return F.aggregate(F.array_sort(offsets), start, step, lambda s: s["best"])
 
     none = lambda s: F.size(s["hash"]) == 0
-    some = let(F.least(complete(a), complete(b)), lambda limit: compared(a, b, limit))
-    return F.when((a["hash"] == b["hash"]) & (a["at"] == b["at"]), 1.0).when(none(a) | none(b), 0.0).otherwise(some)
+    return F.when((a["hash"] == b["hash"]) & (a["at"] == b["at"]), 1.0).when(none(a) | none(b), 0.0).otherwise(compared(a, b))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -136,7 +124,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     by as much of the next one's start), its and the next one's sketch.
 
     The order is found on narrow rows; then one shuffle brings texts to their
-    keys, and one more carries each text's needed prefix to its predecessor.
+    keys, and one more carries each text to its predecessor, which takes its
+    start from it and sketches it (a text is smaller than its sketch).
     Rows alike in id and text are one row with a count up to the end, as each
     but the last is followed by its like; null ids come last.
     """
@@ -152,12 +141,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     links = placed.select(*key, "place").join(before, "place").drop("place")
     # both uses of ``texts`` read one exchange
     texts = d.groupBy(*key).agg(F.any_value("text").alias("text"))
-    gives = texts.join(links, key).select(*[F.col(f"p_{c}").alias(c) for c in key], F.expr("left(text, need)").alias("start"), "text", "rows")
-    gives = gives.select(*key, "start", "rows", sketch(found_anchors(F.col("text"))).alias("next"))
-    own = texts.join(gives, key).withColumn("own", sketch(found_anchors(F.col("text"))))
+    gives = texts.join(links, key).select(*[F.col(f"p_{c}").alias(c) for c in key], F.col("text").alias("after"), "need", "rows")
+    own = texts.join(gives, key).withColumn("own", sketch(found_anchors(F.col("text")))).withColumn("next", sketch(found_anchors(F.col("after"))))
     own = own.withColumn("more", F.explode(F.sequence(F.col("rows") - 1, F.lit(0).cast("long"), F.lit(-1).cast("long"))))
     n = "length(text) div 2"
-    start = F.when(F.col("more") > 0, F.expr(f"left(text, {n})")).otherwise(F.col("start"))
+    start = F.when(F.col("more") > 0, F.expr(f"left(text, {n})")).otherwise(F.expr("left(after, need)"))
     return own.select(
         F.when(~F.col("x"), F.col("k")).alias("doc_id"), "text", F.concat(F.expr(f"left(text, length(text) - {n})"), start).alias("edited"),
         "own", F.when(F.col("more") > 0, F.col("own")).otherwise(F.col("next")).alias("next"),

@@ -443,3 +443,16 @@ def test_pipeline_stages_keep_columns(spark):
             assert len(rows) == before.count() and not any("AKIA" in t for _, t in rows)
     n = cp.STAGES[-1][1](spark, docs, sf).groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert n.where("n > 4096 OR (n < 4096 AND n & (n - 1) <> 0)").count() == 0
+
+
+def test_fingerprints_hold_every_anchor(spark):
+    """Two texts of 4,000 words that share one short passage: its few anchors
+    are counted, not guessed from a part."""
+    passage = prose(6, 79)
+    docs = spark.createDataFrame([(k, prose(4000, 300 + k) + " " + passage) for k in (1, 2)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.compare_edits(docs).collect()}
+    for r in got.values():
+        kept = fingerprints.anchors(docs.where(f"doc_id = {r.doc_id}")).select("hash").distinct().count()
+        assert len(r.fingerprint) == 24 * kept
+    (a, _), (b, _) = (_sketch(docs.where(f"doc_id = {k}").first().text) for k in (1, 2))
+    assert got[2].near_next == pytest.approx(_alike(a, b)) and got[2].near_next > 0
