@@ -49,7 +49,7 @@ def found_anchors(text: Column) -> Column:
         run = lambda i: F.struct(F.xxhash64(*[F.get(t, i + j) for j in range(K)]).alias("hash"), i.alias("at"))
         # the middle one is not the strictly smallest
         closed = lambda i: F.least(F.get(t, i), F.get(t, i + 2)) <= F.get(t, i + 1)
-        many = F.filter(F.transform(F.sequence(F.lit(0), F.size(t) - K), lambda i: F.when(closed(i), run(i))), lambda x: x.isNotNull())
+        many = F.transform(F.filter(F.sequence(F.lit(0), F.size(t) - K), closed), run)
         whole = F.array(F.struct(F.xxhash64(t).alias("hash"), F.lit(0).alias("at")))
         return F.when(F.size(t) >= K, many.cast(_ANCHOR)).when(F.size(t) > 0, whole.cast(_ANCHOR)).otherwise(F.array().cast(_ANCHOR))
 
@@ -57,8 +57,9 @@ def found_anchors(text: Column) -> Column:
 
 
 def _distinct(found: Column) -> Column:
-    """Sorted by hash, each once, at its first place."""
-    return let(F.array_sort(found), lambda z: F.filter(z, lambda x, i: (i == 0) | (F.get(z, i - 1)["hash"] != x["hash"])))
+    """Sorted by hash, each once, at its first place. ``sort_array`` compares
+    values itself; ``array_sort`` would evaluate a lambda per comparison."""
+    return let(F.sort_array(found), lambda z: F.filter(z, lambda x, i: ~F.coalesce(F.get(z, i - 1)["hash"] == x["hash"], F.lit(False))))
 
 
 def sketch(found: Column) -> Column:
@@ -69,20 +70,21 @@ def sketch(found: Column) -> Column:
 
 def digest(s: Column) -> Column:
     """A sketch as text: 16 hex digits of each hash and eight of its position."""
-    digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
-    return F.array_join(F.zip_with(s["hash"], s["at"], lambda h, at: F.concat(digits(h, 16), digits(at, 8))), "")
+    digits = lambda x, n: F.lpad(F.hex(x), n, "0")
+    return F.lower(F.array_join(F.zip_with(s["hash"], s["at"], lambda h, at: F.concat(digits(h, 16), digits(at, 8))), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Likeness of two sketches, 0 to 1."""
 
     def compared(x: Column, y: Column) -> Column:
-        side = lambda s, no: F.zip_with(s["hash"], s["at"], lambda h, at: F.struct(h.alias("hash"), F.lit(no).alias("side"), at.alias("at")))
-        return let(F.array_sort(F.concat(side(x, 0), side(y, 1))), counted)
+        # positions of the second side run down from -1, so among equal hashes they come first
+        side = lambda s, place: F.zip_with(s["hash"], s["at"], lambda h, at: F.struct(h.alias("hash"), place(at).alias("at")))
+        return let(F.sort_array(F.concat(side(x, lambda at: at), side(y, lambda at: F.lit(-1) - at))), counted)
 
     def counted(z: Column) -> Column:
         # a common hash stands twice, once of each side
-        offset = lambda u, i: F.when((i > 0) & (F.get(z, i - 1)["hash"] == u["hash"]), u["at"] - F.get(z, i - 1)["at"])
+        offset = lambda u, i: F.when(F.get(z, i - 1)["hash"] == u["hash"], u["at"] + F.get(z, i - 1)["at"])
         return let(F.filter(F.transform(z, offset), lambda o: o.isNotNull()), lambda o: largest(o) / (F.size(z) - F.size(o)))
 
     def largest(offsets: Column) -> Column:
@@ -92,7 +94,7 @@ def likeness(a: Column, b: Column) -> Column:
             run = F.when(s["last"] == o, s["run"] + 1).otherwise(1)
             return F.struct(o.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
-        return F.aggregate(F.array_sort(offsets), start, step, lambda s: s["best"])
+        return F.aggregate(F.sort_array(offsets), start, step, lambda s: s["best"])
 
     none = lambda s: F.size(s["hash"]) == 0
     return F.when((a["hash"] == b["hash"]) & (a["at"] == b["at"]), 1.0).when(none(a) | none(b), 0.0).otherwise(compared(a, b))

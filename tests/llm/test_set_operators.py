@@ -456,3 +456,9 @@ def test_fingerprints_hold_every_anchor(spark):
         assert len(r.fingerprint) == 24 * kept
     (a, _), (b, _) = (_sketch(docs.where(f"doc_id = {k}").first().text) for k in (1, 2))
     assert got[2].near_next == pytest.approx(_alike(a, b)) and got[2].near_next > 0
+
+
+def test_fingerprints_sort_without_a_lambda(spark, odd_docs):
+    """No sort of anchors evaluates a lambda for every comparison."""
+    plan = fingerprints.compare_edits(odd_docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
