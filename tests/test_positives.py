@@ -74,3 +74,36 @@ def test_same_as_the_curve_over_all_scores(spark):
     for r in positives.evaluate_vectors(dq, dc).collect():
         w = want[r.query_id]
         assert (r.n_pos, r.n_neg) == (w.n_pos, w.n_neg) and r.ap == pytest.approx(w.ap) and (r.eer is None and w.eer is None or r.eer == pytest.approx(w.eer))
+
+
+def test_rounds_leave_no_pairs(spark):
+    """All pairs of separate score and truth tables, a share of the queries at
+    a time: the same metrics, and no table of pairs stays on disk."""
+    import os
+
+    from quire.operators.metrics import attach_truth
+    from quire.session import ensure_checkpoint_dir, scratch_path
+
+    dq, dc, q, c = _frames(spark, np.random.default_rng(8), 40, 50, 3, np.eye(4))
+    dq, dc = dq.fillna(9, "label"), dc.fillna(9, "label")
+    rounds = []
+
+    def aligned(some, candidates):
+        rounds.append(some.count())
+        truth = scoring.scored_with_truth(some, candidates).select("query_id", "candidate_id", "label")
+        return attach_truth(scoring.score_query_candidates(some, candidates), truth)
+
+    tables = os.path.dirname(scratch_path(spark, "none")).removeprefix("file:")
+    assert tables.startswith(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = set(os.listdir(tables)) if os.path.exists(tables) else set(), spark.conf.get(cleanup)
+    pq, macro = scoring.evaluate_in_rounds(dq, dc, aligned, pairs=600)
+    assert len(rounds) == 4 and sum(rounds) == 40 and max(rounds) < 40
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(tables)) - before] == ["per_query"]
+    assert spark.conf.get(cleanup) == was
+    want, total = scoring.evaluate_attribution(aligned(dq, dc))
+    assert sorted(map(tuple, pq.collect())) == sorted(tuple(r) for r in want.select(pq.columns).collect())
+    assert macro.first().n_queries == total.first().n_queries == 40
+    assert macro.first().mean_ap == pytest.approx(total.first().mean_ap)
+    # no queries at all: one round without rows
+    assert scoring.evaluate_in_rounds(dq.limit(0), dc, aligned)[1].first().n_queries == 0
