@@ -107,3 +107,40 @@ def test_rounds_leave_no_pairs(spark):
     assert macro.first().mean_ap == pytest.approx(total.first().mean_ap)
     # no queries at all: one round without rows
     assert scoring.evaluate_in_rounds(dq.limit(0), dc, aligned)[1].first().n_queries == 0
+
+
+def test_stored_runs_keep_their_tables(spark, tmp_path):
+    """Scores of two runs and the truth, stored a share of the queries at a
+    time: the tables hold every pair and stay, the other tables do not, and
+    the comparison is that of all pairs at once."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from quire.session import scratch_path
+
+    dq, dc, q, c = _frames(spark, np.random.default_rng(8), 40, 50, 3, np.eye(4))
+    dq, dc = dq.fillna(9, "label"), dc.fillna(9, "label")
+    tables = os.path.dirname(scratch_path(spark, "none")).removeprefix("file:")
+    before = set(os.listdir(tables)) if os.path.exists(tables) else set()
+    pq, macro = scoring.compare_stored_runs(dq, dc, f"{tmp_path}/kept", pairs=600)
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(tables)) - before] == ["per_query"]
+
+    scored = scoring.scored_with_truth(dq, dc)
+    kept, truth = spark.read.parquet(f"{tmp_path}/kept/scores"), spark.read.parquet(f"{tmp_path}/kept/truth")
+    assert truth.select("share").distinct().count() == 4
+    assert {r.run_id: r["count"] for r in kept.groupBy("run_id").count().collect()} == {"exact": 2000, "rounded": 2000}
+    pairs = lambda df, v: sorted(map(tuple, df.select("query_id", "candidate_id", v).collect()))
+    assert pairs(kept.where("run_id = 'exact'"), "score") == pairs(scored, "score")
+    assert pairs(kept.where("run_id = 'rounded'"), "score") == pairs(scored.withColumn("score", F.round("score", 1)), "score")
+    assert pairs(truth, "label") == pairs(scored, "label")
+
+    want = {r.run_id: r for r in scoring.compare_runs(scoring.two_runs(scored)).collect()}
+    got = {r.run_id: r for r in macro.collect()}
+    assert set(got) == set(want) and pq.count() == 80
+    for run, r in got.items():
+        assert (r.n_queries, r.n_undefined) == (want[run].n_queries, want[run].n_undefined) == (40, want[run].n_undefined)
+        assert (r.mean_eer, r.mean_ap) == (pytest.approx(want[run].mean_eer), pytest.approx(want[run].mean_ap))
+    # no queries at all: tables without rows, no run to compare
+    assert scoring.compare_stored_runs(dq.limit(0), dc, f"{tmp_path}/none")[1].collect() == []
+    assert spark.read.parquet(f"{tmp_path}/none/truth").count() == 0
