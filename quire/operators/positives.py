@@ -16,9 +16,11 @@ three times (:mod:`quire.operators.streams`):
    queries send the negatives of that one interval.
 
 What is shuffled is three copies of the candidates per block of queries; scores
-and counts never leave their cell. There is a block per core, and more only
-where a cell would keep more than ``block_rows`` queries or ``POSITIVES``
-positive scores. The curve and its rules are those of
+and counts never leave their cell. There is a block per core. Where a cell would
+keep more than ``block_rows`` queries or ``POSITIVES`` positive scores, the
+queries take several rounds of a block per core, each with a share of them; a
+round's shuffle files leave the disk when it ends, so the disk never holds more
+than three copies of the candidates per core. The curve and its rules are those of
 :mod:`quire.operators.metrics`. Scores are compared to ``DECIMALS`` places, so
 equal vectors tie in whatever batch they come. A null label equals no label.
 """
@@ -36,17 +38,26 @@ from pyspark.sql import functions as F
 from quire.functions.vectors import np_normalize
 from quire.operators.indexing import grouped_running_sums
 from quire.operators.streams import HELD_ROWS, dealt_to_all, matching, n_cells, pass_by, tiles, vectors, whole
-from quire.session import stable
+from quire.session import passing_tables, scratch_path, stable
 
 DECIMALS = 12
 #: Positive scores that a cell keeps at most (8 bytes each, and 16 of counts per run).
 POSITIVES = 1 << 24
+#: Scores that are made and counted at once: few enough for a core's cache.
+SCORES = 1 << 18
 
 
 def half_up(x: np.ndarray, decimals: int) -> np.ndarray:
     """Round half away from zero, as SQL does."""
     scale = 10.0**decimals
-    return np.sign(x) * np.floor(np.abs(x) * scale + 0.5) / scale + 0.0  # no negative zero
+    out = np.abs(np.atleast_1d(x))
+    out *= scale
+    out += 0.5
+    np.floor(out, out=out)
+    out /= scale
+    np.copysign(out, x, out=out)
+    out += 0.0  # no negative zero
+    return out
 
 
 class HeldQueries:
@@ -59,17 +70,17 @@ class HeldQueries:
         self.of, self.ids = pd.factorize(np.array(rows["q"].to_pylist(), dtype=object), use_na_sentinel=False)
         self.decimals = decimals
         self.pos = [[] for _ in self.ids]
-        self.n_neg = np.zeros(len(self.ids), np.int64)
 
     def _numbered(self, labels, none: int) -> np.ndarray:
         """Places among the held labels; ``none`` for nulls and other labels."""
         return pc.fill_null(pc.index_in(labels, value_set=self.labels), none).to_numpy(zero_copy_only=False)
 
     def scored(self, batch):
-        """(query, its scores, which of them are positive) for a batch."""
+        """(query, its scores, which of them are positive) for a batch; the
+        scores as they come, not yet cut to ``DECIMALS``."""
         unit, label = np_normalize(vectors(batch["v"])), self._numbered(batch["label"], -1)
-        for rows in tiles(len(self.unit), len(unit)):
-            scores = half_up(matching(self.unit[rows], unit), DECIMALS)
+        for rows in tiles(len(self.unit), len(unit), SCORES):
+            scores = matching(self.unit[rows], unit)
             same = self.label[rows][:, None] == label[None, :]
             yield from zip(self.of[rows], scores, same)
 
@@ -77,36 +88,42 @@ class HeldQueries:
         return scores if self.decimals[run] is None else half_up(scores, self.decimals[run])
 
     def add_positives(self, batch) -> None:
-        for g, scores, same in self.scored(batch):
-            if same.any():
-                self.pos[g].append(scores[same])
+        """Scores of the pairs of equal labels; no others are computed."""
+        unit, label = np_normalize(vectors(batch["v"])), self._numbered(batch["label"], -1)
+        order = np.argsort(label, kind="stable")
+        for found in np.intersect1d(label, self.label):
+            theirs = unit[order[slice(*np.searchsorted(label[order], [found, found + 1]))]]
+            mine = np.flatnonzero(self.label == found)
+            for rows in tiles(len(mine), len(theirs), SCORES):
+                scores = half_up(matching(self.unit[mine[rows]], theirs), DECIMALS)
+                for g, x in zip(self.of[mine[rows]], scores):
+                    self.pos[g].append(x)
 
     def close_positives(self) -> None:
-        """Per query and run the thresholds, and how many negatives lie below
-        each and up to each."""
+        """Per query and run the thresholds, and a count of negatives for each
+        place: below the first, tied with it, above it, and so on."""
         self.pos = [np.sort(np.concatenate(p)) if p else np.zeros(0) for p in self.pos]
         self.t = [[np.unique(self.rounded(p, r)) for r in range(len(self.decimals))] for p in self.pos]
-        self.below = [[np.zeros(len(t), np.int64) for t in of_runs] for of_runs in self.t]
-        self.upto = [[np.zeros(len(t), np.int64) for t in of_runs] for of_runs in self.t]
+        self.places = [[np.zeros(2 * len(t) + 1, np.int64) for t in of_runs] for of_runs in self.t]
 
     def add_negatives(self, batch) -> None:
         for g, scores, same in self.scored(batch):
-            neg = np.sort(scores[~same])
-            self.n_neg[g] += len(neg)
+            neg = half_up(scores[~same], DECIMALS)
+            neg.sort()
             for r, t in enumerate(self.t[g]):
                 x = self.rounded(neg, r)  # rounding keeps the order
-                self.below[g][r] += np.searchsorted(x, t, "left")
-                self.upto[g][r] += np.searchsorted(x, t, "right")
+                # the search goes by the batch, however many thresholds there are
+                above = np.searchsorted(t, x, "right")
+                place = 2 * above - (t[above - 1] == x) if len(t) else above
+                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
+                self.places[g][r][place[first]] += np.diff(np.r_[first, len(place)])
 
     def known(self) -> list[list[tuple]]:
         """:func:`known_points` per query and run."""
         return [[self._known(g, r) for r in range(len(self.decimals))] for g in range(len(self.ids))]
 
     def _known(self, g: int, r: int) -> tuple:
-        below, upto = self.below[g][r], self.upto[g][r]
-        n = np.zeros(2 * len(below) + 1, np.int64)
-        n[1::2] = upto - below
-        n[0::2] = np.r_[below, self.n_neg[g]] - np.r_[0, upto]
+        n = self.places[g][r]
         return known_points(self.rounded(self.pos[g], r), np.arange(len(n)), n)
 
     def between(self, batch, curve: list[list[tuple]]) -> list[tuple]:
@@ -115,8 +132,11 @@ class HeldQueries:
         for g, scores, same in self.scored(batch):
             for r, found in enumerate(curve[g]):
                 if found[_LOW] is not None:
-                    neg = self.rounded(scores[~same], r)
-                    value, n = np.unique(neg[(neg > found[_LOW]) & (neg < found[_LOW + 1])], return_counts=True)
+                    low, high = found[_LOW : _LOW + 2]
+                    off = 10.0 ** -min(DECIMALS, DECIMALS if self.decimals[r] is None else self.decimals[r])  # rounding moves by less
+                    near = scores[(scores > low - off) & (scores < high + off) & ~same]
+                    neg = self.rounded(half_up(near, DECIMALS), r)
+                    value, n = np.unique(neg[(neg > low) & (neg < high)], return_counts=True)
                     out += [(self.ids[g], r, float(v), int(m)) for v, m in zip(value, n)]
         return out
 
@@ -178,7 +198,11 @@ def evaluate_vectors(
     c = candidates.select(F.col(vec).alias("v"), F.col(label).alias("label"))
     most = c.where("label IS NOT NULL").groupBy("label").count().agg(F.max("count")).first()[0] or 1  # one number
     rows = q.agg(F.count(F.lit(1))).first()[0]  # one number
-    n = n_cells(rows, q.sparkSession.sparkContext.defaultParallelism, max(1, min(block_rows, POSITIVES // most)))
+    spark = q.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    n = n_cells(rows, cores, max(1, min(block_rows, POSITIVES // most)))
+    rounds = -(-n // cores)
+    n = min(n, cores)
     names = [*key, *_NAMES, "score", "ties"]
 
     def cell(_, phases):
@@ -208,7 +232,17 @@ def evaluate_vectors(
 
     held = q.withColumn("cell", F.pmod(F.xxhash64("q"), F.lit(n)).cast("int"))
     schema = f"q {q.schema['q'].dataType.simpleString()}, run int, {_KNOWN}, score double, ties long"
-    out = stable(pass_by(held, dealt_to_all(c, "cell", n), ["cell"], n, cell, schema, phases=3))
+    evaluated = lambda some: pass_by(some, dealt_to_all(c, "cell", n), ["cell"], n, cell, schema, phases=3)
+    if rounds == 1:
+        out = stable(evaluated(held))
+    else:
+        # not the hash that deals queries to cells
+        share = F.pmod(F.xxhash64(F.lit("round"), "q"), F.lit(rounds))
+        base = scratch_path(spark, "evaluated")
+        for r in range(rounds):
+            with passing_tables(spark):
+                evaluated(held.where(share == r)).write.parquet(f"{base}/round={r}")
+        out = spark.read.parquet(base).drop("round")
     curve = out.where("score IS NULL").drop("score", "ties")
     open_ = curve.where("low IS NOT NULL")
     best = _inside(out.where("score IS NOT NULL"), open_) if open_.agg(F.count(F.lit(1))).first()[0] else None  # one number

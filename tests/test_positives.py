@@ -45,6 +45,57 @@ def test_matches_numpy(spark, kind):
                 assert (r.eer is None) == (eer is None) and (eer is None or r.eer == pytest.approx(eer))
 
 
+def test_rounds_of_a_block_per_core(spark, monkeypatch):
+    """Where a cell would keep too many positives, the queries take several
+    rounds: at most three copies of the candidates per core at a time, every
+    query once, the results of one round, and only they on disk."""
+    import os
+
+    from quire.operators import streams
+    from quire.session import scratch_path
+
+    dq, dc, q, c = _frames(spark, np.random.default_rng(9), 60, 130, 3, np.random.default_rng(9).choice([-0.5, 0.5], (64, 8)))
+    runs, cores = (("a", None), ("b", 1)), spark.sparkContext.defaultParallelism
+    want = sorted(map(tuple, positives.evaluate_vectors(dq, dc, runs=runs).collect()), key=str)
+    tables = os.path.dirname(scratch_path(spark, "none")).removeprefix("file:")
+    before, seen = set(os.listdir(tables)), []
+    monkeypatch.setattr(positives, "pass_by", lambda held, passing, *a, **kw: seen.append((held.count(), passing.count())) or streams.pass_by(held, passing, *a, **kw))
+    monkeypatch.setattr(positives, "POSITIVES", 4 * max(sum(x[2] == y for x in c) for y in range(3)))
+    rows = positives.evaluate_vectors(dq, dc, runs=runs)
+    assert len(seen) == -(-15 // cores) > 1 and sum(n for n, _ in seen) == 60 and {n for _, n in seen} == {cores * 130}
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(tables)) - before} <= {"evaluated", "stable"}
+    got = sorted(map(tuple, rows.collect()), key=str)
+    assert [x[:4] for x in got] == [x[:4] for x in want]
+    assert [v for x in got for v in x[4:]] == [v if v is None else pytest.approx(v) for x in want for v in x[4:]]
+
+
+def test_counts_go_by_the_batch(monkeypatch):
+    """Negatives are looked up among the thresholds, not all thresholds in
+    every batch, and only pairs of equal labels are scored for positives."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = lambda n: pa.RecordBatch.from_pydict({"q": list(range(n)), "v": [[float(x) for x in rng.choice([-0.5, 0.5], 8)] for _ in range(n)], "label": [None if x == 3 else int(x) for x in rng.integers(0, 4, n)]})
+    mine, theirs = rows(12), [rows(300), rows(5), rows(1)]
+    held, made = positives.HeldQueries(mine, [None, 1]), []
+    monkeypatch.setattr(positives, "matching", lambda a, b: made.append(len(a) * len(b)) or a @ b.T)
+    for batch in theirs:
+        held.add_positives(batch)
+    assert sum(made) == sum(x == y for x in mine["label"].to_pylist() if x is not None for b in theirs for y in b["label"].to_pylist())
+    held.close_positives()
+    for batch in theirs:
+        held.add_negatives(batch)
+    unit = lambda b: np.array(b["v"].to_pylist()) / np.sqrt(2.0)
+    for g, label in enumerate(mine["label"].to_pylist()):
+        s = positives.half_up(np.concatenate([unit(b) @ unit(mine)[g] for b in theirs]), 12)
+        y = np.array([label is not None and x == label for b in theirs for x in b["label"].to_pylist()])
+        for r, x in enumerate((s, positives.half_up(s, 1))):
+            t = np.unique(x[y])
+            assert list(held.t[g][r]) == list(t)
+            assert list(held.places[g][r][1::2]) == [int((x[~y] == v).sum()) for v in t]
+            assert list(np.cumsum(held.places[g][r])[::2]) == [int((x[~y] < v).sum()) for v in t] + [int((~y).sum())]
+
+
 def test_point_inside_an_interval(spark):
     """The best point is a negative threshold between two positives, where the
     number of tied negatives changes."""
