@@ -167,3 +167,35 @@ def test_cells_without_a_pair_and_string_authors(spark):
     d = _docs(spark, [("s", i, i, [1.0, float(i)]) for i in range(7)])
     assert author_pairs(d, block_rows=1).count() == 21
     assert author_pairs(d, block_rows=1, emit="max").count() == 1
+
+
+@pytest.mark.parametrize("kind", ["copy", "near", "none", "zero"])
+def test_largest_similarity_leaves_out_what_cannot_be_it(spark, monkeypatch, kind):
+    """Of a large author: the maximum of all pairs, while documents pass by
+    other blocks only where a better pair may lie; not at all beside a copy."""
+    from quire.operators import similarity, streams
+
+    rng = np.random.default_rng(len(kind))
+    n = 240
+    v = rng.standard_normal((n, 6))
+    if kind in ("copy", "near"):
+        v[200] = 3.0 * v[10] + (0 if kind == "copy" else 1e-3 * rng.standard_normal(6))
+    if kind == "none":  # unlike in pairs: the bound excludes little
+        v = np.vstack([np.eye(n // 2), -np.eye(n // 2)])
+    rows = [("a", i, n - i, x.tolist()) for i, x in enumerate(v)]
+    if kind == "zero":
+        rows = [(a, i, s, None if i % 2 else [0.0] * 6) for a, i, s, _ in rows]
+        v = np.zeros((n, 6))
+    docs = spark.createDataFrame(rows + [("b", 1000, 0, [1.0] * len(v[0])), ("b", 1001, 1, [1.0] * len(v[0]))], "author_id string, doc_id long, seq long, vec array<double>")
+    passed = []
+    monkeypatch.setattr(similarity, "pass_by", lambda held, passing, *a, **kw: passed.append(passing.count()) or streams.pass_by(held, passing, *a, **kw))
+    got = {r.author_id: r.max_sim for r in author_pairs(docs, emit="max", block_rows=20).collect()}
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    assert got == {"a": pytest.approx((unit @ unit.T)[np.triu_indices(n, 1)].max(), abs=1e-12), "b": pytest.approx(1.0)}
+    everything = n * (2 * spark.sparkContext.defaultParallelism - 1) / 2  # eight blocks, each passed by all later ones
+    if kind == "copy":
+        assert passed == [0]
+    elif kind == "near":
+        assert len(passed) == 1 or sum(passed) < everything / 4
+    else:
+        assert passed[0] == 0 and 0 < sum(passed) <= everything
